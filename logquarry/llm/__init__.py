@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import bpe, line_dedup
 
-MODULES = (line_dedup,)
+MODULES = (line_dedup, bpe)
 
 
 def queries() -> dict:

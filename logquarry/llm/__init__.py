@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup
+from . import bpe, jaccard_join, language_id, line_dedup
 
-MODULES = (line_dedup, bpe)
+MODULES = (bpe, jaccard_join, language_id, line_dedup)
 
 
 def queries() -> dict:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, language_id, line_dedup
+from . import bpe, decontamination, jaccard_join, language_id, line_dedup
 
-MODULES = (bpe, jaccard_join, language_id, line_dedup)
+MODULES = (bpe, decontamination, jaccard_join, language_id, line_dedup)
 
 
 def queries() -> dict:

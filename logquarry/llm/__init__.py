@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, jaccard_join, language_id, line_dedup
+from . import bpe, decontamination, jaccard_join, language_id, line_dedup, token_counts
 
-MODULES = (bpe, decontamination, jaccard_join, language_id, line_dedup)
+MODULES = (bpe, decontamination, jaccard_join, language_id, line_dedup, token_counts)
 
 
 def queries() -> dict:

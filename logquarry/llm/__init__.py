@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, cover_tree, decontamination, jaccard_join, language_id, line_dedup, token_counts
+from . import bpe, cover_tree, decontamination, jaccard_join, language_id, line_dedup, pii, token_counts
 
-MODULES = (bpe, cover_tree, decontamination, jaccard_join, language_id, line_dedup, token_counts)
+MODULES = (bpe, cover_tree, decontamination, jaccard_join, language_id, line_dedup, pii, token_counts)
 
 
 def queries() -> dict:

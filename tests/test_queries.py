@@ -12,10 +12,10 @@ def tables(spark, tmp_path_factory):
     con = duckdb.connect()
     start = "TIMESTAMP '2024-01-01 00:00:11.172425'"
     makers = {
-        "events": f"SELECT i AS event_id, {start} + to_microseconds(CAST(i * 977777777 AS BIGINT)) AS ts, i * 37 % 11 AS user_id, ['error','view','click'][1 + i % 3] AS event_type, round(i * 1.37, 2) AS value, '{{\"k\": ' || i || '}}' AS props FROM range(900) t(i)",
-        "orders": f"SELECT i AS o_orderkey, i % 40 + 450 AS o_custkey, 'O' AS o_orderstatus, i * 3.25 AS o_totalprice, {start} AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(60) t(i)",
-        "customer": "SELECT i AS c_custkey, 'Customer ' || i AS c_name, CAST(i AS INT) AS c_nationkey, 1.5 * i AS c_acctbal, 'X' AS c_mktsegment FROM range(20) t(i)",
-        "supplier": "SELECT i AS s_suppkey, 'S' AS s_name, CAST(1 AS INT) AS s_nationkey, 1.0 AS s_acctbal FROM range(1, 20) t(i)",
+        "events": f"SELECT i AS event_id, {start} + to_microseconds(CAST(i * 977777777 AS BIGINT)) AS ts, i * 37 % 11 AS user_id, ['error','view','click'][1 + i % 3] AS event_type, CAST(round(i * 1.37, 2) AS DOUBLE) AS value, '{{\"k\": ' || i || '}}' AS props FROM range(900) t(i)",
+        "orders": f"SELECT i AS o_orderkey, i % 40 + 450 AS o_custkey, 'O' AS o_orderstatus, CAST(i * 3.25 AS DOUBLE) AS o_totalprice, {start} AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(60) t(i)",
+        "customer": "SELECT i AS c_custkey, 'Customer ' || i AS c_name, CAST(i AS INT) AS c_nationkey, CAST(1.5 * i AS DOUBLE) AS c_acctbal, 'X' AS c_mktsegment FROM range(20) t(i)",
+        "supplier": "SELECT i AS s_suppkey, 'S' AS s_name, CAST(1 AS INT) AS s_nationkey, CAST(1 AS DOUBLE) AS s_acctbal FROM range(1, 20) t(i)",
         "nation": "SELECT CAST(i AS INT) AS n_nationkey, 'N' || i AS n_name, CAST(i % 3 AS INT) AS n_regionkey FROM range(9) t(i)",
     }
     for name, sql in makers.items():

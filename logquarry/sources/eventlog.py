@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from .encoder import CHUNK, HEADER
 
@@ -64,6 +64,13 @@ class Range(InputPartition):
     end: int
 
 
+def batches_of(part: Range, size: int = 16) -> Iterator[pa.RecordBatch]:
+    """A range's chunks, a few at a time."""
+    for k in range(part.start, part.end, size):
+        rows = list(read_chunks(part.path, k, min(part.end, k + size)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["path", "chunk_index", "data"])
+
+
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
@@ -77,14 +84,14 @@ class Reader(DataSourceReader):
         return out or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        rows = list(read_chunks(partition.path, partition.start, partition.end)) if partition.path else []
-        for k in range(0, len(rows), 16):
-            part = rows[k : k + 16]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.binary())], ["path", "chunk_index", "data"])
+        yield from batches_of(partition)
+
 
+class Follower(DataSourceStreamReader):
+    """New files, and new chunks of known files, since the last offset {path: next chunk}.
 
-class Follower(SimpleDataSourceStreamReader):
-    """New files, and new chunks of known files, since the last offset: {path: next chunk}."""
+    The driver reads headers only; chunks are read where they are decoded.
+    """
 
     def __init__(self, options: dict):
         self.options = options
@@ -92,17 +99,15 @@ class Follower(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        end, rows = dict(start), []
-        for path in files_of(self.options["path"]):
-            if os.path.exists(path) and (n := count_chunks(path)) > start.get(path, 0):
-                rows += read_chunks(path, start.get(path, 0), n)
-                end[path] = n
-        return iter(rows), end
+    def latestOffset(self) -> dict:
+        return {path: count_chunks(path) for path in files_of(self.options["path"]) if os.path.exists(path)}
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        step = int(self.options.get("chunksPerPartition", 64))
+        return [Range(path, k, min(n, k + step)) for path, n in end.items() for k in range(start.get(path, 0), n, step)]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        for path, n in end.items():
-            yield from read_chunks(path, start.get(path, 0), n)
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        yield from batches_of(partition)
 
 
 class EventLog(DataSource):
@@ -116,7 +121,7 @@ class EventLog(DataSource):
     def reader(self, schema) -> Reader:
         return Reader(self.options)
 
-    def simpleStreamReader(self, schema) -> Follower:
+    def streamReader(self, schema) -> Follower:
         return Follower(self.options)
 
 

@@ -6,12 +6,10 @@ import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: Most words whose fingerprints a task remembers; beyond it the memory starts afresh, results stay the same.
-WORD_CACHE = 1_000_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -30,35 +28,93 @@ def table(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._scratch = target
+    return written
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
+def discard(*tables: DataFrame) -> None:
+    """Delete such tables once all that was to come of them is itself a table."""
+    for df in tables:
+        df._scratch.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(df._scratch, True)
 
-class Fingerprints(dict):
-    """64-bit fingerprints of words (bytes), remembered."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), U64, len(words))
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def ascii_words(text: str | None) -> list[bytes]:
-    """`[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; bytes methods touch ASCII only."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+#: Bits of the bitmap that thins rows before a semi-join by id.
+THIN_BITS = 1 << 23
+
+
+def thinned(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id may be among `ids` (one column), so that few of the others are shuffled for the join by id.
+
+    The ids become a bitmap of THIN_BITS hashed positions, 1 MB whatever their number, which is broadcast.
+    """
+    spot = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(THIN_BITS)) + 1
+    bits = ids.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("thin_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("thin_bits"))
+    own = F.pmod(F.xxhash64(F.col(id_col)), F.lit(THIN_BITS)) + 1
+    placed = rows.withColumns({"thin_bucket": F.bitmap_bucket_number(own), "thin_at": F.bitmap_bit_position(own)})
+    byte = "CAST(conv(hex(substring(thin_bits, CAST(thin_at div 8 AS INT) + 1, 1)), 16, 10) AS INT)"
+    return placed.join(F.broadcast(bits), "thin_bucket").where(f"({byte} & shiftleft(1, CAST(thin_at % 8 AS INT))) <> 0").select(*rows.columns)
+
+
+class WordPrints:
+    """64-bit fingerprints of a text's words, straight from its UTF-8 bytes: no word becomes a Python object.
+
+    Words are the runs of bytes outside `separators`; A-Z count as a-z. A word's fingerprint is a polynomial over its
+    bytes modulo 2 ** 64, taken from running sums over the text, and then mixed.
+    """
+
+    STRETCH = 1 << 20
+
+    def __init__(self, separators: bytes = b" \t\n\x0b\x0c\r"):
+        rng = np.random.default_rng(20240229)
+        self.values = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+        self.values[65:91] = self.values[97:123]
+        self.gap = np.zeros(256, bool)
+        self.gap[list(separators)] = True
+        self.values[self.gap] = 0
+        self.base = 0x9E3779B97F4A7C15
+        self.powers, self.inverses = np.ones(1, U64), np.ones(1, U64)
+
+    def grow(self, n: int) -> None:
+        back = pow(self.base, -1, 1 << 64)
+        while len(self.powers) < n:
+            k = len(self.powers)
+            self.powers = np.concatenate([self.powers, self.powers * U64(pow(self.base, k, 1 << 64))])
+            self.inverses = np.concatenate([self.inverses, self.inverses * U64(pow(back, k, 1 << 64))])
+
+    def of(self, text: str | None) -> np.ndarray:
+        data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+        found, start = [], 0
+        while start < len(data):  # a long text is read in stretches that end between words
+            size = self.STRETCH
+            while start + size < len(data) and not self.gap[data[start : start + size]].any():
+                size *= 2
+            end = min(len(data), start + size)
+            if end < len(data):
+                end = start + int(np.flatnonzero(self.gap[data[start:end]])[-1]) + 1
+            found.append(self.stretch(data[start:end]))
+            start = end
+        return found[0] if len(found) == 1 else np.concatenate([np.empty(0, U64), *found])
+
+    def stretch(self, data: np.ndarray) -> np.ndarray:
+        n = len(data)
+        self.grow(n + 1)
+        edge = np.ones(n + 2, bool)
+        edge[1:-1] = self.gap[data]
+        turn = np.flatnonzero(edge[1:] != edge[:-1])
+        first, last = turn[::2], turn[1::2]
+        sums = np.zeros(n + 1, U64)
+        np.cumsum(self.values[data] * self.powers[:n], out=sums[1:])
+        return mix((sums[last] - sums[first]) * self.inverses[first] + (last - first).astype(U64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64)."""
-    x = x.astype(U64, copy=True)
-    x ^= x >> U64(30)
+    x = x ^ (x >> U64(30))
     x *= U64(0xBF58476D1CE4E5B9)
     x ^= x >> U64(27)
     x *= U64(0x94D049BB133111EB)
@@ -73,6 +129,8 @@ def shingles(prints: np.ndarray, width: int = 5) -> np.ndarray:
         return np.empty(0, U64)
     runs = max(1, n - width + 1)
     out = np.full(runs, min(n, width), U64)
+    factor = 1
     for k in range(min(n, width)):
-        out = mix(out * U64(0x9E3779B97F4A7C15) + prints[k : k + runs])
-    return out
+        factor = factor * 0xD1342543DE82EF95 % (1 << 64)
+        out += prints[k : k + runs] * U64(factor)
+    return mix(out)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Fingerprints, documents, shingles
+from .common import WordPrints, documents, shingles
 
 SEED = 3
 #: Items in a block, and the words of an item from which it counts as evidence.
@@ -28,12 +28,17 @@ DIFFER, MISSING, SHARE = 0.5, 0.5, 0.5
 #: Words that an alignment must score at least (an item with fewer must be there whole).
 LEAST_SCORE = 8
 
-_PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+SIGNS = bytes(b for b in range(128) if not chr(b).isalnum())
 
 
-def plain_words(text: str | None) -> list[bytes]:
+class PlainWords(WordPrints):
     """The lower-cased words without ASCII signs."""
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()
+
+    def __init__(self):
+        super().__init__(SIGNS)
+
+    def of(self, text: str | None) -> np.ndarray:
+        return super().of((text or "").lower())
 
 
 @dataclass
@@ -46,8 +51,8 @@ class Block:
 
     @staticmethod
     def of(rows: list[tuple[int | None, str | None]]) -> Block:
-        prints = Fingerprints()
-        kept = [(i, prints.of(w)) for i, t in rows if len(w := plain_words(t)) >= LEAST_WORDS]
+        prints = PlainWords()
+        kept = [(i, w) for i, t in rows if len(w := prints.of(t)) >= LEAST_WORDS]
         all_seeds = [shingles(w, SEED) for _, w in kept]
         flat = np.concatenate([np.empty(0, np.uint64), *all_seeds])
         seeds, at = np.unique(flat, return_inverse=True)
@@ -142,11 +147,11 @@ def seed_counts(docs: DataFrame, block: Block) -> np.ndarray:
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, prints = shared.value, Fingerprints()
+        known, prints = shared.value, PlainWords()
         counts = np.zeros(len(known.seeds), np.int64)
         for batch in batches:
             for text in batch.column(0):
-                counts[np.unique(known.find(shingles(prints.of(plain_words(text.as_py())), SEED))[1])] += 1
+                counts[np.unique(known.find(shingles(prints.of(text.as_py()), SEED))[1])] += 1
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["seed", "n"])
 
@@ -183,11 +188,11 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", i
         shared = spark.sparkContext.broadcast(block.keep(seed_counts(texts, block)))
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known, prints = shared.value, Fingerprints()
+            known, prints = shared.value, PlainWords()
             for batch in batches:
                 out = []
                 for text, old in zip(batch.column(2), batch.column(1).to_pylist(), strict=True):
-                    got = known.matches(prints.of(plain_words(text.as_py())))
+                    got = known.matches(prints.of(text.as_py()))
                     out.append(old + [{"item_id": known.ids[i], "score": s, "first": a, "last": b} for i, s, a, b in got])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["row", "copies"])
 

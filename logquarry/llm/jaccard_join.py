@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Fingerprints, ascii_words, documents, mix, shingles, table
+from .common import WordPrints, discard, documents, mix, shingles, table, thinned
 from .components import components
 
 #: Counters of the sketch (2 ** bits), in slices that are summed apart; and the list length at which salting begins.
@@ -28,15 +28,15 @@ BLOCK = 1.26
 INT = np.int64
 
 
-def shingle_set(prints: Fingerprints, text: str | None, width: int) -> np.ndarray:
-    return np.unique(shingles(prints.of(ascii_words(text)), width))
+def shingle_set(prints: WordPrints, text: str | None, width: int) -> np.ndarray:
+    return np.unique(shingles(prints.of(text), width))
 
 
 def scan(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of kind 0: doc, n and two fingerprints of each row's set; of kind 1: a task's counts of shingles, by slice."""
+    """Rows of kind 0: doc, n and two fingerprints of each row's set; of kind 1: a task's counts of shingles (a byte each), by slice."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints, counts = Fingerprints(), np.zeros(1 << SKETCH_BITS, np.uint32)
+        prints, counts = WordPrints(), np.zeros(1 << SKETCH_BITS, np.uint32)
         names = ["kind", "doc", "n", "f1", "f2", "counts"]
         for batch in batches:
             found = []
@@ -44,12 +44,12 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
                 s = shingle_set(prints, text.as_py(), width)
                 at = (s >> np.uint64(64 - SKETCH_BITS)).astype(INT)
                 np.add.at(counts, at, 1)
-                found.append((len(s), int(s.sum(dtype=np.uint64).view(INT)), int(mix(s).sum(dtype=np.uint64).view(INT))))
+                found.append((len(s), int(s.sum(dtype=np.uint64).view(INT)), int(np.bitwise_xor.reduce(s, initial=0).view(INT))))
             k = len(found)
             n, f1, f2 = (pa.array(np.array([x[i] for x in found], INT)) for i in range(3))
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), batch.column(0).cast(pa.int64()), n, f1, f2, pa.nulls(k, pa.binary())], names)
         if counts.any():
-            parts = [p.astype("<u2").tobytes() for p in np.minimum(counts, 65535).reshape(SLICES, -1)]
+            parts = [p.astype(np.uint8).tobytes() for p in np.minimum(counts, 255).reshape(SLICES, -1)]
             none = pa.nulls(SLICES, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(SLICES, np.int32)), none, pa.array(np.arange(SLICES)), none, none, pa.array(parts, pa.binary())], names)
 
@@ -68,7 +68,7 @@ def salt_levels(scanned: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.frombuffer(part.as_py(), "<u2").astype(INT)
+                part = np.frombuffer(part.as_py(), np.uint8).astype(INT)
                 sums[k] = sums[k] + part if k in sums else part
         for k, total in sums.items():
             over = np.maximum(0, total - most) // LIST
@@ -81,10 +81,15 @@ def salt_levels(scanned: DataFrame) -> np.ndarray:
     return levels.ravel()
 
 
+def rest(n, percent: int):
+    """How many of a set's shingles stand after its prefix."""
+    return (percent * n + 99) // 100 - 1
+
+
 def prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The set's first shingles in the common order (rare first), so many that linked sets share one; and their levels."""
     level = levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(INT)]
-    keep = len(s) - (percent * len(s) + 99) // 100 + 1
+    keep = len(s) - rest(len(s), percent)
     order = np.argsort(level, kind="stable")[:keep] if level.any() else np.arange(keep)
     return s[order], level[order]
 
@@ -94,12 +99,12 @@ def postings(docs: DataFrame, levels: np.ndarray, width: int, percent: int) -> D
     shared = docs.sparkSession.sparkContext.broadcast(levels.tobytes())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints, known = Fingerprints(), np.frombuffer(shared.value, np.uint8)
+        prints, known = WordPrints(), np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             seen, parts = set(), []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingle_set(prints, text.as_py(), width)
-                key = (len(s), int(s.sum(dtype=np.uint64)), int(mix(s).sum(dtype=np.uint64)))
+                key = (len(s), int(s.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(s, initial=0)))
                 if doc is None or not len(s) or key in seen:
                     continue
                 seen.add(key)
@@ -121,11 +126,13 @@ def possible(na, nb, pa_, pb, percent: int):
 
 
 def lists(found: DataFrame, percent: int) -> DataFrame:
-    """Streams the sorted lists. Kind 0: pairs (a, b) of a pivot and a member; 1: members (h, a = doc, n, pos) of lists
-    of three or more or of salted ones; 2: heads (h, a, n, pos) of salted lists, which are linked across salts."""
+    """Streams the sorted lists. Kind 0: pairs (a, b) of a pivot and a member, and in how many of the task's lists (pos); 1: members (h, a = doc, n, pos) of lists
+    of two or more or of salted ones; 2: heads (h, a, n, pos) of salted lists, which are linked across salts."""
+
+    names = ["kind", "h", "a", "b", "n", "pos"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, pairs = None, []
         for batch in batches:
             x = [c.to_numpy() for c in batch.columns]
             if held is not None:
@@ -136,27 +143,37 @@ def lists(found: DataFrame, percent: int) -> DataFrame:
                 continue
             cut = new[-1] if len(new) else len(x[0])  # a list longer than that goes on with a new pivot
             held = [a[cut:] for a in x]
-            yield from whole([a[:cut] for a in x])
+            yield from whole([a[:cut] for a in x], pairs)
+            if sum(len(p[0]) for p in pairs) > 1_000_000:
+                yield counted(pairs)
+                pairs = []
         if held is not None and len(held[0]):
-            yield from whole(held)
-
-    def whole(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            yield from whole(held, pairs)
+        if pairs:
+            yield counted(pairs)
+
+    def counted(pairs: list[tuple]) -> pa.RecordBatch:
+        """Each pair once, with the number of lists in `pos`."""
+        a, b, n = (np.concatenate(c) for c in zip(*pairs, strict=True))
+        order = np.lexsort((b, a))
+        a, b, n = a[order], b[order], n[order]
+        at = np.flatnonzero(np.concatenate([[True], (np.diff(a) != 0) | (np.diff(b) != 0)])[: len(a)])
+        times = np.diff(np.append(at, len(a))).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int32)), pa.array(np.zeros(len(at), INT)), pa.array(a[at]), pa.array(b[at]), pa.array(n[at]), pa.array(times)], names)
+
+    def whole(x: list[np.ndarray], pairs: list[tuple]) -> Iterator[pa.RecordBatch]:
         h, salt, doc, n, pos = x
         starts = np.concatenate([[0], np.flatnonzero((np.diff(h) != 0) | (np.diff(salt) != 0)) + 1])
         size = np.diff(np.append(starts, len(h)))
         at = np.repeat(np.arange(len(starts)), size)
         first = starts[at]
-        out = []
         pair = (np.arange(len(h)) != first) & (doc != doc[first]) & possible(n[first].astype(INT), n.astype(INT), pos[first], pos, percent)
         a, b = doc[first][pair], doc[pair]
-        out.append((0, np.zeros(len(a), INT), np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int32), np.zeros(len(a), np.int32)))
-        m = (size[at] > 2) | (salt >= 0)
-        out.append((1, h[m], doc[m], doc[m], n[m], pos[m]))
-        k = starts[salt[starts] >= 0]
-        out.append((2, h[k], doc[k], doc[k], n[k], pos[k]))
-        for kind, *columns in out:
-            if len(columns[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *map(pa.array, columns)], ["kind", "h", "a", "b", "n", "pos"])
+        pairs.append((np.minimum(a, b), np.maximum(a, b), n[first][pair]))
+        m, k = (size[at] > 1) | (salt >= 0), starts[salt[starts] >= 0]
+        for kind, part in ((1, m), (2, k)):
+            if len(doc[part]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc[part]), kind, np.int32)), *(pa.array(c[part]) for c in (h, doc, doc, n, pos))], names)
 
     sorted_lists = found.repartition("h", "salt").sortWithinPartitions("h", "salt", "n", "doc")
     return sorted_lists.mapInArrow(read, "kind int, h long, a long, b long, n int, pos int")
@@ -166,14 +183,19 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(doc, shingles) of the wanted ids: the sorted set, packed."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints = Fingerprints()
+        prints = WordPrints()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([shingle_set(prints, t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary())], ["doc", "shingles"])
 
-    wanted = docs.join(ids.withColumnRenamed("id", "doc").hint("shuffle_hash"), "doc", "left_semi")
+    wanted = thinned(docs, ids, "doc").join(ids.withColumnRenamed("id", "doc").hint("shuffle_hash"), "doc", "left_semi")
     return wanted.select("doc", "text").mapInArrow(read, "doc long, shingles binary")
 
 
+def sets_of_pairs(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    ids = table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    return table(sets_of(docs, ids, width), "candidates")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link: 100 * intersection >= percent * union."""
 
@@ -211,26 +233,32 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     members = listed.where("kind = 1").select("h", F.col("a").alias("doc"), "n", "pos")
     heads = listed.where("kind = 2")
     tops = heads.groupBy("h").agg(F.min(F.struct("n", "a")).alias("top"))
-    across = heads.join(tops, "h").where("a <> top.a AND 100L * top.n >= %d * n" % percent).select(F.least("a", "top.a").alias("a"), F.greatest("a", "top.a").alias("b"))
-    pairs = table(listed.where("kind = 0").select("a", "b").union(across).distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("doc")).distinct()
-    sets = table(sets_of(docs, ids, width), "candidates")
-
+    across = heads.join(tops, "h").where("a <> top.a AND 100L * top.n >= %d * n" % percent).select(F.least("a", "top.a").alias("a"), F.greatest("a", "top.a").alias("b"), F.least("n", "top.n").alias("n"))
+    # a pivot's pairs are worth a comparison where it shares much of a prefix; what that leaves out stays open below
+    tried = listed.where("kind = 0").select("a", "b", "n", F.col("pos").alias("times")).union(across.withColumn("times", F.lit(1)))
+    tried = tried.groupBy("a", "b").agg(F.sum("times").alias("shared"), F.min("n").alias("n"))
+    pairs = table(tried.where(f"shared * 250 >= {100 - percent} * n").select("a", "b"), "pairs")
+    sets = sets_of_pairs(docs, pairs, width)
     links = table(verify(pairs, sets, percent).union(equal), "links")
     known = components(links)
     # what the pivots' answers leave open: pairs of a list whose components differ
     named = members.join(known, members.doc == known.id, "left").select("h", "doc", "n", "pos", F.coalesce("component", "doc").alias("component"))
     named = table(named, "members")
+    discard(listed, sets)
     mixed = named.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
     rest = named.join(mixed, "h").withColumn("block", F.floor(F.log(BLOCK, F.col("n"))).cast("int"))
     a = rest.select("h", "block", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
     b = rest.select("h", F.explode(F.array("block", F.col("block") - 1)).alias("block"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
-    left = F.expr(f"100L * na >= {percent} * nb AND {100 + percent}L * least(na - pa, nb - pb) >= {percent} * (na + nb)")
-    more = a.join(b, ["h", "block"]).where("(na < nb OR na = nb AND a < b) AND ca <> cb").where(left)
-    tried = pairs.select("a", "b")
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    late = table(verify(more, sets, percent), "late-links")
-    if not late.isEmpty():
+    met = a.join(b, ["h", "block"]).where(f"(na < nb OR na = nb AND a < b) AND ca <> cb AND 100L * na >= {percent} * nb")
+    # all that two prefixes share is in their lists: beyond it the sets can share what stands after the last of it, and
+    # what stands after the prefix that ends first
+    shared = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    after = f"least(na - pa - 1, nb - pb - 1, ({percent}L * nb + 99) div 100 - 1)"  # nb is the larger set, and has more after its prefix
+    open_pairs = shared.where(f"{100 + percent}L * (k + {after}) >= {percent}L * (na + nb)")
+    more = table(open_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(pairs, ["a", "b"], "left_anti"), "open-pairs")
+    discard(named)
+    if not more.isEmpty():
+        late = table(verify(more, sets_of_pairs(docs, more, width), percent), "late-links")
         known = components(links.union(late))
     return rows.join(known, rows.doc == known.id, "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
 

@@ -21,12 +21,14 @@ from .common import table
 from .components import components
 
 #: Vectors of a chunk (one tree), about; and the most pivots, which go to every task.
-CHUNK, PIVOTS = 2048, 1024
+CHUNK, PIVOTS = 4096, 1024
 SLACK = 1e-9
+#: Node pairs of at most so many point pairs are compared point by point instead of being opened further.
+SMALL = 1 << 14
 
 
-def unit(rows: list) -> np.ndarray:
-    x = np.array([np.asarray(r, np.float64) for r in rows])
+def unit(rows) -> np.ndarray:
+    x = np.asarray(rows if isinstance(rows, np.ndarray) else np.stack([np.asarray(r, np.float64) for r in rows]), np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -37,7 +39,8 @@ def distance(cos: np.ndarray) -> np.ndarray:
 class CoverTree:
     """Nodes as arrays: centre (a point), radius (covers the subtree), lo and hi (its points, in depth-first order), kids."""
 
-    def __init__(self, x: np.ndarray, weight: np.ndarray, ids: np.ndarray):
+    def __init__(self, raw: np.ndarray, weight: np.ndarray, ids: np.ndarray):
+        x = unit(raw)
         self.centre, self.radius, self.lo, self.hi, self.kids, order = [], [], [], [], [], []
         waiting = [(np.arange(len(x)), 0, 2.0, -1)]
         while waiting:
@@ -73,10 +76,28 @@ class CoverTree:
         order = np.array(order)
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        self.x, self.weight, self.ids = x[order], weight[order], ids[order]
+        short = raw.astype(np.float32)
+        self.raw, self.weight, self.ids = (short if (short == raw).all() else raw)[order], weight[order], ids[order]
         self.centre, self.radius, self.lo, self.hi = back[self.centre], np.array(self.radius), np.array(self.lo), np.array(self.hi)
-        self.kids = [np.array(k if k else [i]) for i, k in enumerate(self.kids)]
+        kids = [k if k else [i] for i, k in enumerate(self.kids)]
+        self.kids, self.kids_from = np.array([k for ks in kids for k in ks]), np.cumsum([0, *map(len, kids)])
         self.before = np.concatenate([[0], np.cumsum(self.weight)])
+        self.fill()
+
+    def fill(self) -> None:
+        """What follows from the rest, and isn't shuffled."""
+        self.x = unit(self.raw)
+        self.single = self.x.astype(np.float32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("x", "single")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.fill()
+
+    def kids_of(self, node: int) -> np.ndarray:
+        return self.kids[self.kids_from[node] : self.kids_from[node + 1]]
 
     def total(self, nodes: np.ndarray) -> np.ndarray:
         return self.before[self.hi[nodes]] - self.before[self.lo[nodes]]
@@ -105,41 +126,68 @@ def walk(a: CoverTree, b: CoverTree, threshold: float, same: bool) -> tuple[np.n
         links_a[a.hi[m]] -= b.total(n)
         links_b[b.lo[n]] += a.total(m)
         links_b[b.hi[n]] -= a.total(m)
-        for i in range(a.lo[m], a.hi[m]):
-            join(i, shift + b.lo[n])
-        for j in range(b.lo[n], b.hi[n]):
-            join(a.lo[m], shift + j)
+        unite(np.arange(a.lo[m], a.hi[m]), np.full(a.hi[m] - a.lo[m], shift + b.lo[n]))
+        unite(shift + np.arange(b.lo[n], b.hi[n]), np.full(b.hi[n] - b.lo[n], a.lo[m]))
+
+    def unite(p: np.ndarray, q: np.ndarray) -> None:
+        """Join p[i] with q[i] for all i; a round joins one pair for each component that is still apart from another."""
+        while len(p):
+            top = root
+            while (top[top] != top).any():
+                top = top[top]
+            root[:] = top
+            p, q = top[p], top[q]
+            apart = p != q
+            p, q = p[apart], q[apart]
+            _, first = np.unique(p, return_index=True)
+            for i in first:
+                join(int(p[i]), int(q[i]))
+
+    def leaves(ca: np.ndarray, cb: np.ndarray) -> None:
+        """Single points against single points: single precision proposes, double precision decides."""
+        i, j = np.nonzero(a.single[ca] @ b.single[cb].T >= threshold - 1e-4)
+        keep = np.concatenate([np.empty(0, bool), *[np.einsum("ij,ij->i", a.x[ca[i[k : k + 65536]]], b.x[cb[j[k : k + 65536]]]) >= threshold for k in range(0, len(i), 65536)]])
+        i, j = i[keep], j[keep]
+        if len(i):
+            links_a_of(ca, np.bincount(i, b.weight[cb[j]], len(ca)))
+            links_b_of(cb, np.bincount(j, a.weight[ca[i]], len(cb)))
+            unite(ca[i], cb[j] + shift)
+
+    def links_a_of(where: np.ndarray, gain: np.ndarray) -> None:
+        np.add.at(links_a, where, gain)
+        np.subtract.at(links_a, where + 1, gain)
+
+    def links_b_of(where: np.ndarray, gain: np.ndarray) -> None:
+        np.add.at(links_b, where, gain)
+        np.subtract.at(links_b, where + 1, gain)
 
     waiting = [(0, 0)]
     while waiting:
         m, n = waiting.pop()
-        kids_b = b.kids[n]
-        rb = b.radius[kids_b]
-        for start in range(0, len(a.kids[m]), 1024):
-            kids_a = a.kids[m][start : start + 1024]
-            cos = a.x[a.centre[kids_a]] @ b.x[b.centre[kids_b]].T
-            ra = a.radius[kids_a]
-            if not ra.any() and not rb.any():
-                hit, open_i, open_j, full = cos >= threshold, (), (), ()
-            else:
-                d, both = distance(cos), ra[:, None] + rb[None, :]
-                leaf = both == 0
-                hit = leaf & (cos >= threshold)
-                whole = ~leaf & (d + both <= reach - SLACK)
-                full = list(zip(*np.nonzero(whole), strict=True))
-                open_i, open_j = np.nonzero(~leaf & ~whole & (d - both <= reach + SLACK))
-            i, j = np.nonzero(hit)
-            if len(i):
-                pa, pb = a.centre[kids_a[i]], b.centre[kids_b[j]]
-                gain_a, gain_b = np.bincount(i, b.weight[pb], len(kids_a)), np.bincount(j, a.weight[pa], len(kids_b))
-                for links, where, gain in ((links_a, a.centre[kids_a], gain_a), (links_b, b.centre[kids_b], gain_b)):
-                    np.add.at(links, where, gain)
-                    np.subtract.at(links, where + 1, gain)
-                for p, q in zip(pa, pb, strict=True):
-                    join(int(p), int(q) + shift)
-            for i, j in full:
-                all_link(int(kids_a[i]), int(kids_b[j]))
-            waiting += [(int(kids_a[i]), int(kids_b[j])) for i, j in zip(open_i, open_j, strict=True)]
+        if (a.hi[m] - a.lo[m]) * (b.hi[n] - b.lo[n]) <= SMALL:
+            leaves(np.arange(a.lo[m], a.hi[m]), np.arange(b.lo[n], b.hi[n]))
+            continue
+        kids_b = b.kids_of(n)
+        single_b = b.radius[kids_b] == 0
+        for start in range(0, len(a.kids_of(m)), 1024):
+            kids_a = a.kids_of(m)[start : start + 1024]
+            single_a = a.radius[kids_a] == 0
+            leaves(a.centre[kids_a[single_a]], b.centre[kids_b[single_b]])
+            for ka, kb in ((kids_a[~single_a], kids_b), (kids_a[single_a], kids_b[~single_b])):
+                if len(ka) and len(kb):
+                    d = distance(a.x[a.centre[ka]] @ b.x[b.centre[kb]].T)
+                    both = a.radius[ka][:, None] + b.radius[kb][None, :]
+                    whole = d + both <= reach - SLACK
+                    for i, j in zip(*np.nonzero(whole), strict=True):
+                        all_link(int(ka[i]), int(kb[j]))
+                    near = ~whole & (d - both <= reach + SLACK)
+                    one_a, one_b = a.radius[ka] == 0, b.radius[kb] == 0
+                    # a node against single points: all of them at once
+                    for i in np.flatnonzero((near & one_b).any(axis=1)):
+                        leaves(np.arange(a.lo[ka[i]], a.hi[ka[i]]), b.centre[kb[near[i] & one_b]])
+                    for j in np.flatnonzero((near & one_a[:, None] & ~one_b).any(axis=0)):
+                        leaves(a.centre[ka[near[:, j] & one_a]], np.arange(b.lo[kb[j]], b.hi[kb[j]]))
+                    waiting += [(int(ka[i]), int(kb[j])) for i, j in zip(*np.nonzero(near & ~one_a[:, None] & ~one_b), strict=True)]
     roots = np.array([find(i) for i in range(len(root))])
     return np.rint(np.cumsum(links_a[:-1])), np.rint(np.cumsum(links_b[:-1])), roots
 
@@ -208,7 +256,7 @@ def links_of(part: DataFrame, pivots: np.ndarray, threshold: float) -> DataFrame
     chunked = placed.join(F.broadcast(cuts), "cell").withColumn("chunk", F.expr("cell * 4294967296L + pmod(xxhash64(vec), cuts)"))
 
     def plant(rows: pd.DataFrame) -> pd.DataFrame:
-        tree = CoverTree(unit(list(rows.x)), rows.weight.to_numpy(np.float64), rows.vec.to_numpy(np.int64))
+        tree = CoverTree(np.stack(list(rows.x)), rows.weight.to_numpy(np.float64), rows.vec.to_numpy(np.int64))
         return pd.DataFrame({"chunk": [rows.chunk[0]], "cell": [rows.cell[0]], "tree": [pickle.dumps(tree)]})
 
     trees = table(chunked.groupBy("chunk").applyInPandas(plant, "chunk long, cell int, tree binary"), "trees")

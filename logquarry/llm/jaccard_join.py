@@ -166,11 +166,17 @@ def lists(found: DataFrame, percent: int) -> DataFrame:
         starts = np.concatenate([[0], np.flatnonzero((np.diff(h) != 0) | (np.diff(salt) != 0)) + 1])
         size = np.diff(np.append(starts, len(h)))
         at = np.repeat(np.arange(len(starts)), size)
-        first = starts[at]
-        pair = (np.arange(len(h)) != first) & (doc != doc[first]) & possible(n[first].astype(INT), n.astype(INT), pos[first], pos, percent)
+        # the pivot is the set that stands in the most and longest lists here: what copies have in common, it has
+        _, who = np.unique(doc, return_inverse=True)
+        weight = np.bincount(who, np.where(size[at] > 1, size[at], 0))[who]
+        order = np.lexsort((doc, -weight, at))
+        top = order[starts]
+        first = top[at]
+        low, high = np.where(n <= n[first], np.arange(len(h)), first), np.where(n <= n[first], first, np.arange(len(h)))
+        pair = (np.arange(len(h)) != first) & (doc != doc[first]) & possible(n[low].astype(INT), n[high].astype(INT), pos[low], pos[high], percent)
         a, b = doc[first][pair], doc[pair]
-        pairs.append((np.minimum(a, b), np.maximum(a, b), n[first][pair]))
-        m, k = (size[at] > 1) | (salt >= 0), starts[salt[starts] >= 0]
+        pairs.append((np.minimum(a, b), np.maximum(a, b), n[low][pair]))
+        m, k = (size[at] > 1) | (salt >= 0), top[salt[starts] >= 0]
         for kind, part in ((1, m), (2, k)):
             if len(doc[part]):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc[part]), kind, np.int32)), *(pa.array(c[part]) for c in (h, doc, doc, n, pos))], names)
@@ -233,7 +239,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     members = listed.where("kind = 1").select("h", F.col("a").alias("doc"), "n", "pos")
     heads = listed.where("kind = 2")
     tops = heads.groupBy("h").agg(F.min(F.struct("n", "a")).alias("top"))
-    across = heads.join(tops, "h").where("a <> top.a AND 100L * top.n >= %d * n" % percent).select(F.least("a", "top.a").alias("a"), F.greatest("a", "top.a").alias("b"), F.least("n", "top.n").alias("n"))
+    across = heads.join(tops, "h").where(f"a <> top.a AND 100L * least(n, top.n) >= {percent} * greatest(n, top.n)").select(F.least("a", "top.a").alias("a"), F.greatest("a", "top.a").alias("b"), F.least("n", "top.n").alias("n"))
     # a pivot's pairs are worth a comparison where it shares much of a prefix; what that leaves out stays open below
     tried = listed.where("kind = 0").select("a", "b", "n", F.col("pos").alias("times")).union(across.withColumn("times", F.lit(1)))
     tried = tried.groupBy("a", "b").agg(F.sum("times").alias("shared"), F.min("n").alias("n"))

@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores the copies.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores the copies.
 
 The test items, a stated query set, are taken in blocks of at most ITEMS; a block's seeds (runs of three words) are a
-table of bounded size that goes to every task, so no text is shuffled. A first pass counts in how many documents each
-seed stands; an item's seeds that are far more frequent than its median seed, such as runs of function words, are left
-out. A second pass aligns the item with each stretch of a document where two of its rare seeds meet on near diagonals.
+table of bounded size that goes to every task, so no text is shuffled. An item is aligned with each stretch of a
+document where two of its seeds meet on near diagonals and which holds enough of its words to reach the least score; how
+often a seed stands in the documents plays no part, so a copy is found however many others there are.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from .common import WordPrints, documents, shingles
 SEED = 3
 #: Items in a block, and the words of an item from which it counts as evidence.
 ITEMS, LEAST_WORDS = 20_000, 5
-#: A seed is rare up to this many times the median document count of its item's seeds.
-RARE = 4
 #: Alignment: each equal word counts 1; what a differing and what a missing word costs; the least share of the item's words.
 DIFFER, MISSING, SHARE = 0.5, 0.5, 0.5
 #: Words that an alignment must score at least (an item with fewer must be there whole).
@@ -61,22 +59,6 @@ class Block:
         owner = np.stack([at.astype(np.int64), item.astype(np.int64), pos.astype(np.int64)], axis=1)
         return Block([i for i, _ in kept], [w for _, w in kept], seeds, owner[np.argsort(at, kind="stable")], flags(seeds))
 
-    def keep(self, counts: np.ndarray) -> Block:
-        """With the rare seeds only: up to RARE times the median of the item's seeds' document counts."""
-        if not len(self.owner):
-            return self
-        n = counts[self.owner[:, 0]]
-        order = np.lexsort((n, self.owner[:, 1]))
-        items, first, size = np.unique(self.owner[order, 1], return_index=True, return_counts=True)
-        median = np.zeros(len(self.words))
-        median[items] = n[order][first + (size - 1) // 2]
-        owner = self.owner[n <= RARE * np.maximum(1, median[self.owner[:, 1]])]
-        used, at = np.unique(owner[:, 0], return_inverse=True)
-        seeds = self.seeds[used]
-        owner = owner.copy()
-        owner[:, 0] = at
-        return Block(self.ids, self.words, seeds, owner, flags(seeds))
-
     def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where in grams a seed stands, and which."""
         if not len(self.seeds):
@@ -101,11 +83,11 @@ class Block:
         length = np.array([len(w) for w in self.words])
         slack = length[item] // 3 + 3
         cut = np.flatnonzero((np.diff(item) != 0) | (np.diff(diagonal) > slack[1:])) + 1
+        first, after = np.append(0, cut), np.append(cut, len(item))
+        several = np.minimum.reduceat(seed, first) != np.maximum.reduceat(seed, first)
         best: dict[int, tuple[float, int, int]] = {}
-        for a, b in zip([0, *cut], [*cut, len(item)], strict=True):
+        for a, b in zip(first[several].tolist(), after[several].tolist(), strict=True):
             i, n = int(item[a]), int(length[item[a]])
-            if b - a < 2 or (seed[a:b] == seed[a]).all():
-                continue
             start, end = max(0, int(diagonal[a]) - n // 3 - 3), min(len(words), int(diagonal[b - 1]) + n + n // 3 + 3)
             for part in range(start, end, 4 * n + 200):  # a long run of copies is aligned stretch by stretch
                 found = align(self.words[i], words[part : min(end, part + 6 * n + 200)])
@@ -134,33 +116,17 @@ def scores(item: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int, int] | None:
     """(score as a share of the item, first, last word) of the best alignment, if that is good enough."""
+    least = max(SHARE * len(item), min(LEAST_SCORE, len(item)))
+    if np.isin(item, words).sum() < least:  # no alignment scores more than the words that are there at all
+        return None
     ends = scores(item, words)
-    last = int(ends.argmax()) if len(ends) else 0
-    if not len(ends) or ends[last] < max(SHARE * len(item), min(LEAST_SCORE, len(item))):
+    last = int(ends.argmax())
+    if ends[last] < least:
         return None
     back = scores(item[::-1], words[: last + 1][::-1])
     return float(ends[last] / len(item)), last - int(back.argmax()), last
 
 
-def seed_counts(docs: DataFrame, block: Block) -> np.ndarray:
-    """In how many rows each seed of the block stands; at most a row for each seed and task is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, prints = shared.value, PlainWords()
-        counts = np.zeros(len(known.seeds), np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                counts[np.unique(known.find(shingles(prints.of(text.as_py()), SEED))[1])] += 1
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["seed", "n"])
-
-    counts = np.zeros(len(block.seeds), np.int64)
-    for row in docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
-        counts[row.seed] = row.n
-    return counts
-
-
 def blocks_of(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Block]:
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     count = items.count()
@@ -181,11 +147,10 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", i
     struct = "struct<item_id:bigint,score:double,first:bigint,last:bigint>"
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first", pa.int64()), ("last", pa.int64())]))
     found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.array().cast(f"array<{struct}>").alias("copies"))
-    texts = docs.select(F.col(f"`{text_col}`").alias("text"))
     for block in blocks_of(benchmark, item_id, item_text):
         if not block.words:
             continue
-        shared = spark.sparkContext.broadcast(block.keep(seed_counts(texts, block)))
+        shared = spark.sparkContext.broadcast(block)
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known, prints = shared.value, PlainWords()

@@ -21,3 +21,13 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert find_copies(documents(spark, []), none).count() == 0
     assert [r.copies for r in find_copies(documents(spark, [(1, "a b c d e f")]), none).collect()] == [[]]
+
+
+def test_edited_copies_in_any_number(spark):
+    item = words(77, 40, 5000)
+    edited = " ".join("zzz" if k % 5 == 2 else w for k, w in enumerate(item))  # 8 words changed: 32 - 4 = 28 of 40
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for n in (1, 5, 1000):
+        docs = documents(spark, [(k, f"{' '.join(words(k, 20, 3000))} {edited}") for k in range(n)])
+        got = [[(c.item_id, c.score) for c in r.copies] for r in find_copies(docs, bench).select("copies").collect()]
+        assert got == [[(1, 0.7)]] * n

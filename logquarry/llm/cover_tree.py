@@ -23,6 +23,8 @@ from .components import components
 #: Vectors of a chunk (one tree), about; and the most pivots, which go to every task.
 CHUNK, PIVOTS = 4096, 1024
 SLACK = 1e-9
+#: Vectors of cosine 1 in double precision may be so far apart: the radius of several points is never less.
+ROUNDING = 1e-6
 #: Node pairs of at most so many point pairs are compared point by point instead of being opened further.
 SMALL = 1 << 14
 
@@ -57,7 +59,7 @@ class CoverTree:
             d[points == centre] = 0
             node, radius = len(self.centre), float(d.max())
             self.centre.append(centre)
-            self.radius.append(radius if len(points) > 1 else 0.0)
+            self.radius.append(float(np.hypot(radius, ROUNDING)) if len(points) > 1 else 0.0)
             self.lo.append(len(order))
             self.hi.append(len(order) + len(points))
             self.kids.append([])
@@ -181,10 +183,10 @@ def walk(a: CoverTree, b: CoverTree, threshold: float, same: bool) -> tuple[np.n
             leaves(np.arange(a.lo[m], a.hi[m]), np.arange(b.lo[n], b.hi[n]))
             continue
         kids_b = b.kids_of(n)
-        single_b = b.radius[kids_b] == 0
+        single_b = b.hi[kids_b] - b.lo[kids_b] == 1
         for start in range(0, len(a.kids_of(m)), 1024):
             kids_a = a.kids_of(m)[start : start + 1024]
-            single_a = a.radius[kids_a] == 0
+            single_a = a.hi[kids_a] - a.lo[kids_a] == 1
             leaves(a.centre[kids_a[single_a]], b.centre[kids_b[single_b]])
             for ka, kb in ((kids_a[~single_a], kids_b), (kids_a[single_a], kids_b[~single_b])):
                 if len(ka) and len(kb):
@@ -194,7 +196,7 @@ def walk(a: CoverTree, b: CoverTree, threshold: float, same: bool) -> tuple[np.n
                     for i, j in zip(*np.nonzero(whole), strict=True):
                         all_link(int(ka[i]), int(kb[j]))
                     near = ~whole & (d - both <= reach + SLACK)
-                    one_a, one_b = a.radius[ka] == 0, b.radius[kb] == 0
+                    one_a, one_b = a.hi[ka] - a.lo[ka] == 1, b.hi[kb] - b.lo[kb] == 1
                     # a node against single points: all of them at once
                     for i in np.flatnonzero((near & one_b).any(axis=1)):
                         leaves(np.arange(a.lo[ka[i]], a.hi[ka[i]]), b.centre[kb[near[i] & one_b]])

@@ -47,3 +47,18 @@ def test_whole_nodes_are_counted_without_opening():
     tree = ct.CoverTree(x, np.ones(300), np.arange(300))
     found = ct.chunk_links(tree, tree, 0.95, True)
     assert (found.links == 299).all() and found.root.nunique() == 1
+
+
+def test_copies_of_equal_direction_at_the_default_sizes():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((400, 24))
+    scaled = np.concatenate([x[:40] * k for k in (2, 3, 0.1, 7, 1 / 3)])
+    last_bit = x[40:140].copy()
+    last_bit[:, 5] = np.nextafter(last_bit[:, 5], 9)
+    x = np.concatenate([x, scaled, last_bit])
+    y = ct.unit(x)
+    want = (y @ y.T >= 0.95).sum(axis=1) - 1
+    tree = ct.CoverTree(x, np.ones(len(x)), np.arange(len(x)))
+    found = ct.chunk_links(tree, tree, 0.95, True)
+    assert dict(zip(found.vec, found.links, strict=True)) == {k: n for k, n in enumerate(want) if n}
+    assert all(found.root[found.vec == 400 + k].item() == found.root[found.vec == k].item() for k in range(40))

@@ -36,7 +36,7 @@ LOOSE = {
     "card": re.compile(r"(?<![0-9.])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+.-])(?:00[0-9]{1,3}[ .-])?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
 }
-HINTS = {"email": ("(at)", "[at]", "{at}"), "ip": ("[.]", "(.)")}
+HINTS = {"email": re.compile(r"[(\[{]at[)\]}]", re.I).search, "ip": re.compile(r"\[\.\]|\(\.\)").search}
 WORDS = {
     "email": ("email", "e-mail", "mail", "contact", "write to", "correo", "courriel"),
     "ip": ("ip", "host", "server", "address", "addr", "client"),
@@ -116,7 +116,7 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, tuple[int, ...]]]:
     found = [(k, a, b, 1 if ok else -1) for k, a, b, ok in checked(text)]
     has_digit = bool(_DIGIT(text))
     for kind, pattern in LOOSE.items():
-        if (kind == "email" or has_digit) and (kind not in HINTS or any(h in text for h in HINTS[kind])):
+        if (kind == "email" or has_digit) and (kind not in HINTS or HINTS[kind](text)):
             found += [(kind, *m.span(), 0) for m in pattern.finditer(text)]
     for kind, a, b, strict in found:
         left, right = text[a - 1 : a], text[b : b + 1]

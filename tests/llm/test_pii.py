@@ -54,3 +54,9 @@ def test_reliabilities():
     table, yes = pii.reliabilities(votes, np.ones(4000))
     assert ((yes > 0.5) == truth).mean() > 0.93
     assert table[1, 0, 2] > table[1, 1, 2] > table[1, 2, 2] > 0.5
+
+
+def test_hidden_addresses_in_any_case():
+    for text in ("write jane [AT] example [DOT] com now", "write jane (At) example (dOt) com now", "write jane {aT} example.com now"):
+        assert [text[a:b] for kind, a, b, _ in pii.candidates(text) if kind == "email"] == [text[6:-4]]
+        assert list(pii.candidates(text)) == list(pii.candidates(text + " (at)"))

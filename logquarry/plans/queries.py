@@ -39,12 +39,13 @@ def crc_ok(spark, sf_dir):
 
 
 def crc_drop_corrupt_chunk(spark, sf_dir):
-    """A byte of the first chunk of each file is flipped; those chunks are dropped, the others stay."""
+    """A byte of the first chunk of each file is flipped; counts the damaged chunks that stay and the others that don't."""
     chunks = event_chunks(spark, sf_dir)
     flipped = F.concat(F.substring("data", 1, 600), F.lit(bytearray(b"\xff")), F.substring("data", 602, 65536))
     damaged = chunks.withColumn("data", F.when(F.col("chunk_index") == 0, flipped).otherwise(F.col("data")))
-    kept = rec.valid_chunks(damaged).where("chunk_index = 0")
-    return kept.agg(F.count("*").alias("damaged_kept"))
+    kept = rec.valid_chunks(damaged).select("path", "chunk_index", F.lit(True).alias("stays"))
+    all_chunks = damaged.select("path", "chunk_index").join(kept, ["path", "chunk_index"], "left")
+    return all_chunks.where((F.col("chunk_index") == 0) == F.col("stays").isNotNull()).agg(F.count("*").alias("damaged_kept"))
 
 
 def record_by_id(spark, sf_dir):
@@ -117,14 +118,22 @@ def array_join_text(spark, sf_dir):
     return names.select("n_regionkey", fmt.array_text("names", strings=True).alias("text"), fmt.array_text("names", attribute=True, strings=True).alias("attribute"))
 
 
-def template_expand_relational(spark, sf_dir):
+def _expanded(spark, events):
     pieces = [(0, "<Event><Type>", None), (1, None, 0), (2, "</Type><User>", None), (3, None, 1), (4, "</User></Event>", None)]
     tokens = spark.createDataFrame([(1, *p) for p in pieces], "template int, place int, text string, subst int")
-    events = _table(spark, sf_dir, "events").where("event_id < 2000")
     values = events.select(F.col("event_id").alias("record"), F.lit(1).alias("template"), F.posexplode(F.array("event_type", F.col("user_id").cast("string"))).alias("position", "value"))
     return rec.expand_templates(tokens, values).select(F.col("record").alias("event_id"), F.col("text").alias("xml"))
 
 
+def template_expand_relational(spark, sf_dir):
+    """As its SQL, on the first 2,000 events; template_expand_all expands all."""
+    return _expanded(spark, _table(spark, sf_dir, "events").where("event_id < 2000"))
+
+
+def template_expand_all(spark, sf_dir):
+    return _expanded(spark, _table(spark, sf_dir, "events"))
+
+
 def render_xml(spark, sf_dir):
     got = rec.decode(event_chunks(spark, sf_dir), json=False)
     return got.select("event_record_id", F.regexp_replace("xml", r"\n *", "").alias("xml"))
@@ -191,6 +200,7 @@ QUERIES = {
     "reals": (reals, "SELECT o_orderkey, o_totalprice AS value, CAST(0 AS BIGINT) AS exponent_at FROM orders"),
     "array_join_text": (array_join_text, "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS text, string_agg(n_name, ' ' ORDER BY n_name) AS attribute FROM nation GROUP BY n_regionkey"),
     "template_expand_relational": (template_expand_relational, "SELECT event_id, '<Event><Type>' || event_type || '</Type><User>' || user_id || '</User></Event>' AS xml FROM events WHERE event_id < 2000"),
+    "template_expand_all": (template_expand_all, "SELECT event_id, '<Event><Type>' || event_type || '</Type><User>' || user_id || '</User></Event>' AS xml FROM events"),
     "render_xml": (render_xml, f"""SELECT event_id AS event_record_id, {SYSTEM_XML} || {CODE} || '</EventID><TimeCreated SystemTime="' || {ISO} || '"></TimeCreated><Channel>Application</Channel><Computer>host</Computer></System><EventData><Data Name="user_id">' || user_id || '</Data><Data Name="event_type">' || event_type || '</Data><Data Name="value">' || CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END || '</Data><Data Name="props">' || replace(props, '"', '&quot;') || '</Data></EventData></Event>' AS xml FROM events"""),
     "render_jsonl": (render_jsonl, f"SELECT event_id, {TICKS} AS ticks, {ISO} AS system_time, event_type, props FROM events"),
     "events_by_type": (events_by_type, "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, count(DISTINCT user_id) AS users FROM events GROUP BY event_type"),

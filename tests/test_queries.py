@@ -2,6 +2,7 @@ import datetime
 
 import duckdb
 import pytest
+from logquarry.plans import queries
 from logquarry.plans.queries import QUERIES
 
 
@@ -41,3 +42,14 @@ def test_as_sql(spark, tables, name):
     names = [c[0] for c in want.description]
     assert sorted(names) == sorted(got.columns)
     assert plain([tuple(r) for r in got.collect()], got.columns) == plain(want.fetchall(), names)
+
+
+def test_all_events_are_expanded(spark, tmp_path):
+    spark.range(2500).selectExpr("id AS event_id", "'click' AS event_type", "id % 7 AS user_id").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.xml for r in QUERIES["template_expand_all"][0](spark, str(tmp_path)).collect()}
+    assert got == {k: f"<Event><Type>click</Type><User>{k % 7}</User></Event>" for k in range(2500)}
+
+
+def test_dropping_sound_chunks_is_noticed(spark, tables, monkeypatch):
+    monkeypatch.setattr(queries.rec, "valid_chunks", lambda chunks: chunks.where("chunk_index < 0"))
+    assert queries.crc_drop_corrupt_chunk(spark, tables[0]).first().damaged_kept > 0

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PATHS, WORDS, PATH_WIDTH, WORD_WIDTH, MEASURES, HIDDEN = 4096, 32768, 24, 4, 4, 16
-#: Blocks of a sequence that are read at once; longer pages are read in stretches with this many blocks of overlap.
-STRETCH, OVERLAP = 512, 64
+#: Pages that are read together, and the blocks that they may have with their padding; a longer page is read alone, whole.
+TOGETHER, BLOCKS = 128, 1 << 17
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -48,7 +48,7 @@ def path_words(tag: str, attrs: str) -> tuple[str, ...]:
     words = [tag]
     if attrs:
         for name, *values in ATTRIBUTE.findall(attrs):
-            words += [f"={w}" for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(values)).lower())][:8]
+            words += [f"={w}" for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(values)).lower())]
     return tuple(words)
 
 
@@ -64,7 +64,7 @@ def blocks_of(page: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(tuple(w for _, words in stack[-24:] for w in words), text, min(1.0, linked / len(text))))
+            out.append(Block(tuple(w for _, words in stack for w in words), text, min(1.0, linked / len(text))))
         parts.clear()
         linked = 0
 
@@ -135,7 +135,7 @@ class Page:
                 tail = b.path[-1] if b.path else ""
                 memo[b.path] = [bucket(w, PATHS) for w in {*b.path, f"last {tail}"}]
             self.paths.append(memo[b.path])
-            words = b.text.lower().split(None, 48)[:48]  # the measure of a block's kind; its text is kept whole
+            words = b.text.lower().split()
             self.words.append([bucket(w, WORDS) for w in set(words)])
             self.measures[k] = (b.link, min(1.0, len(b.text) / 400), min(1.0, len(words) / 12), b.text[-1] in ".!?:;\"")
 
@@ -173,8 +173,8 @@ class Labeller:
         depth = np.array([[len(p)] for p in page.paths], np.float32)
         return np.concatenate([mean_rows(self.p["path"], page.paths) * depth / 3, mean_rows(self.p["word"], page.words) * np.minimum(1, np.array([[len(w)] for w in page.words], np.float32) / 6), page.measures], axis=1)
 
-    def sweep(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """One direction of the LSTM over x (time, pages, width); mask is 0 where a page has ended."""
+    def sweep(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool = True) -> tuple[np.ndarray, list]:
+        """One direction of the LSTM over x (time, pages, width); mask is 0 where a page has ended. keep: for training."""
         steps, n, _ = x.shape
         h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
         gates_in = x @ self.p[f"w{d}"] + self.p[f"b{d}"]
@@ -183,16 +183,17 @@ class Labeller:
             z = gates_in[t] + h @ self.p[f"u{d}"]
             i, f, o = sigmoid(z[:, :HIDDEN]), sigmoid(z[:, HIDDEN : 2 * HIDDEN]), sigmoid(z[:, 2 * HIDDEN : 3 * HIDDEN])
             g, m = np.tanh(z[:, 3 * HIDDEN :]), mask[t][:, None]
-            kept.append((t, h, c, i, f, o, g, m))
+            start = (t, h, c, i, f, o, g, m)
             c = m * (f * c + i * g) + (1 - m) * c
             h = m * (o * np.tanh(c)) + (1 - m) * h
             out[t] = h
-            kept[-1] += (c,)
+            if keep:
+                kept.append((*start, c))
         return out, kept
 
-    def forward(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, tuple]:
-        hf, kf = self.sweep(x, mask, "f")
-        hb, kb = self.sweep(x, mask, "b")
+    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = True) -> tuple[np.ndarray, tuple]:
+        hf, kf = self.sweep(x, mask, "f", keep)
+        hb, kb = self.sweep(x, mask, "b", keep)
         h = np.concatenate([hf, hb], axis=2)
         return h @ self.p["out"] + x @ self.p["skip"] + self.p["bias"][0], (h, kf, kb)
 
@@ -261,23 +262,21 @@ class Labeller:
         return loss
 
     def label(self, pages: list[Page]) -> list[np.ndarray]:
-        """Is each block main text? Pages of like length are read together; long ones in overlapping stretches."""
-        parts = []  # (page, from, to, inputs)
-        for k, page in enumerate(pages):
-            x = self.inputs(page) if page.paths else np.zeros((0, 0))
-            for a in range(0, len(page.paths), STRETCH):
-                parts.append((k, a, min(len(page.paths), a + STRETCH), x[max(0, a - OVERLAP) : a + STRETCH + OVERLAP], min(a, OVERLAP)))
+        """Is each block main text? Pages of like length are read together, each from its first block to its last."""
         out = [np.zeros(len(p.paths), bool) for p in pages]
-        parts.sort(key=lambda p: len(p[3]))
-        for start in range(0, len(parts), 128):
-            some = parts[start : start + 128]
-            steps = max(len(p[3]) for p in some)
-            x, mask = np.zeros((steps, len(some), PATH_WIDTH + WORD_WIDTH + MEASURES), np.float32), np.zeros((steps, len(some)), np.float32)
-            for j, p in enumerate(some):
-                x[: len(p[3]), j], mask[: len(p[3]), j] = p[3], 1
-            z, _ = self.forward(x, mask)
-            for j, (k, a, b, _, skip) in enumerate(some):
-                out[k][a:b] = z[skip : skip + b - a, j] > 0
+        waiting = sorted((k for k, p in enumerate(pages) if p.paths), key=lambda k: len(pages[k].paths))
+        while waiting:
+            n = 1
+            while n < min(TOGETHER, len(waiting)) and (n + 1) * len(pages[waiting[n]].paths) <= BLOCKS:
+                n += 1
+            some, waiting = waiting[:n], waiting[n:]
+            steps = len(pages[some[-1]].paths)
+            x, mask = np.zeros((steps, n, PATH_WIDTH + WORD_WIDTH + MEASURES), np.float32), np.zeros((steps, n), np.float32)
+            for j, k in enumerate(some):
+                x[: len(out[k]), j], mask[: len(out[k]), j] = self.inputs(pages[k]), 1
+            z, _ = self.forward(x, mask, keep=False)
+            for j, k in enumerate(some):
+                out[k][:] = z[: len(out[k]), j] > 0
         return out
 
 

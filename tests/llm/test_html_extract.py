@@ -45,3 +45,18 @@ def test_extraction(spark):
     want = "Head & line First para graph link. Bold. Second <one> Last &am"
     assert got == sorted([(1, want), (1, want), (None, want), (2, ""), (3, ""), (4, " ".join(["Some words here."] * 3000))], key=repr)
     assert he.extract(pages.limit(0)).count() == 0
+
+
+def test_long_and_deep_pages_are_read_whole():
+    net, rng = he.Labeller(), np.random.default_rng(2)
+    for k in ("path", "word"):
+        net.p[k] = rng.standard_normal(net.p[k].shape).astype(np.float32)
+    net.p["bf"][he.HIDDEN : 2 * he.HIDDEN] = net.p["bb"][he.HIDDEN : 2 * he.HIDDEN] = 8  # a memory that lasts
+    page = he.Page(he.blocks_of("<section class=comments>" + "".join(f"<p>text {k}</p>" for k in range(3000))))
+    z, _ = net.forward(net.inputs(page)[:, None, :], np.ones((3000, 1), np.float32))
+    assert len(page.paths) == 3000 and (net.label([page, page, he.Page([])])[1] == (z[:, 0] > 0)).mean() > 0.999
+    last = he.blocks_of('<div class="comments">' + "<div>" * 40 + "deep")[-1]
+    assert last.path.count("div") == 41 and "=comments" in last.path
+    assert "=nine" in he.path_words("div", 'class="one two three four five six seven eight nine"')
+    words = [f"w{k}" for k in range(60)]
+    assert len(he.Page([he.Block(("p",), " ".join(words), 0.0)]).words[0]) == 60

@@ -34,9 +34,15 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete such tables once all that was to come of them is itself a table."""
+    """Delete such tables once all that was to come of them is itself a table.
+
+    The driver's collection lets Spark's cleaner delete the shuffle files of the jobs that wrote them, which nothing reads
+    any more; else they stay until the driver happens to run short of memory.
+    """
     for df in tables:
         df._scratch.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(df._scratch, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

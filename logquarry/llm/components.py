@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import discard, table
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges (a, b) of longs in any direction -> (id, component) for every id on an edge; component is the smallest id.
 
-    Each round, a label takes the smallest label next to it (summed in part before the shuffle, so hubs don't gather)
-    and then its own label's label; labels shrink along paths as powers of two. Each round is a table in the shared folder.
+    Each round, a label takes the smallest label next to it (summed in part before the shuffle) and then its own label's
+    label; labels shrink along paths as powers of two. Each round is a table in the shared folder, the round before is
+    deleted. The joins by a hub or a root have one row a key on their other side, so adaptive execution can split them.
+    No edges give no rows. Labels that still change after max_rounds raise: 2 ** 60 ids on one path are out of reach.
     """
     both = table(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
     labels = table(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")), "labels")
@@ -26,7 +28,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         jump = hooked.select(F.col("id").alias("to"), F.col("best").alias("further"))
         step = hooked.join(jump, F.col("best") == F.col("to")).select("id", F.col("label").alias("was"), F.least("best", "further").alias("label"))
         step = table(step, "labels")
-        labels = step.select("id", "label")
+        discard(hooked, labels)
+        labels = step
         if step.where("was <> label").isEmpty():
-            break
-    return labels.withColumnRenamed("label", "component")
+            discard(both)
+            found = labels.select("id", F.col("label").alias("component"))
+            found._scratch = labels._scratch
+            return found
+    raise RuntimeError(f"components: labels still change after {max_rounds} rounds")

@@ -1,12 +1,17 @@
 """Exact Jaccard join of the documents' sets of word shingles, by set-relation skipping.
 
-Lists: every set's rarest shingles (its prefix) go into an index whose lists are sorted by set size and hold positions;
-pairs are skipped by block of size and by what their positions leave possible. Rarity is a count of every shingle of
-every document, gathered in a sketch of fixed size; frequent shingles come last, and their lists are salted by count.
-
-Answers: each list first links its sets to one pivot. Sets that are linked to it, however far, have the pivot's answer;
-what is left to verify are pairs of one list whose components differ, and a list of one component is skipped whole.
-Equal sets form a class and are linked to its smallest id without any comparison.
+Index skipping: every set's rarest shingles (its prefix) go into an index whose lists are sorted by set size and hold
+positions; pairs are skipped by block of size and by what their positions leave possible. Rarity is a count of every
+shingle of every document, gathered in a sketch of fixed size; frequent shingles come last, and their lists are salted.
+Equal sets form a class and are linked to its smallest id; each list links its sets to one pivot. A list whose sets are
+in one component by then is skipped whole; a short one that isn't has its pairs compared.
+
+Answer skipping: in a long list that is still open, the pivot's answer (its overlap with every member) is computed, and
+each member's answer is derived from it. Two members share at most what the one of smaller overlap shares with the
+pivot, and what both have outside of the pivot. So members meet again only where the pivot's answer alone could link
+them (intervals of sizes), or under a shingle that both have outside of the pivot, by prefix again. Short lists of that kind
+have their pairs compared. The members of a pivot's long ones are compared in blocks of bounded size, whose task returns
+a spanning forest of the links; no pairs are emitted.
 """
 
 from __future__ import annotations
@@ -25,6 +30,10 @@ from .components import components
 SKETCH_BITS, SLICES, LIST = 22, 64, 256
 #: Sizes are blocked by powers of this; linked sets are at most one block apart as it exceeds 1 / 0.8.
 BLOCK = 1.26
+#: An open list of at most so many sets has its pairs compared; a longer one is handled by a pivot's answer.
+SHORT = 32
+#: Shingles in a block of sets, about, and the columns of the stripes in which two blocks are multiplied.
+FILL, STRIPE = 200_000, 4096
 INT = np.int64
 
 
@@ -197,11 +206,6 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return wanted.select("doc", "text").mapInArrow(read, "doc long, shingles binary")
 
 
-def sets_of_pairs(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    ids = table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    return table(sets_of(docs, ids, width), "candidates")
-
-
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link: 100 * intersection >= percent * union."""
 
@@ -219,12 +223,128 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInArrow(read, "a long, b long")
 
 
+def derive(family: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
+    """Members' answers from their pivot's. family: (fam, doc, x, y) with the sets of the pivot, which names it, and of doc.
+
+    Kind 0: links (fam, doc). Kind 1: where members meet again: (fam, key, doc, n, o, linked), o being the overlap with the
+    pivot and linked whether that links them.
+    """
+    shared = family.sparkSession.sparkContext.broadcast(levels.tobytes())
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            parts = []
+            for fam, doc, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                outside = y[~np.isin(y, x, assume_unique=True)]
+                n, o = len(y), len(y) - len(outside)
+                linked = o > 0 and 100 * o >= percent * (len(x) + n - o)
+                keys = prefix_of(outside, n - (-(-percent * n // 100)) + 1, known).view(INT)
+                # by size: the sizes of sets that it may link to for all that the pivot tells
+                most = (100 + percent) * o // percent - n
+                if 100 * most >= percent * n:
+                    low, high = (int(np.floor(np.log(v) / np.log(BLOCK))) for v in (n, max(n, most)))
+                    keys = np.concatenate([keys, np.arange(low, high + 1, dtype=INT)])
+                if linked:
+                    parts.append((0, fam, 0, doc, n, o, True))
+                parts += [(1, fam, k, doc, n, o, linked) for k in keys.tolist()]
+            columns = list(zip(*parts, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    names = ["kind", "fam", "key", "doc", "n", "o", "linked"]
+    return family.select("fam", "doc", "x", "y").mapInArrow(read, "kind int, fam long, key long, doc long, n long, o long, linked boolean")
+
+
+def prefix_of(s: np.ndarray, keep: int, levels: np.ndarray) -> np.ndarray:
+    """The first `keep` of the shingles in the common order."""
+    level = levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(INT)]
+    return s[np.argsort(level, kind="stable")[:keep]] if level.any() else s[:keep]
+
+
+def block_links(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the sets of two blocks; y's numbers follow x's. The same block twice: y = []."""
+    sets = x + y
+    n = np.array([len(s) for s in sets])
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    row, column = row[times[column] > 1], column[times[column] > 1]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    right = slice(len(x), None) if y else slice(0, len(x))
+    both = np.zeros((len(x), len(sets) - len(x) if y else len(x)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, STRIPE):
+        a, b = np.searchsorted(column, (start, start + STRIPE))
+        stripe = np.zeros((len(sets), STRIPE), np.float32)
+        stripe[row[a:b], column[a:b] - start] = 1
+        both += stripe[: len(x)] @ stripe[right].T
+    link = (both > 0) & ((100 + percent) * both.astype(INT) >= percent * (n[: len(x), None] + n[right][None, :]))
+    label, out = np.arange(len(sets)), []
+    for i in range(len(x)):
+        j = np.flatnonzero(link[i]) + (len(x) if y else 0)
+        apart, first = np.unique(label[j], return_index=True)
+        for lab, k in zip(apart.tolist(), first.tolist(), strict=True):
+            if lab != label[i]:
+                out.append((i, int(j[k])))
+                label[label == lab] = label[i]
+    return out
+
+
+def in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what links among the members (fam, doc, n) of each fam."""
+    cuts = members.groupBy("fam").agg(F.ceil(F.sum("n") / FILL).cast("int").alias("cuts"))
+    placed = members.join(cuts, "fam").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("cuts")).cast("int")).join(sets.select("doc", "shingles"), "doc")
+    blocks = table(placed.groupBy("fam", "block").agg(F.collect_list(F.struct("doc", "shingles")).alias("sets")), "blocks")
+    other = blocks.select("fam", F.col("block").alias("other"), F.col("sets").alias("others"))
+    met = blocks.join(other, "fam").where("block <= other")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                sides = [batch.column(c)[k].values for c in (2, 4)]
+                same = batch.column(1)[k].as_py() == batch.column(3)[k].as_py()
+                ids, packed = ([v.field(f).to_pylist() for v in sides[: 1 if same else 2]] for f in (0, 1))
+                parts = [[np.frombuffer(s, np.uint64) for s in p] for p in packed]
+                names = [i for part in ids for i in part]
+                found = block_links(parts[0], [] if same else parts[1], percent)
+                a, b = ([names[f[i]] for f in found] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return met.select("fam", "block", "sets", "other", "others").mapInArrow(read, "a long, b long")
+
+
+def answers(long_lists: DataFrame, sets: DataFrame, levels: np.ndarray, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links, and pairs left to compare, of the long lists (key, doc, n, degree); both as tables (a, b).
+
+    A list's pivot, its best-connected member, answers for all members; lists of one pivot make one family.
+    """
+    tops = long_lists.groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc")).alias("last"))).alias("top"))
+    family = long_lists.join(tops, "key").select((-F.col("top.last")).alias("fam"), "doc").where("doc <> fam").distinct()
+    packed = sets.select("doc", "shingles")
+    owned = family.join(packed.withColumnRenamed("shingles", "y"), "doc")
+    derived = table(derive(owned.join(packed.select(F.col("doc").alias("fam"), F.col("shingles").alias("x")), "fam"), levels, percent), "derived")
+    links = derived.where("kind = 0").select(F.col("fam").alias("a"), F.col("doc").alias("b"))
+    met = derived.where("kind = 1").drop("kind")
+    sizes = met.groupBy("fam", "key").agg(F.count("*").alias("k"), F.bool_and("linked").alias("done")).where("k > 1 AND NOT done").drop("done")
+    again = table(met.join(sizes, ["fam", "key"]), "met-again")
+    few = again.where(f"k <= {SHORT}")
+    left, right = (few.select("fam", "key", F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("o").alias(f"o{x}"), F.col("linked").alias(f"l{x}")) for x in "ab")
+    could = f"a < b AND NOT (la AND lb) AND 100L * least(na, nb) >= {percent} * greatest(na, nb) AND {100 + percent}L * (least(oa, ob) + least(na - oa, nb - ob)) >= {percent}L * (na + nb)"
+    pairs = table(left.join(right, ["fam", "key"]).where(could).select("a", "b").distinct(), "pairs-again")
+    many = table(again.where(f"k > {SHORT}").select("fam", "doc", "n").distinct(), "members-again")
+    links = table(links if many.isEmpty() else links.union(in_blocks(many, sets, percent)), "pivot-links")
+    discard(derived, again, many)
+    return links, pairs
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc, n (size of its set), component (smallest id reachable by links, itself included).
 
     Null and empty texts have empty sets and link with nothing; rows without id link with nothing and have no component;
-    rows that repeat an id are one document, whose links are those of all its texts. Ids are integers. Any other column
-    is left aside, and an empty table gives an empty result.
+    rows that repeat an id are one document, whose links are those of all its texts. Texts of any length are read whole,
+    in stretches. Ids are integers. Any other column is left aside, and an empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     scanned = table(scan(docs, width), "sets")
@@ -244,28 +364,43 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     tried = listed.where("kind = 0").select("a", "b", "n", F.col("pos").alias("times")).union(across.withColumn("times", F.lit(1)))
     tried = tried.groupBy("a", "b").agg(F.sum("times").alias("shared"), F.min("n").alias("n"))
     pairs = table(tried.where(f"shared * 250 >= {100 - percent} * n").select("a", "b"), "pairs")
-    sets = sets_of_pairs(docs, pairs, width)
+    ids = table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    sets = table(sets_of(docs, ids, width), "candidates")
     links = table(verify(pairs, sets, percent).union(equal), "links")
+    discard(ids, sets)
     known = components(links)
-    # what the pivots' answers leave open: pairs of a list whose components differ
-    named = members.join(known, members.doc == known.id, "left").select("h", "doc", "n", "pos", F.coalesce("component", "doc").alias("component"))
-    named = table(named, "members")
-    discard(listed, sets)
-    mixed = named.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
-    rest = named.join(mixed, "h").withColumn("block", F.floor(F.log(BLOCK, F.col("n"))).cast("int"))
+
+    # what the pivots' links leave open: lists of several components
+    labelled = members.join(known, members.doc == known.id, "left").select("h", "doc", "n", "pos", F.coalesce("component", "doc").alias("component"))
+    named = table(labelled, "members")
+    discard(listed)
+    mixed = named.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).where("low < high").select("h", "k")
+    open_lists = table(named.join(mixed, "h"), "open-lists")
+    discard(named)
+    rest = open_lists.where(f"k <= {SHORT}").withColumn("block", F.floor(F.log(BLOCK, F.col("n"))).cast("int"))
     a = rest.select("h", "block", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
     b = rest.select("h", F.explode(F.array("block", F.col("block") - 1)).alias("block"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
     met = a.join(b, ["h", "block"]).where(f"(na < nb OR na = nb AND a < b) AND ca <> cb AND 100L * na >= {percent} * nb")
     # all that two prefixes share is in their lists: beyond it the sets can share what stands after the last of it, and
-    # what stands after the prefix that ends first
+    # what stands after the prefix that ends first. A pair that also meets in a long list is found there.
     shared = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     after = f"least(na - pa - 1, nb - pb - 1, ({percent}L * nb + 99) div 100 - 1)"  # nb is the larger set, and has more after its prefix
-    open_pairs = shared.where(f"{100 + percent}L * (k + {after}) >= {percent}L * (na + nb)")
-    more = table(open_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(pairs, ["a", "b"], "left_anti"), "open-pairs")
-    discard(named)
-    if not more.isEmpty():
-        late = table(verify(more, sets_of_pairs(docs, more, width), percent), "late-links")
-        known = components(links.union(late))
+    could = shared.where(f"{100 + percent}L * (k + {after}) >= {percent}L * (na + nb)")
+    short_pairs = table(could.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "open-pairs")
+
+    degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("degree"))
+    long_lists = table(open_lists.where(f"k > {SHORT}").join(degree, "doc", "left").select(F.col("h").alias("key"), "doc", "n", F.coalesce("degree", F.lit(0)).alias("degree")), "long-lists")
+    discard(open_lists)
+    ids = table(short_pairs.select(F.explode(F.array("a", "b")).alias("id")).union(long_lists.select("doc")).distinct(), "ids")
+    if not ids.isEmpty():
+        sets = table(sets_of(docs, ids, width), "candidates")
+        found, again = answers(long_lists, sets, levels, percent)
+        more = table(short_pairs.union(again).distinct().join(pairs, ["a", "b"], "left_anti"), "late-pairs")
+        every = table(verify(more, sets, percent).union(found).union(links), "all-links")
+        discard(sets, more, found, again, known)
+        known = components(every)
+        discard(every)
+    discard(ids, long_lists, short_pairs, pairs, links)
     return rows.join(known, rows.doc == known.id, "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
 
 

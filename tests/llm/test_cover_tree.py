@@ -36,6 +36,12 @@ def test_against_brute_force(spark, monkeypatch):
     assert got == brute(rows, 0.95)
 
 
+def test_an_id_with_several_vectors(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.01]), (7, [0.01, 1.0]), (8, [-1.0, 0.0]), (8, [-1.0, 0.0]), (9, [0.0, -1.0])]
+    got = sorted(tuple(r) for r in ct.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(5, 1, 5), (5, 1, 5), (6, 1, 5), (7, 1, 5), (8, 1, 8), (8, 1, 8), (9, 0, 9)]
+
+
 def test_no_vectors(spark):
     assert ct.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert [tuple(r) for r in ct.near_vectors(spark.createDataFrame([(3, None)], "vec_id long, embedding array<float>")).collect()] == [(3, 0, 3)]
@@ -60,5 +66,5 @@ def test_copies_of_equal_direction_at_the_default_sizes():
     want = (y @ y.T >= 0.95).sum(axis=1) - 1
     tree = ct.CoverTree(x, np.ones(len(x)), np.arange(len(x)))
     found = ct.chunk_links(tree, tree, 0.95, True)
-    assert dict(zip(found.vec, found.links, strict=True)) == {k: n for k, n in enumerate(want) if n}
-    assert all(found.root[found.vec == 400 + k].item() == found.root[found.vec == k].item() for k in range(40))
+    assert dict(zip(found["class"], found.links, strict=True)) == {k: n for k, n in enumerate(want) if n}
+    assert all(found.root[found["class"] == 400 + k].item() == found.root[found["class"] == k].item() for k in range(40))

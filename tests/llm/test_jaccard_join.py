@@ -45,6 +45,22 @@ def test_against_brute_force(spark, monkeypatch):
     assert sorted(got, key=repr) == brute(rows)
 
 
+def test_long_lists(spark, monkeypatch):
+    """A large group of near copies most of which are out of each other's reach, truncated ones, families that share a passage."""
+    monkeypatch.setattr(jj, "SHORT", 8)
+    monkeypatch.setattr(jj, "FILL", 4000)  # several blocks
+    rng = random.Random(2)
+    base = " ".join(words(1, 150, 5000))
+    rows = [(k, edited(base, rng, rng.randrange(1, 14))) for k in range(150)]
+    rows += [(200 + k, " ".join(base.split()[: 150 - rng.randrange(40)])) for k in range(60)]
+    rows += [(300 + k, edited(rows[3][1], rng, rng.randrange(0, 5))) for k in range(50)]
+    passage = " ".join(words(999, 40))
+    rows += [(400 + k, passage + " " + " ".join(words(k % 40 + 50, 12, 9000)) + (" z" if k % 3 else "")) for k in range(90)]
+    rows += [(7, rows[-1][1]), (8, "other words of a row that repeats an id")]
+    got = [tuple(r) for r in jj.near_duplicates(documents(spark, rows)).collect()]
+    assert sorted(got, key=repr) == brute(rows)
+
+
 def test_empty_table(spark):
     assert jj.near_duplicates(documents(spark, [])).count() == 0
 

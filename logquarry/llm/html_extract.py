@@ -37,11 +37,34 @@ CLOSES_P = BLOCK - {"br", "button", "label", "body", "html", "head"}
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
+class Open:
+    """An open element: its tag and words, what it is in, and the words of all elements down to it (the parent's set where it adds none)."""
+
+    __slots__ = ("tag", "words", "parent", "seen")
+
+    def __init__(self, tag: str, words: tuple[str, ...], parent: Open | None):
+        above = parent.seen if parent else frozenset()
+        self.tag, self.words, self.parent = tag, words, parent
+        self.seen = above if above.issuperset(words) else above.union(words)
+
+
 class Block:
-    __slots__ = ("path", "text", "link")
+    """A leaf block: the element that it is in (or its path's words), its text and the share of it that is link."""
+
+    __slots__ = ("element", "text", "link")
+
+    def __init__(self, element: Open | tuple[str, ...] | None, text: str, link: float):
+        self.element = Open(element[0], element, None) if isinstance(element, tuple) else element
+        self.text, self.link = text, link
 
-    def __init__(self, path: tuple[str, ...], text: str, link: float):
-        self.path, self.text, self.link = path, text, link
+    @property
+    def path(self) -> tuple[str, ...]:
+        """The words of all its open elements, outermost first."""
+        found, at = [], self.element
+        while at:
+            found.append(at.words)
+            at = at.parent
+        return tuple(w for words in reversed(found) for w in words)
 
 
 def path_words(tag: str, attrs: str) -> tuple[str, ...]:
@@ -53,10 +76,15 @@ def path_words(tag: str, attrs: str) -> tuple[str, ...]:
 
 
 def blocks_of(page: str | None) -> list[Block]:
-    """The page's leaf blocks in order: text outside markup, with references decoded and white space runs as one space."""
+    """The page's leaf blocks in order: text outside markup, with references decoded and white space runs as one space.
+
+    The stack of open elements is indexed by tag, so that elements close in constant time however deep a page nests.
+    """
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Open] = []
+    places: dict[str, list[int]] = {}  # where a tag is open
+    outer: list[int] = []  # where a block other than p is
     parts: list[str] = []
     linked = 0
 
@@ -64,7 +92,7 @@ def blocks_of(page: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(tuple(w for _, words in stack for w in words), text, min(1.0, linked / len(text))))
+            out.append(Block(stack[-1] if stack else None, text, min(1.0, linked / len(text))))
         parts.clear()
         linked = 0
 
@@ -73,11 +101,17 @@ def blocks_of(page: str | None) -> list[Block]:
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if any(t == "a" for t, _ in stack[-4:]):
+            if any(e.tag == "a" for e in stack[-4:]):
                 linked += len(text.strip())
 
     def leave(index: int) -> None:
-        del stack[index:]
+        while len(stack) > index:
+            places[stack.pop().tag].pop()
+        while outer and outer[-1] >= index:
+            outer.pop()
+
+    def innermost(*tags: str) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
 
     at = 0
     for m in TOKEN.finditer(page):
@@ -90,29 +124,19 @@ def blocks_of(page: str | None) -> list[Block]:
         if block:
             flush()
         if m["end"]:
-            for k in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                if stack[k][0] == tag:
-                    leave(k)
-                    break
+            if (k := innermost(tag)) >= 0:
+                leave(k)
         else:
-            if tag in CLOSES_P:
-                for k in range(len(stack) - 1, max(-1, len(stack) - 12), -1):
-                    if stack[k][0] == "p":
-                        leave(k)
-                        break
-                    if stack[k][0] in BLOCK:
-                        break
+            if tag in CLOSES_P and (k := innermost("p")) >= 0 and k > (outer[-1] if outer else -1):
+                leave(k)
             for other in SELF_CLOSING.get(tag, ()):
-                for k in range(len(stack) - 1, max(-1, len(stack) - 12), -1):
-                    if stack[k][0] == other:
-                        leave(k)
-                        break
-                    if stack[k][0] in ("ul", "ol", "table", "dl"):
-                        break
+                if (k := innermost(other)) > innermost("ul", "ol", "table", "dl"):
+                    leave(k)
             if tag not in VOID and not (m["attrs"] or "").endswith("/"):
-                stack.append((tag, path_words(tag, m["attrs"])))
-                if len(stack) > 500:  # markup that never closes
-                    leave(250)
+                places.setdefault(tag, []).append(len(stack))
+                if block and tag != "p":
+                    outer.append(len(stack))
+                stack.append(Open(tag, path_words(tag, m["attrs"]), stack[-1] if stack else None))
     rest = page[at:]
     add(rest)
     flush()
@@ -127,14 +151,15 @@ class Page:
     """What the network reads of a page: for each block, hashed path words, hashed text words and measures."""
 
     def __init__(self, blocks: list[Block]):
-        memo: dict[tuple[str, ...], list[int]] = {}
+        memo: dict[tuple[frozenset[str], str], list[int]] = {}
+        nowhere = frozenset(), ""
         self.paths, self.words = [], []
         self.measures = np.zeros((len(blocks), MEASURES), np.float32)
         for k, b in enumerate(blocks):
-            if b.path not in memo:
-                tail = b.path[-1] if b.path else ""
-                memo[b.path] = [bucket(w, PATHS) for w in {*b.path, f"last {tail}"}]
-            self.paths.append(memo[b.path])
+            place = (b.element.seen, b.element.words[-1]) if b.element else nowhere
+            if place not in memo:
+                memo[place] = [bucket(w, PATHS) for w in sorted({*place[0], f"last {place[1]}"})]
+            self.paths.append(memo[place])
             words = b.text.lower().split()
             self.words.append([bucket(w, WORDS) for w in set(words)])
             self.measures[k] = (b.link, min(1.0, len(b.text) / 400), min(1.0, len(words) / 12), b.text[-1] in ".!?:;\"")

@@ -31,7 +31,7 @@ SKETCH_BITS, SLICES, LIST = 22, 64, 256
 #: Sizes are blocked by powers of this; linked sets are at most one block apart as it exceeds 1 / 0.8.
 BLOCK = 1.26
 #: An open list of at most so many sets has its pairs compared; a longer one is handled by a pivot's answer.
-SHORT = 32
+SHORT = 128
 #: Shingles in a block of sets, about, and the columns of the stripes in which two blocks are multiplied.
 FILL, STRIPE = 200_000, 4096
 INT = np.int64

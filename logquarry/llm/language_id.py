@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents
@@ -30,14 +30,24 @@ _SPACES = bytes(32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
 _SIGNS = bytes(b for b in range(128) if not (97 <= b <= 122 or b in (9, 10, 11, 12, 13, 32)))
 
 
+#: Bytes of a text that are hashed at a time.
+STRETCH = 1 << 18
+
+
+def stretches(text: str) -> Iterator[np.ndarray]:
+    """The buckets of all subwords of the text, a stretch at a time, so that a long text needs little more than itself."""
+    whole = (" " + text.lower() + " ").encode("utf-8", "surrogatepass").translate(_SPACES, _SIGNS)
+    for start in range(0, max(1, len(whole) - 1), STRETCH):
+        b = np.frombuffer(whole[start : start + STRETCH + 3], np.uint8).astype(np.uint32)
+        first, h = min(STRETCH, len(b)), b  # subwords that begin in the stretch
+        for _ in range(3):
+            h = h[:-1] * np.uint32(0x01000193) + b[len(b) - len(h) + 1 :]
+            yield ((h[:first] * np.uint32(0x9E3779B1)) >> np.uint32(17)).astype(np.int32)
+
+
 def subwords(text: str) -> np.ndarray:
     """The bucket of every subword of the text."""
-    b = np.frombuffer((" " + text.lower() + " ").encode("utf-8", "surrogatepass").translate(_SPACES, _SIGNS), np.uint8).astype(np.uint32)
-    found, h = [], b
-    for _ in range(3):
-        h = h[:-1] * np.uint32(0x01000193) + b[len(b) - len(h) + 1 :]
-        found.append(((h * np.uint32(0x9E3779B1)) >> np.uint32(17)).astype(np.int32))
-    return np.concatenate(found)
+    return np.concatenate(list(stretches(text)))
 
 
 @dataclass
@@ -48,7 +58,11 @@ class Model:
     temperature: float = 1.0
 
     def logits(self, text: str) -> np.ndarray:
-        return self.table[subwords(text)].mean(axis=0, dtype=np.float64) + self.bias
+        total, n = np.zeros(len(self.languages)), 0
+        for ids in stretches(text):
+            total += self.table[ids].sum(axis=0, dtype=np.float64)
+            n += len(ids)
+        return total / n + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.languages or not _LETTER(text):
@@ -115,24 +129,22 @@ def held_out(id_col: str = "doc_id"):
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """At most `rows` labelled rows, and `chars` characters, that aren't held out: those of smallest id hash."""
+    """At most `rows` labelled rows, and `chars` characters, that aren't held out: those of smallest id hash, each whole."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("text", "lang", F.xxhash64("doc_id").alias("h"))
     n = labelled.count()
     if n > rows:
         labelled = labelled.where(F.col("h").cast("double") < -(2.0**63) + 2.0**64 * min(1.0, 1.2 * rows / n))
-    got = []
-    for row in labelled.orderBy("h", "text", "lang").limit(rows).collect():
-        chars -= len(row.text)
-        if chars < 0 and got:
-            break
-        got.append((row.text, row.lang))
-    return got
+    chosen = labelled.orderBy("h", "text", "lang").limit(rows)
+    before = Window.orderBy("h", "text", "lang").rowsBetween(Window.unboundedPreceding, 0)  # over `rows` rows at most
+    bounded = chosen.withColumn("chars", F.sum(F.length("text")).over(before)).where(F.col("chars") <= chars)
+    return [(row.text, row.lang) for row in bounded.select("text", "lang").collect()]
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Every row of docs as `row` (struct of all its columns), with lang_pred, score and rejected. No shuffle.
 
-    Null text, text without a letter, and any text under a model without languages: `und`, score 0, rejected.
+    Null text, text without a letter, and any text under a model without languages: `und`, score 0, rejected. Of languages
+    that tie the first by name is taken. Repeated rows give repeated results, an empty table an empty one.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -28,7 +28,7 @@ def line_key(line: Column) -> Column:
 
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """128 bits of id and text: rows with one id and different texts stay apart, equal rows share one bitmap."""
-    return [F.xxhash64(F.lit(k), F.col(id_col).cast("string"), F.col(id_col).isNull(), F.col(text_col)).alias(f"r{k}") for k in (1, 2)]
+    return [F.xxhash64(F.lit(k), F.col(f"`{id_col}`").cast("string"), F.col(f"`{id_col}`").isNull(), F.col(f"`{text_col}`")).alias(f"r{k}") for k in (1, 2)]
 
 
 def drop_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,9 +39,9 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False,
     Null text is one empty line, an empty table gives no row, rows without id count as one document, equal rows as one.
     """
     found = docs.select(
-        F.col(id_col).alias("doc"),
+        F.col(f"`{id_col}`").alias("doc"),
         *row_key(id_col, text_col),
-        F.posexplode(F.transform(lines_of(F.col(text_col)), line_key)).alias("pos", "key"),
+        F.posexplode(F.transform(lines_of(F.col(f"`{text_col}`")), line_key)).alias("pos", "key"),
     ).where("key <> ''")
     lines = found.select("doc", "r1", "r2", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     by_doc = Window.partitionBy("h1", "h2", "doc").orderBy("pos", "r1", "r2")
@@ -49,7 +49,9 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False,
     firsts = table(firsts, "lines")
     head = [F.min(F.struct("doc", "pos", "r1", "r2")).alias("head")] if keep_first else []
     frequent = firsts.where("first").groupBy("h1", "h2").agg(F.count("*").alias("n"), *head)
-    hit = firsts.join(frequent.where(F.col("n") >= min_docs).drop("n"), ["h1", "h2"])
+    # as a table, so that adaptive execution can broadcast it where it is small, and else split the lines of a hot key
+    frequent = table(frequent.where(F.col("n") >= min_docs).drop("n"), "frequent")
+    hit = firsts.join(frequent, ["h1", "h2"])
     if keep_first:
         hit = hit.where(~F.struct("doc", "pos", "r1", "r2").eqNullSafe(F.col("head")))
     words = hit.groupBy("r1", "r2", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits"))

@@ -200,7 +200,8 @@ def spans_of(text: str | None, weights: np.ndarray | None) -> tuple[list[tuple[s
 def find_spans(docs: DataFrame, weights: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, base and spans, arrays of struct<kind, start, end> (code points, end exclusive).
 
-    Null and empty texts have none; repeated rows give repeated results; other columns aren't read. No shuffle.
+    Null and empty texts have none; repeated rows give repeated results, an empty table an empty one; texts of any length
+    are read whole; other columns aren't read. No shuffle.
     """
     struct = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -210,7 +211,7 @@ def find_spans(docs: DataFrame, weights: np.ndarray | None, id_col: str = "doc_i
             columns = [pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x[i]] for x in both], struct) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "base", "spans"])
 
-    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kept = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     array = "array<struct<kind:string,start:bigint,end:bigint>>"
     return kept.mapInArrow(find, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, base {array}, spans {array}")
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, table
 
 LENGTHS = 1024
 
@@ -29,7 +29,10 @@ def encoding(path: str, pattern: str):
 
 
 def token_lengths(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """n_tokens of every row of docs; null and empty texts have none. `ranks` is a path that every executor has."""
+    """n_tokens of every row of docs, whatever its other columns; null and empty texts have none, long ones are read whole.
+
+    `ranks` is a path that every executor has.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(ranks, pattern).encode_ordinary
@@ -40,12 +43,12 @@ def token_lengths(docs: DataFrame, ranks: str, pattern: str, text_col: str = "te
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
-    """A row for each length that occurs, with its sums from there on; an empty table gives none.
+    """A row for each length that occurs, with its sums from there on; an empty table gives none, repeated rows each count.
 
     n_tokens, n_docs; docs_from and tokens_from: documents of at least that length, and their tokens; truncated_total:
     tokens of all documents, each cut at n_tokens; quantile: share of documents of at most that length.
     """
-    counts = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("block", F.expr("n_tokens div %d" % LENGTHS))
+    counts = table(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "lengths").withColumn("block", F.expr("n_tokens div %d" % LENGTHS))
     sums = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -22,7 +22,11 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df into the shared folder and read it back: cuts the lineage, survives lost executors, computes once."""
+    """Write df into the shared folder and read it back: cuts the lineage, survives lost executors, computes once.
+
+    The driver's collection lets Spark's cleaner delete the shuffle files of the job, which nothing reads any more; else
+    they stay until the driver happens to run short of memory.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/logquarry/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -30,19 +34,14 @@ def table(df: DataFrame, name: str) -> DataFrame:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     written = spark.read.schema(df.schema).parquet(path)
     written._scratch = target
+    spark._jvm.System.gc()
     return written
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete such tables once all that was to come of them is itself a table.
-
-    The driver's collection lets Spark's cleaner delete the shuffle files of the jobs that wrote them, which nothing reads
-    any more; else they stay until the driver happens to run short of memory.
-    """
+    """Delete such tables once all that was to come of them is itself a table."""
     for df in tables:
         df._scratch.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(df._scratch, True)
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

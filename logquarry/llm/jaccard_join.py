@@ -30,8 +30,8 @@ from .components import components
 SKETCH_BITS, SLICES, LIST = 22, 64, 256
 #: Sizes are blocked by powers of this; linked sets are at most one block apart as it exceeds 1 / 0.8.
 BLOCK = 1.26
-#: An open list of at most so many sets has its pairs compared; a longer one is handled by a pivot's answer.
-SHORT = 128
+#: An open list of at most so many sets has its pairs counted; a longer one is handled by a pivot's answer.
+SHORT = 512
 #: Shingles in a block of sets, about, and the columns of the stripes in which two blocks are multiplied.
 FILL, STRIPE = 200_000, 4096
 INT = np.int64
@@ -194,6 +194,65 @@ def lists(found: DataFrame, percent: int) -> DataFrame:
     return sorted_lists.mapInArrow(read, "kind int, h long, a long, b long, n int, pos int")
 
 
+def meetings(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets of different components that meet in short lists: (a, b, na, nb, k, pa, pb), a the smaller set.
+
+    k counts the lists, pa and pb are the last positions. members: (home, h, doc, n, pos, component); home is the smallest
+    member of the list, so that lists of the same sets lie together and their pairs are summed before they are shuffled.
+    """
+    names = ["a", "b", "na", "nb", "k", "pa", "pb"]
+
+    def pairs_of(x: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+        h, doc, n, pos, component = x
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(h) != 0) + 1])
+        sizes = np.diff(np.append(starts, len(h)))
+        for m in np.unique(sizes[sizes > 1]).tolist():
+            first, second = np.triu_indices(m, 1)
+            own = starts[sizes == m]
+            step = max(1, 1_000_000 // len(first))
+            for k in range(0, len(own), step):
+                i, j = ((own[k : k + step, None] + side).ravel() for side in (first, second))
+                apart = (component[i] != component[j]) & (doc[i] != doc[j])
+                i, j = i[apart], j[apart]
+                i, j = (np.where((n[i] < n[j]) | (n[i] == n[j]) & (doc[i] < doc[j]), *p) for p in ((i, j), (j, i)))
+                near = 100 * n[i].astype(INT) >= percent * n[j].astype(INT)
+                i, j = i[near], j[near]
+                yield doc[i], doc[j], n[i], n[j], pos[i], pos[j]
+
+    def summed(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        a, b, na, nb, pos_a, pos_b = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        at = np.flatnonzero(np.concatenate([[True], (np.diff(a) != 0) | (np.diff(b) != 0)])[: len(a)])
+        last = [np.maximum.reduceat(p[order], at) if len(at) else p for p in (pos_a, pos_b)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (a[at], b[at], na[order][at].astype(INT), nb[order][at].astype(INT), np.diff(np.append(at, len(a))), *(p.astype(INT) for p in last))], names)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, found, count = None, [], 0
+        for batch in batches:
+            x = [c.to_numpy() for c in batch.columns]
+            held = x if held is None else [np.concatenate(p) for p in zip(held, x, strict=True)]
+            new = np.flatnonzero(np.diff(held[0]) != 0) + 1
+            if not len(new):
+                continue
+            for part in pairs_of([c[: new[-1]] for c in held[1:]]):
+                found.append(part)
+                count += len(part[0])
+                if count > 2_000_000:
+                    yield summed(found)
+                    found, count = [], 0
+            held = [c[new[-1] :] for c in held]
+        if held is not None and len(held[0]):
+            for part in pairs_of(held[1:]):
+                found.append(part)
+        if found:
+            yield summed(found)
+
+    placed = members.select("home", "h", "doc", "n", "pos", "component").repartition("home").sortWithinPartitions("home", "h")
+    parts = placed.mapInArrow(read, "a long, b long, na long, nb long, k long, pa long, pb long")
+    return parts.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("k").alias("k"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(doc, shingles) of the wanted ids: the sorted set, packed."""
 
@@ -316,11 +375,12 @@ def in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def answers(long_lists: DataFrame, sets: DataFrame, levels: np.ndarray, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links, and pairs left to compare, of the long lists (key, doc, n, degree); both as tables (a, b).
+    """Links, and pairs left to compare, of the long lists (key, doc, n, rep, degree); both as tables (a, b).
 
-    A list's pivot, its best-connected member, answers for all members; lists of one pivot make one family.
+    A list's pivot is the best-connected of its components' representatives (in the list or not); it answers for all
+    members. Lists of one pivot make one family, so a group of near copies is answered for once.
     """
-    tops = long_lists.groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc")).alias("last"))).alias("top"))
+    tops = long_lists.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("last"))).alias("top"))
     family = long_lists.join(tops, "key").select((-F.col("top.last")).alias("fam"), "doc").where("doc <> fam").distinct()
     packed = sets.select("doc", "shingles")
     owned = family.join(packed.withColumnRenamed("shingles", "y"), "doc")
@@ -374,24 +434,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     labelled = members.join(known, members.doc == known.id, "left").select("h", "doc", "n", "pos", F.coalesce("component", "doc").alias("component"))
     named = table(labelled, "members")
     discard(listed)
-    mixed = named.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).where("low < high").select("h", "k")
+    mixed = named.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k"), F.min("doc").alias("home")).where("low < high").select("h", "k", "home")
     open_lists = table(named.join(mixed, "h"), "open-lists")
     discard(named)
-    rest = open_lists.where(f"k <= {SHORT}").withColumn("block", F.floor(F.log(BLOCK, F.col("n"))).cast("int"))
-    a = rest.select("h", "block", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
-    b = rest.select("h", F.explode(F.array("block", F.col("block") - 1)).alias("block"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
-    met = a.join(b, ["h", "block"]).where(f"(na < nb OR na = nb AND a < b) AND ca <> cb AND 100L * na >= {percent} * nb")
     # all that two prefixes share is in their lists: beyond it the sets can share what stands after the last of it, and
     # what stands after the prefix that ends first. A pair that also meets in a long list is found there.
-    shared = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    shared = meetings(open_lists.where(f"k <= {SHORT}"), percent)
     after = f"least(na - pa - 1, nb - pb - 1, ({percent}L * nb + 99) div 100 - 1)"  # nb is the larger set, and has more after its prefix
     could = shared.where(f"{100 + percent}L * (k + {after}) >= {percent}L * (na + nb)")
     short_pairs = table(could.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "open-pairs")
 
     degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("degree"))
-    long_lists = table(open_lists.where(f"k > {SHORT}").join(degree, "doc", "left").select(F.col("h").alias("key"), "doc", "n", F.coalesce("degree", F.lit(0)).alias("degree")), "long-lists")
+    reps = degree.join(known, F.col("doc") == F.col("id")).groupBy("component").agg(F.max(F.struct("degree", (-F.col("doc")).alias("last"))).alias("top"))
+    long_lists = open_lists.where(f"k > {SHORT}").join(reps, "component", "left")
+    long_lists = table(long_lists.select(F.col("h").alias("key"), "doc", "n", F.coalesce(-F.col("top.last"), "doc").alias("rep"), F.coalesce("top.degree", F.lit(0)).alias("degree")), "long-lists")
     discard(open_lists)
-    ids = table(short_pairs.select(F.explode(F.array("a", "b")).alias("id")).union(long_lists.select("doc")).distinct(), "ids")
+    ids = table(short_pairs.select(F.explode(F.array("a", "b")).alias("id")).union(long_lists.select(F.explode(F.array("doc", "rep")))).distinct(), "ids")
     if not ids.isEmpty():
         sets = table(sets_of(docs, ids, width), "candidates")
         found, again = answers(long_lists, sets, levels, percent)

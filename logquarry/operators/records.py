@@ -36,7 +36,10 @@ def valid_chunks(chunks: DataFrame, mode: str = "DROPMALFORMED") -> DataFrame:
 
 
 def frames(data: bytes) -> Iterator[tuple[int, int, int, int]]:
-    """(record id, FILETIME, payload start, payload end), up to the first place that isn't a whole record."""
+    """(record id, FILETIME, payload start, payload end), up to the first place that isn't a whole record; none of a chunk
+    that is too short for a header."""
+    if len(data) < 512:
+        return
     free, at = min(len(data), struct.unpack_from("<I", data, 48)[0]), 512
     while at + 28 <= free and data[at : at + 4] == b"**\0\0":
         size, record_id, written = struct.unpack_from("<IQQ", data, at + 4)
@@ -73,13 +76,31 @@ def slice_chunks(chunks: DataFrame, skip: int = 0, limit: int | None = None) ->
     return chunks.join(cut, ["path", "chunk_index"])
 
 
-def decode(chunks: DataFrame, xml: bool = True, json: bool = True) -> DataFrame:
+def chunks_with_id(chunks: DataFrame, record_id: int) -> DataFrame:
+    """The chunks whose header says that their record ids span this one. Without Python."""
+    return chunks.where((le_unsigned("data", 24, 8) <= record_id) & (le_unsigned("data", 32, 8) >= record_id))
+
+
+def valid_records(records: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+    """PERMISSIVE keeps records that can't be decoded (with `error`), DROPMALFORMED leaves them out, FAILFAST raises on the first."""
+    if mode == "PERMISSIVE":
+        return records
+    if mode == "FAILFAST":
+        return records.where(F.col("error").isNull() | F.raise_error(F.concat("error", F.lit(": "), "path", F.lit(" chunk "), F.col("chunk_index").cast("string"))).isNotNull())
+    if mode != "DROPMALFORMED":
+        raise ValueError(f"InvalidArgs: mode {mode}")
+    return records.where("error IS NULL")
+
+
+def decode(chunks: DataFrame, xml: bool = True, json: bool = True, record_id: int | None = None) -> DataFrame:
     """A row for each record of chunks (path, chunk_index, data, and low and high if sliced); one that can't be decoded has `error`.
 
-    Null data gives no row. Only the asked texts are rendered.
+    Null data and chunks without a whole header give no row. Only the asked texts are rendered, and only records of
+    record_id if that is given. An id or FILETIME of 2 ** 63 or more is null, with error OutOfBounds. Of Data elements of
+    one name the second is name.2 in `data`, and so on.
     """
     sliced = "low" in chunks.columns
-    names = [f.split()[0] for f in RECORD.split(", ")]
+    names, wanted = [f.split()[0] for f in RECORD.split(", ")], record_id
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string()]
@@ -89,8 +110,11 @@ def decode(chunks: DataFrame, xml: bool = True, json: bool = True) -> DataFrame:
                 if row["data"] is not None:
                     chunk = binxml.Chunk(row["data"])
                     for k, (record_id, written, start, end) in enumerate(frames(row["data"])):
-                        if not sliced or row["low"] <= k < row["high"]:
-                            out.append((row["path"], row["chunk_index"], k, record_id, written, *record(chunk, record_id, written, start, end, xml, json)))
+                        if (not sliced or row["low"] <= k < row["high"]) and wanted in (None, record_id):
+                            got = record(chunk, record_id, written, start, end, xml, json)
+                            if max(record_id, written) >= 1 << 63:
+                                record_id, written, got = *(v if v < 1 << 63 else None for v in (record_id, written)), (*got[:-1], got[-1] or "OutOfBounds")
+                            out.append((row["path"], row["chunk_index"], k, record_id, written, *got))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names)
 
     return chunks.select("path", "chunk_index", "data", *(["low", "high"] if sliced else [])).mapInArrow(read, RECORD)
@@ -102,7 +126,7 @@ def record(chunk: binxml.Chunk, record_id: int, written: int, start: int, end: i
         as_xml = binxml.to_xml(root) if xml else None
         as_json = f'{{"event_record_id":{record_id},"timestamp_filetime":{written},"Event":{binxml.to_json(root)}}}' if json else None
         return as_xml, as_json, *system(root), None
-    except (binxml.BadRecord, struct.error, IndexError, RecursionError) as e:
+    except (ValueError, struct.error, IndexError, OverflowError, RecursionError) as e:  # BadRecord is a ValueError
         return None, None, None, None, None, None, None, None, str(e) if isinstance(e, binxml.BadRecord) else "UnexpectedEof"
 
 
@@ -113,7 +137,7 @@ def system(root: tuple) -> tuple:
         return "".join(n[1] for n in nodes if n[0] in (binxml.TEXT, binxml.CDATA))
 
     def number(value: str | None) -> int | None:
-        return int(value) if value and value.isdigit() and len(value) < 10 else None
+        return int(value) if value and value.isascii() and value.isdigit() and len(value) < 10 else None
 
     found, data = {}, {}
     for child in (c[1] for c in root[2] if c[0] == binxml.ELEMENT):
@@ -122,7 +146,10 @@ def system(root: tuple) -> tuple:
             if child[0] == "System":
                 found[name] = keys.get("Name") if name == "Provider" else text(nodes)
             elif name == "Data" or child[0] in ("EventData", "UserData"):
-                data[keys.get("Name", f"{name}{len(data)}")] = text(nodes)
+                key, k = keys.get("Name", f"{name}{len(data)}"), 1
+                while (shown := key if k == 1 else f"{key}.{k}") in data:
+                    k += 1
+                data[shown] = text(nodes)
     return found.get("Provider"), found.get("Channel"), found.get("Computer"), number(found.get("EventID")), number(found.get("Level")), list(data.items())
 
 

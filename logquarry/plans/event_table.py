@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -10,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formats import EPOCH_TICKS, filetime_of
-from ..sources.encoder import Element, chunks, value_bytes
+from ..sources.encoder import Element, chunks, log_file, value_bytes
+from ..sources.eventlog import store
 
 UINT16, INT64, REAL64, FILETIME, STRING = 0x06, 0x09, 0x0C, 0x11, 0x01
 TEMPLATE = Element(
@@ -24,10 +27,18 @@ TEMPLATE = Element(
 TYPES = ("click", "view", "purchase", "signup", "logout", "login", "error", "search")
 
 
-def event_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, chunk_index, data) of the events as a log; files follow the order of event_id."""
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rows = events.select("event_id", filetime_of("ts").alias("ticks"), "user_id", "event_type", "value", "props")
+    return events.select("event_id", filetime_of("ts").alias("ticks"), "user_id", "event_type", "value", "props")
+
+
+def event_values(r: dict) -> list[tuple[int, object]]:
+    code = TYPES.index(r["event_type"]) + 1 if r["event_type"] in TYPES else 0
+    return [(UINT16, code), (FILETIME, r["ticks"]), (INT64, r["user_id"]), (STRING, r["event_type"]), (REAL64, r["value"]), (STRING, r["props"])]
+
+
+def encoded(rows: DataFrame, template: Element, values: Callable[[dict], list[tuple[int, object]]]) -> DataFrame:
+    """(path, chunk_index, data) of the rows as a log, a record each; files follow the order of event_id."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = f"events-{TaskContext.get().partitionId():06d}"
@@ -35,17 +46,58 @@ def event_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         def records() -> Iterator[tuple]:
             for batch in batches:
                 for r in batch.to_pylist():
-                    code = TYPES.index(r["event_type"]) + 1 if r["event_type"] in TYPES else 0
-                    values = [(UINT16, code), (FILETIME, r["ticks"]), (INT64, r["user_id"]), (STRING, r["event_type"]), (REAL64, r["value"]), (STRING, r["props"])]
-                    yield r["event_id"], r["ticks"] if r["ticks"] is not None else EPOCH_TICKS, [(k if v is not None else 0, value_bytes(k, v)) for k, v in values]
+                    yield r["event_id"], r["ticks"] if r["ticks"] is not None else EPOCH_TICKS, [(k if v is not None else 0, v if isinstance(v, bytes) else value_bytes(k, v)) for k, v in values(r)]
 
-        for k, data in enumerate(chunks(TEMPLATE, records())):
+        for k, data in enumerate(chunks(template, records())):
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["path", "chunk_index", "data"])
 
     ordered = rows.repartitionByRange("event_id").sortWithinPartitions("event_id")
     return ordered.mapInArrow(write, "path string, chunk_index int, data binary")
 
 
+def event_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a log that isn't written to files."""
+    return encoded(event_rows(spark, sf_dir), TEMPLATE, event_values)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only where all run on one machine and none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="logquarry-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def event_files(spark: SparkSession, sf_dir: str) -> str:
+    """Write the events as event-log files, in parallel, into a new folder of the shared one; -> the folder.
+
+    A task writes its file under another name first and then renames it, so a repeated task replaces what a lost one left.
+    """
+    folder = f"{shared_folder(spark)}/event-logs-{uuid.uuid4().hex}"
+    if not folder.startswith("file:/") and "://" not in folder:
+        folder = f"file://{folder}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, path = [], None
+        for batch in batches:
+            path = batch.column(0)[0].as_py()
+            parts += [d.as_py() for d in batch.column(2)]
+        if path is not None:
+            files, inner, _ = store(f"{folder}/{path}")
+            files.create_dir(inner.rpartition("/")[0])
+            own = f"{inner}-{uuid.uuid4().hex}.part"
+            with files.open_output_stream(own) as out:
+                out.write(log_file(parts))
+            files.move(own, inner)
+            yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
+
+    event_chunks(spark, sf_dir).mapInArrow(write, "path string").count()
+    return folder
+
+
 def typed(records: DataFrame) -> DataFrame:
     """The events' own columns back from decoded records."""
     d = F.col("data")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import struct
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats as fmt
 from ..operators import records as rec
-from .event_table import event_chunks, typed
+from ..api import lines
+from ..sources.encoder import Element
+from ..sources.eventlog import load_chunks
+from .event_table import encoded, event_chunks, event_files, event_rows, shared_folder, typed
 
 TICKS = "(epoch_us(ts) * 10 + 116444736000000000)"
 
@@ -49,7 +55,117 @@ def crc_drop_corrupt_chunk(spark, sf_dir):
 
 
 def record_by_id(spark, sf_dir):
-    return _events(spark, sf_dir).where("event_record_id = 42").select("event_record_id", "event_type", "user_id")
+    chunks = rec.chunks_with_id(event_chunks(spark, sf_dir), 42)
+    return typed(rec.decode(chunks, xml=False, json=False, record_id=42)).select("event_record_id", "event_type", "user_id")
+
+
+def load_file(spark, sf_dir):
+    """Written as files, read by the data source, checked, decoded."""
+    chunks = rec.valid_chunks(load_chunks(spark, event_files(spark, sf_dir)), "FAILFAST")
+    return typed(rec.decode(chunks, xml=False, json=False)).select("event_record_id", "timestamp_filetime", "event_type", "user_id", "value", "props")
+
+
+def load_file_ranges(spark, sf_dir):
+    """Two ranges of chunks of every file, read apart, are all of it."""
+    folder = event_files(spark, sf_dir)
+    chunks = load_chunks(spark, folder, chunkEnd="2", chunksPerPartition="1").union(load_chunks(spark, folder, chunkStart="2"))
+    return typed(rec.decode(chunks, xml=False, json=False)).select("event_record_id", "event_type")
+
+
+def load_file_slice(spark, sf_dir):
+    """OFFSET and LIMIT over the records of several files."""
+    chunks = rec.slice_chunks(load_chunks(spark, event_files(spark, sf_dir)), 333, 500)
+    return typed(rec.decode(chunks, xml=False, json=False)).select("event_record_id", "event_type")
+
+
+def file_headers(spark, sf_dir):
+    """Files whose signature, header checksum or size is wrong, and whether there are any files."""
+    files = spark.read.format("binaryFile").load(event_files(spark, sf_dir))
+    sound = (F.substring("content", 1, 8) == F.lit(bytearray(b"ElfFile\0"))) & (F.crc32(F.substring("content", 1, 120)) == fmt.le_unsigned("content", 124, 4)) & (F.col("length") == 4096 + 65536 * fmt.le_unsigned("content", 42, 2))
+    return files.agg(F.sum(F.when(sound, 0).otherwise(1)).alias("damaged"), (F.count("*") > 0).alias("any_file"))
+
+
+def drop_damaged_chunks(spark, sf_dir):
+    """The records that remain when the first chunk of each file is damaged, with those of a sound copy of it: all of them once."""
+    chunks = event_chunks(spark, sf_dir)
+    flipped = F.concat(F.substring("data", 1, 600), F.lit(bytearray(b"\xff")), F.substring("data", 602, 65536))
+    damaged = chunks.withColumn("data", F.when(F.col("chunk_index") == 0, flipped).otherwise(F.col("data")))
+    kept = rec.valid_chunks(damaged).union(chunks.where("chunk_index = 0"))
+    return typed(rec.decode(kept, xml=False, json=False)).select("event_record_id", "event_type", "props")
+
+
+def sink_jsonl(spark, sf_dir):
+    """Written as JSON lines, a file for each partition, and read again."""
+    out = f"{shared_folder(spark)}/jsonl-{uuid.uuid4().hex}"
+    lines(rec.decode(event_chunks(spark, sf_dir), xml=False), "jsonl").select(F.rtrim("text").alias("value")).write.text(out)
+    return spark.read.schema("event_record_id long, timestamp_filetime long, Event struct<System: struct<EventID: string, Channel: string>>").json(out).select("event_record_id", "timestamp_filetime", F.col("Event.System.EventID").cast("int").alias("code"), F.col("Event.System.Channel").alias("channel"))
+
+
+def sink_xml(spark, sf_dir):
+    """Written as XML text and read again, a record for each Event element, its values by XPath."""
+    out = f"{shared_folder(spark)}/xml-{uuid.uuid4().hex}"
+    lines(rec.decode(event_chunks(spark, sf_dir), json=False), "xml").select(F.col("text").alias("value")).write.text(out, lineSep="\x1e")
+    texts = spark.read.text(out, lineSep="\x1e").where("trim(value) <> ''")
+    return texts.select(F.expr("xpath_long(value, '/Event/EventData/Data[@Name=\"user_id\"]')").alias("user_id"), F.expr("xpath_string(value, '/Event/EventData/Data[@Name=\"event_type\"]')").alias("event_type")).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+def render_layout(spark, sf_dir):
+    """How XML is laid out: lines, and lines of each indentation."""
+    text = rec.decode(event_chunks(spark, sf_dir), json=False).select("event_record_id", F.split(F.regexp_replace("xml", "\n$", ""), "\n").alias("rows"))
+    depth = lambda n: F.size(F.filter("rows", lambda r: r.rlike(f"^ {{{n}}}<"))).cast("long").alias(f"indent_{n}")
+    return text.select("event_record_id", F.size("rows").cast("long").alias("n_lines"), depth(0), depth(2), depth(4))
+
+
+def json_child_grouping(spark, sf_dir):
+    """Children of one name become an array, in order; a lone child doesn't."""
+    got = rec.decode(event_chunks(spark, sf_dir), xml=False).select("event_record_id", F.from_json("json", "Event struct<System: struct<Channel: string>, EventData: struct<Data: array<struct<`@Name`: string, `#text`: string>>>>").alias("j"))
+    return got.select("event_record_id", F.col("j.Event.System.Channel").alias("channel"), F.array_join("j.Event.EventData.Data.@Name", ",").alias("names"), F.col("j.Event.EventData.Data")[0]["#text"].cast("long").alias("user_id"))
+
+
+def _one_event(content):
+    return Element("Event", {}, [Element("EventData", {}, [Element("Data", {"Name": name}, [item]) for name, item in content])])
+
+
+def _data(spark, sf_dir, content, values):
+    got = rec.decode(encoded(event_rows(spark, sf_dir), _one_event(content), values), xml=False, json=False)
+    return got.select("event_record_id", *[F.col("data")[name].alias(name) for name, _ in content])
+
+
+def value_types(spark, sf_dir):
+    """A value of every integer type, of booleans, hexadecimals, binary, GUID, SID and single-byte text, decoded to text."""
+
+    def values(r):
+        n = r["event_id"]
+        guid = struct.pack("<IHH", n, 1, 2) + bytes(range(8))
+        sid = struct.pack("<BB", 1, 2) + (5).to_bytes(6, "big") + struct.pack("<II", 32, n)
+        return [(0x03, n % 100 - 50), (0x04, n % 200), (0x05, n % 1000 - 500), (0x06, n % 1000), (0x07, -n), (0x08, n), (0x09, -n), (0x0A, n), (0x0D, n % 2), (0x14, n), (0x15, n), (0x0E, struct.pack("<H", n % 256)), (0x0F, guid), (0x13, sid), (0x02, f"caf\xe9 {n}")]
+
+    kinds = [0x03, 0x04, 0x05, 0x06, 0x07, 0x08, 0x09, 0x0A, 0x0D, 0x14, 0x15, 0x0E, 0x0F, 0x13, 0x02]
+    return _data(spark, sf_dir, [(f"t{k:02x}", (i, k)) for i, k in enumerate(kinds)], values)
+
+
+def optional_null(spark, sf_dir):
+    """Optional substitutions: a null value leaves its element empty."""
+    content = [("plain", (0, 0x09)), ("optional", struct.pack("<BHB", 0x0E, 1, 0x01))]
+    return _data(spark, sf_dir, content, lambda r: [(0x09, r["user_id"]), (0x01, r["event_type"] if r["event_id"] % 2 else None)])
+
+
+def array_decode(spark, sf_dir):
+    """Array values: strings with commas between them, numbers with blanks."""
+    texts = lambda r: f"{r['event_type']}\0n{r['event_id']}\0".encode("utf-16-le")
+    return _data(spark, sf_dir, [("texts", (0, 0x81)), ("numbers", (1, 0x88))], lambda r: [(0x81, texts(r)), (0x88, struct.pack("<3I", r["event_id"], 7, 9))])
+
+
+def wide_pairs(spark, sf_dir):
+    """Each user's events paired with their next one (a window over decoded records, as pairing logons with logoffs)."""
+    w = Window.partitionBy("user_id").orderBy("timestamp_filetime", "event_record_id")
+    return _events(spark, sf_dir).select("event_record_id", F.lead("event_record_id").over(w).alias("next_id"), F.lead("event_type").over(w).alias("next_type"))
+
+
+def sql_view(spark, sf_dir):
+    """Decoded records under Spark SQL, with set operations."""
+    events = _events(spark, sf_dir)
+    return spark.sql("SELECT DISTINCT user_id FROM {e} WHERE event_type = 'click' EXCEPT SELECT user_id FROM {e} WHERE event_type = 'error'", e=events)
 
 
 def filetime_iso(spark, sf_dir):
@@ -126,8 +242,7 @@ def _expanded(spark, events):
 
 
 def template_expand_relational(spark, sf_dir):
-    """As its SQL, on the first 2,000 events; template_expand_all expands all."""
-    return _expanded(spark, _table(spark, sf_dir, "events").where("event_id < 2000"))
+    return _expanded(spark, _table(spark, sf_dir, "events"))
 
 
 def template_expand_all(spark, sf_dir):
@@ -185,6 +300,20 @@ QUERIES = {
     "crc_ok": (crc_ok, "SELECT true AS all_ok, count(*) > 0 AS any_chunk FROM events"),
     "crc_drop_corrupt_chunk": (crc_drop_corrupt_chunk, "SELECT CAST(0 AS BIGINT) AS damaged_kept"),
     "record_by_id": (record_by_id, "SELECT event_id AS event_record_id, event_type, user_id FROM events WHERE event_id = 42"),
+    "load_file": (load_file, f"SELECT event_id AS event_record_id, {TICKS} AS timestamp_filetime, event_type, user_id, value, props FROM events"),
+    "load_file_ranges": (load_file_ranges, "SELECT event_id AS event_record_id, event_type FROM events"),
+    "load_file_slice": (load_file_slice, "SELECT event_id AS event_record_id, event_type FROM events ORDER BY event_id LIMIT 500 OFFSET 333"),
+    "file_headers": (file_headers, "SELECT CAST(0 AS BIGINT) AS damaged, count(*) > 0 AS any_file FROM events"),
+    "drop_damaged_chunks": (drop_damaged_chunks, "SELECT event_id AS event_record_id, event_type, props FROM events"),
+    "sink_jsonl": (sink_jsonl, f"SELECT event_id AS event_record_id, {TICKS} AS timestamp_filetime, {CODE} AS code, 'Application' AS channel FROM events"),
+    "sink_xml": (sink_xml, "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL"),
+    "render_layout": (render_layout, "SELECT event_id AS event_record_id, CAST(15 AS BIGINT) AS n_lines, CAST(2 AS BIGINT) AS indent_0, CAST(4 AS BIGINT) AS indent_2, CAST(9 AS BIGINT) AS indent_4 FROM events"),
+    "json_child_grouping": (json_child_grouping, "SELECT event_id AS event_record_id, 'Application' AS channel, 'user_id,event_type,value,props' AS names, user_id FROM events"),
+    "value_types": (value_types, """SELECT event_id AS event_record_id, CAST(event_id % 100 - 50 AS VARCHAR) AS t03, CAST(event_id % 200 AS VARCHAR) AS t04, CAST(event_id % 1000 - 500 AS VARCHAR) AS t05, CAST(event_id % 1000 AS VARCHAR) AS t06, CAST(-event_id AS VARCHAR) AS t07, CAST(event_id AS VARCHAR) AS t08, CAST(-event_id AS VARCHAR) AS t09, CAST(event_id AS VARCHAR) AS t0a, CASE WHEN event_id % 2 = 1 THEN 'true' ELSE 'false' END AS t0d, '0x' || printf('%X', event_id) AS t14, '0x' || printf('%X', event_id) AS t15, lpad(lower(to_hex(event_id % 256)), 2, '0') || '00' AS t0e, '{' || lpad(lower(to_hex(event_id)), 8, '0') || '-0001-0002-0001-020304050607}' AS t0f, 'S-1-5-32-' || event_id AS t13, 'café ' || event_id AS t02 FROM events"""),
+    "optional_null": (optional_null, "SELECT event_id AS event_record_id, CAST(user_id AS VARCHAR) AS plain, CASE WHEN event_id % 2 = 1 THEN event_type ELSE '' END AS optional FROM events"),
+    "array_decode": (array_decode, "SELECT event_id AS event_record_id, event_type || ',n' || event_id AS texts, event_id || ' 7 9' AS numbers FROM events"),
+    "wide_pairs": (wide_pairs, "SELECT event_id AS event_record_id, lead(event_id) OVER w AS next_id, lead(event_type) OVER w AS next_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"),
+    "sql_view": (sql_view, "SELECT user_id FROM events WHERE event_type = 'click' EXCEPT SELECT user_id FROM events WHERE event_type = 'error'"),
     "filetime_iso": (filetime_iso, f"SELECT event_id, {ISO} AS iso FROM events"),
     "systemtime_iso": (systemtime_iso, "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso FROM events"),
     "systemtime_normalise": (systemtime_normalise, f"SELECT event_id, {LOOSE} AS iso FROM events"),
@@ -199,7 +328,7 @@ QUERIES = {
     "le_ints": (le_ints, "SELECT o_orderkey, o_custkey - 500 AS i64, (o_custkey - 500 + 65536) % 65536 AS u16 FROM orders"),
     "reals": (reals, "SELECT o_orderkey, o_totalprice AS value, CAST(0 AS BIGINT) AS exponent_at FROM orders"),
     "array_join_text": (array_join_text, "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS text, string_agg(n_name, ' ' ORDER BY n_name) AS attribute FROM nation GROUP BY n_regionkey"),
-    "template_expand_relational": (template_expand_relational, "SELECT event_id, '<Event><Type>' || event_type || '</Type><User>' || user_id || '</User></Event>' AS xml FROM events WHERE event_id < 2000"),
+    "template_expand_relational": (template_expand_relational, "SELECT event_id, '<Event><Type>' || event_type || '</Type><User>' || user_id || '</User></Event>' AS xml FROM events"),
     "template_expand_all": (template_expand_all, "SELECT event_id, '<Event><Type>' || event_type || '</Type><User>' || user_id || '</User></Event>' AS xml FROM events"),
     "render_xml": (render_xml, f"""SELECT event_id AS event_record_id, {SYSTEM_XML} || {CODE} || '</EventID><TimeCreated SystemTime="' || {ISO} || '"></TimeCreated><Channel>Application</Channel><Computer>host</Computer></System><EventData><Data Name="user_id">' || user_id || '</Data><Data Name="event_type">' || event_type || '</Data><Data Name="value">' || CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END || '</Data><Data Name="props">' || replace(props, '"', '&quot;') || '</Data></EventData></Event>' AS xml FROM events"""),
     "render_jsonl": (render_jsonl, f"SELECT event_id, {TICKS} AS ticks, {ISO} AS system_time, event_type, props FROM events"),

@@ -1,19 +1,20 @@
 """Event-log files as a Spark data source: `spark.read.format("eventlog").load(path)` gives a row for each 64 KiB chunk.
 
 Partitions are ranges of chunks, so one large file is read by many tasks. Options: chunksPerPartition (64), chunkStart
-and chunkEnd (prune by index). Filters aren't pushed into the source; give those options instead.
+and chunkEnd (prune by index). Filters aren't pushed into the source; give those options instead. Paths are plain, or
+URIs of any store that pyarrow opens (file, s3, gs, hdfs).
 """
 
 from __future__ import annotations
 
-import glob
-import os
+import fnmatch
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -35,23 +36,44 @@ def header(raw: bytes, path: str = "") -> int:
     return struct.unpack_from("<H", raw, 42)[0]
 
 
+def store(path: str) -> tuple[fs.FileSystem, str, str]:
+    """The file system of a path or URI, the path in it, and what stands before that in the URI."""
+    if "://" not in path and not path.startswith("file:"):
+        return fs.LocalFileSystem(), path, ""
+    found, inner = fs.FileSystem.from_uri(path)
+    return found, inner, path[: path.index(inner)] if inner in path else ""
+
+
 def files_of(path: str) -> list[str]:
-    path = path.removeprefix("file://")
-    if os.path.isdir(path):
-        return sorted(p for p in glob.glob(os.path.join(path, "*")) if os.path.isfile(p))
-    return sorted(glob.glob(path)) or [path]
+    """The files that a path names: itself, those of a folder, or those that its last part matches as a glob."""
+    files, inner, scheme = store(path)
+    info = files.get_file_info(inner)
+    if info.type == fs.FileType.Directory:
+        return sorted(scheme + i.path for i in files.get_file_info(fs.FileSelector(inner)) if i.type == fs.FileType.File)
+    folder, _, last = inner.rpartition("/")
+    if info.type == fs.FileType.NotFound and any(c in last for c in "*?["):
+        listed = files.get_file_info(fs.FileSelector(folder or ".", allow_not_found=True))
+        return sorted(scheme + i.path for i in listed if i.type == fs.FileType.File and fnmatch.fnmatchcase(i.base_name, last))
+    return [path]
+
+
+def exists(path: str) -> bool:
+    files, inner, _ = store(path)
+    return files.get_file_info(inner).type == fs.FileType.File
 
 
 def count_chunks(path: str) -> int:
-    with open(path, "rb") as f:
-        return header(f.read(HEADER), path)
+    files, inner, _ = store(path)
+    with files.open_input_file(inner) as f:
+        return header(f.read_at(min(HEADER, f.size()), 0), path)
 
 
 def read_chunks(path: str, start: int, end: int) -> Iterator[tuple[str, int, bytes]]:
-    with open(path, "rb") as f:
-        f.seek(HEADER + start * CHUNK)
+    files, inner, _ = store(path)
+    with files.open_input_file(inner) as f:
         for k in range(start, end):
-            data = f.read(CHUNK)
+            at = HEADER + k * CHUNK
+            data = f.read_at(CHUNK, at) if at < f.size() else b""
             if len(data) < CHUNK:
                 raise BadLog(f"UnexpectedEof: {path}, chunk {k}")
             yield path, k, data
@@ -100,7 +122,7 @@ class Follower(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        return {path: count_chunks(path) for path in files_of(self.options["path"]) if os.path.exists(path)}
+        return {path: count_chunks(path) for path in files_of(self.options["path"]) if exists(path)}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
         step = int(self.options.get("chunksPerPartition", 64))

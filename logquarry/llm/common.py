@@ -13,9 +13,12 @@ U64 = np.uint64
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where nobody set it (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. It is set here only where nobody set it and all
+    run on one machine (local tests); on a cluster without it this raises."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="logquarry-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -3,6 +3,23 @@ from fixtures import documents, words
 from pyspark.sql import functions as F
 
 
+def test_awkward_tables(spark, tmp_path):
+    """Clashing columns, repeated rows, null ids and texts, a long text; and no rows at all."""
+    body = lambda s, n=60: " ".join(words(s, n, 9000))
+    rows = [(i, body(i)) for i in range(8)] + [(3, body(3)), (None, body(90)), (None, None), (9, None), (10, ""), (11, body(11, 60_000)), (12, body(1))]
+    for name, part in (("full", rows), ("empty", [])):
+        sf = f"{tmp_path}/{name}"
+        documents(spark, part).coalesce(1).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(1, body(5, 60)), (None, None), (2, "")][: len(part)], "item_id long, text string").coalesce(1).write.parquet(f"{sf}/benchmark.parquet")
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        for stage, f in cp.STAGES[:-1]:
+            docs = cp.table(f(spark, docs, sf), stage)
+            assert docs.columns == spark.read.parquet(f"{sf}/documents.parquet").columns
+        left = sorted((r.doc_id for r in docs.collect()), key=repr)
+        assert left == sorted([*(i for i in range(8) if i != 5), 3, None, 11], key=repr) * bool(part)
+        assert cp.tokens(spark, docs, sf).count() == len(left)
+
+
 def test_stages(spark, tmp_path):
     sf = str(tmp_path)
     item = " ".join(words(900, 40, 9000))

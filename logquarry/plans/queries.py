@@ -165,7 +165,7 @@ def wide_pairs(spark, sf_dir):
 def sql_view(spark, sf_dir):
     """Decoded records under Spark SQL, with set operations."""
     events = _events(spark, sf_dir)
-    return spark.sql("SELECT DISTINCT user_id FROM {e} WHERE event_type = 'click' EXCEPT SELECT user_id FROM {e} WHERE event_type = 'error'", e=events)
+    return spark.sql("SELECT DISTINCT user_id FROM {e} WHERE event_type = 'click' INTERSECT SELECT user_id FROM {e} WHERE event_type = 'error'", e=events)
 
 
 def filetime_iso(spark, sf_dir):
@@ -313,7 +313,7 @@ QUERIES = {
     "optional_null": (optional_null, "SELECT event_id AS event_record_id, CAST(user_id AS VARCHAR) AS plain, CASE WHEN event_id % 2 = 1 THEN event_type ELSE '' END AS optional FROM events"),
     "array_decode": (array_decode, "SELECT event_id AS event_record_id, event_type || ',n' || event_id AS texts, event_id || ' 7 9' AS numbers FROM events"),
     "wide_pairs": (wide_pairs, "SELECT event_id AS event_record_id, lead(event_id) OVER w AS next_id, lead(event_type) OVER w AS next_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"),
-    "sql_view": (sql_view, "SELECT user_id FROM events WHERE event_type = 'click' EXCEPT SELECT user_id FROM events WHERE event_type = 'error'"),
+    "sql_view": (sql_view, "SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'error'"),
     "filetime_iso": (filetime_iso, f"SELECT event_id, {ISO} AS iso FROM events"),
     "systemtime_iso": (systemtime_iso, "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso FROM events"),
     "systemtime_normalise": (systemtime_normalise, f"SELECT event_id, {LOOSE} AS iso FROM events"),

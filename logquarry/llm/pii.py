@@ -2,14 +2,16 @@
 
 Base spans come from fixed patterns and always stay. Loose patterns propose more. On every candidate four labelers vote
 yes, no or nothing: pattern (does it pass the strict checks), gazetteer (known endings, prefixes, ranges), context (the
-words before it) and shape (what borders it). The votes of all documents are summed by pattern of votes, a table whose
-size doesn't grow; EM over it gives each labeler's reliability per kind and soft labels, on which a logistic classifier
-is trained. Candidates that it accepts and that touch no base span of their kind are added.
+words before it) and shape (what borders it). The candidates of all documents are counted by votes and features, a table
+whose size doesn't grow; EM over the votes gives each labeler's reliability per kind and soft labels, on which a logistic
+classifier is trained. It also sees what no labeler reads: the span's length, what joins its parts, the word after it and
+how many digits stand around it. Candidates that it accepts and that touch no base span of their kind are added.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,8 @@ from .common import documents
 KINDS = ("email", "ip", "card", "phone")
 #: The classifier adds a span from this probability.
 ACCEPT = 0.9
+#: Features of a span and how many values each has: length, signs between its parts, hash of the next word, digits around it.
+FEATURES = {"length": 8, "signs": 8, "after": 8, "digits": 2}
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -29,6 +33,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}").finditer
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+").finditer
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").finditer
 _DIGIT = re.compile(r"[0-9]").search
+_WORD = re.compile(r"[^\W\d_]+").search
 
 LOOSE = {
     "email": re.compile(r"\b[A-Za-z0-9._%+-]{1,64}\s?(?:\(at\)|\[at\]|\{at\})\s?[A-Za-z0-9-]{1,63}\s?(?:\(dot\)|\[dot\]|\.)\s?[A-Za-z]{2,24}\b", re.I),
@@ -111,8 +116,17 @@ def context(kind: str, before: str) -> int:
     return -1 if any(re.search(rf"\b{re.escape(w)}\b", before) for k in KINDS if k != kind for w in WORDS[k]) else 0
 
 
+def traits(text: str, a: int, b: int) -> tuple[int, ...]:
+    """The values of FEATURES of a span."""
+    span, after = text[a:b], text[b : b + 24]
+    signs = (" " in span) + 2 * any(c in span for c in "()[]{}") + 4 * any(c in span for c in "-./_")
+    word = _WORD(after)
+    around = sum("0" <= c <= "9" for c in text[max(0, a - 24) : a] + after)
+    return min(7, (b - a) // 4), signs, zlib.crc32(word[0].lower().encode()) % 8 if word else 0, int(around >= 6)
+
+
 def candidates(text: str) -> Iterator[tuple[str, int, int, tuple[int, ...]]]:
-    """(kind, start, end, votes and features) of the strict and the loose patterns' matches."""
+    """(kind, start, end, four votes and the FEATURES) of the strict and the loose patterns' matches."""
     found = [(k, a, b, 1 if ok else -1) for k, a, b, ok in checked(text)]
     has_digit = bool(_DIGIT(text))
     for kind, pattern in LOOSE.items():
@@ -121,23 +135,25 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, tuple[int, ...]]]:
     for kind, a, b, strict in found:
         left, right = text[a - 1 : a], text[b : b + 1]
         shape = -1 if left.isalnum() or right.isalnum() else 1 if not left.strip(" \n(<,;:") and not right.strip(" \n)>,;:.") else 0
-        yield kind, a, b, (strict, gazetteer(kind, text[a:b]), context(kind, text[max(0, a - 24) : a]), shape, min(7, (b - a) // 4))
+        yield kind, a, b, (strict, gazetteer(kind, text[a:b]), context(kind, text[max(0, a - 24) : a]), shape, *traits(text, a, b))
 
 
 def vote_counts(docs: DataFrame) -> DataFrame:
-    """(kind, votes..., size, n) over all documents: at most 4 * 3 ** 4 * 8 rows, summed in each task first."""
+    """(kind, votes..., features..., n) over all documents: at most 4 * 3 ** 4 * 1024 rows, summed in each task first."""
+    names = ["kind", "v0", "v1", "v2", "v3", *FEATURES]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple, int] = {}
         for batch in batches:
             for text in batch.column(0):
-                for kind, _, _, votes in candidates(text.as_py() or ""):
-                    seen[kind, *votes] = seen.get((kind, *votes), 0) + 1
+                for kind, _, _, row in candidates(text.as_py() or ""):
+                    seen[kind, *row] = seen.get((kind, *row), 0) + 1
         if seen:
-            columns = [pa.array([k[0] for k in seen]), *[pa.array([k[i] for k in seen], pa.int32()) for i in range(1, 6)], pa.array(list(seen.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["kind", "v0", "v1", "v2", "v3", "size", "n"])
+            kinds, *rows = zip(*seen, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), *[pa.array(r, pa.int32()) for r in rows], pa.array(list(seen.values()), pa.int64())], [*names, "n"])
 
-    return docs.mapInArrow(count, "kind string, v0 int, v1 int, v2 int, v3 int, size int, n long").groupBy("kind", "v0", "v1", "v2", "v3", "size").agg(F.sum("n").alias("n"))
+    fields = ", ".join(f"{name} int" for name in names[1:])
+    return docs.mapInArrow(count, f"kind string, {fields}, n long").groupBy(*names).agg(F.sum("n").alias("n"))
 
 
 def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -156,32 +172,39 @@ def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[n
 
 
 def features(kind: str, row: tuple[int, ...]) -> np.ndarray:
-    x = np.zeros(4 + 12 + 8)
-    x[KINDS.index(kind)] = 1
+    """The classifier's input: kind, votes, and each of the FEATURES by kind."""
+    width, k = sum(FEATURES.values()), KINDS.index(kind)
+    x = np.zeros(4 + 12 + 4 * width)
+    x[k] = 1
     for j, v in enumerate(row[:4]):
         x[4 + 3 * j + v + 1] = 1
-    x[16 + row[4]] = 1
+    at = 16 + k * width
+    for size, v in zip(FEATURES.values(), row[4:], strict=True):
+        x[at + v] = 1
+        at += size
     return x
 
 
 def train(rows: list[tuple]) -> np.ndarray | None:
-    """Weights of the span classifier from the vote counts; none where nothing was proposed."""
+    """Weights of the span classifier from the counts; none where nothing was proposed."""
     if not rows:
         return None
     x, y, weight = [], [], []
     for kind in KINDS:
         own = [r for r in rows if r[0] == kind]
         if own:
-            votes, n = np.array([r[1:5] for r in own]), np.array([r[6] for r in own], float)
+            votes, n = np.array([r[1:5] for r in own]), np.array([r[-1] for r in own], float)
             _, yes = reliabilities(votes, n)
-            x += [features(kind, r[1:6]) for r in own]
+            x += [features(kind, r[1:-1]) for r in own]
             y += list(yes)
             weight += list(n / n.sum())
     x, y, weight = np.array(x), np.array(y), np.array(weight)
-    w = np.zeros(x.shape[1])
-    for step in range(2000):
-        p = 1 / (1 + np.exp(-x @ w))
-        w -= 2.0 / (1 + step / 500) * (x.T @ (weight * (p - y)) + 1e-4 * w)
+    rate = 1 / (0.25 * np.linalg.eigvalsh(x.T @ (weight[:, None] * x))[-1] + 1e-4)
+    w = ahead = np.zeros(x.shape[1])
+    for step in range(1000):  # accelerated gradient descent
+        p = 1 / (1 + np.exp(-x @ ahead))
+        new = ahead - rate * (x.T @ (weight * (p - y)) + 1e-4 * ahead)
+        w, ahead = new, new + step / (step + 3) * (new - w)
     return w
 
 

@@ -60,3 +60,59 @@ def test_hidden_addresses_in_any_case():
     for text in ("write jane [AT] example [DOT] com now", "write jane (At) example (dOt) com now", "write jane {aT} example.com now"):
         assert [text[a:b] for kind, a, b, _ in pii.candidates(text) if kind == "email"] == [text[6:-4]]
         assert list(pii.candidates(text)) == list(pii.candidates(text + " (at)"))
+
+
+def planted(n):
+    """Texts with hidden personal data and with look-alikes -> (text, [(kind, start, end, is it real)])."""
+    import random
+
+    rng = random.Random(11)
+    number = lambda k: "".join(str(rng.randrange(1, 10)) for _ in range(k))
+    for i in range(n):
+        text, marks = "", []
+
+        def put(words, kind=None, span="", real=True):
+            nonlocal text
+            text += f"{words} "
+            if kind:
+                marks.append((kind, len(text), len(text) + len(span), real))
+            text += f"{span} " if real else span + rng.choice("xyz") + " "
+
+        put("plain words here then")
+        if i % 2:
+            put("please write to", "email", f"u{i} {rng.choice(['(at)', '[AT]', '{at}'])} host{number(1)} {rng.choice(['(dot)', '[dot]'])} {rng.choice(['com', 'org', 'net'])}")
+            put("from host", "ip", "[.]".join(str(rng.randrange(1, 200)) for _ in range(4)))
+        if i % 3:
+            put("and call", "phone", f"{number(3)}-{number(3)}-{number(4)}")
+            put("paid by visa card", "card", "4" + number(3) + "." + ".".join(number(4) for _ in range(3)))
+        if i % 5 == 0:
+            put("release build", "phone", f"{number(3)}-{number(3)}-{number(4)}", False)
+            put("part", "card", f"9{number(3)}/{number(4)}/{number(4)}/{number(4)}", False)
+        put(f"real ones: mail a{i}@b.example.com host 10.1.{i % 200}.7 phone +1 (234) 555-{1000 + i} card 4111 1111 1111 1111")
+        yield text, marks
+
+
+def test_recall_of_added_spans(spark):
+    from fixtures import documents
+
+    cases = list(planted(600))
+    docs = documents(spark, [(i, t) for i, (t, _) in enumerate(cases)])
+    weights = pii.train(sorted(map(tuple, pii.vote_counts(docs.select("text")).collect())))
+    found = {r.doc_id: {(s.kind, s.start, s.end) for s in r.spans} for r in pii.find_spans(docs, weights).collect()}
+    share = {}
+    for kind in pii.KINDS:
+        for real in (True, False):
+            hits = [m[:3] in found[i] for i, (_, marks) in enumerate(cases) for m in marks if m[0] == kind and m[3] == real]
+            if hits:
+                share[kind, real] = sum(hits) / len(hits)
+    assert all(v >= 0.9 if real else v <= 0.1 for (_, real), v in share.items()), share
+
+
+def test_empty_table_and_long_text(spark):
+    from fixtures import documents
+
+    empty = documents(spark, [])
+    assert pii.train(pii.vote_counts(empty.select("text")).collect()) is None and pii.find_spans(empty, None).count() == 0
+    text = "word " * 400_000 + "a@b.example.com"
+    got = pii.find_spans(documents(spark, [(1, text), (1, text)]), None).collect()
+    assert [[tuple(s) for s in r.base] for r in got] == [[("email", 2_000_000, 2_000_015)]] * 2

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, compact_windows, cover_tree, decontamination, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, pii, token_alignment, token_counts
+from . import bpe, compact_windows, cover_tree, decontamination, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, phrase_mining, pii, token_alignment, token_counts
 
-MODULES = (bpe, compact_windows, cover_tree, decontamination, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, pii, token_alignment, token_counts)
+MODULES = (bpe, compact_windows, cover_tree, decontamination, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, phrase_mining, pii, token_alignment, token_counts)
 
 
 def queries() -> dict:

@@ -29,8 +29,9 @@ def cut(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
     """doc_id, n_chars (code points of the whole text), norm (binary) and blocks (one empty block of an empty text)."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     norm = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.length(text).cast("long").alias("n_chars"), F.regexp_replace(text, SPACES, "").cast("binary").alias("norm"))
-    places = f"sequence(0, CAST(greatest(octet_length(norm) - 1, 0) div {block} AS INT))"
-    return norm.withColumn("blocks", F.expr(f"transform({places}, i -> substring(norm, i * {block} + 1, {block}))"))
+    # bound to n, so that the text isn't normalised anew for each block
+    places = f"sequence(0, CAST(greatest(octet_length(n) - 1, 0) div {block} AS INT))"
+    return norm.withColumn("blocks", F.expr(f"transform(array(norm), n -> transform({places}, i -> substring(n, i * {block} + 1, {block})))[0]"))
 
 
 def named(keys: DataFrame, name: str) -> DataFrame:
@@ -41,7 +42,7 @@ def named(keys: DataFrame, name: str) -> DataFrame:
 def block_names(texts: DataFrame) -> tuple[DataFrame, int]:
     """(h1, h2, name) of the distinct blocks, and the seed under which no two of them share their 128 bits."""
     for seed in range(SEEDS):
-        blocks = texts.select(F.explode("blocks").alias("block")).select(prints(seed, F.col("block")).alias("h"), "block")
+        blocks = texts.select(F.explode_outer("blocks").alias("block")).select(prints(seed, F.col("block")).alias("h"), "block")
         # nearly always one block a group
         groups = blocks.groupBy("h").agg(F.sort_array(F.collect_set("block")).alias("same"))
         names = named(groups.select("h.*", F.posexplode("same").alias("rank", "block")).drop("block"), "block_names")
@@ -52,7 +53,7 @@ def block_names(texts: DataFrame) -> tuple[DataFrame, int]:
 
 def identities(names: DataFrame, rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(rid, level, name) of rows (rid, keys array<struct<h1, h2>>), and the tables that this rests on."""
-    places = rows.select("rid", F.size("keys").alias("n"), F.posexplode("keys").alias("pos", "h")).select("rid", "n", "pos", "h.*")
+    places = rows.select("rid", F.size("keys").alias("n"), F.posexplode_outer("keys").alias("pos", "h")).select("rid", "n", "pos", "h.*")
     level = table(places.join(names, ["h1", "h2"]).select("rid", "n", "pos", "name"), "level")
     levels = [level]
     while not (open_rows := level.where("n > 1")).isEmpty():
@@ -84,11 +85,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found, levels = identities(names, rows)
     whole = table(rows.drop("keys").join(found, "rid"), "identities")
     order = F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
-    groups = whole.groupBy("level", "name").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
+    # as a table, so that adaptive execution can split the members of a large group
+    groups = table(whole.groupBy("level", "name").agg(F.min(order).alias("best"), F.count("*").alias("group_size")), "groups")
     out = whole.join(groups, ["level", "name"])
     out = out.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256", F.struct("level", "name").alias("identity"))
     out = table(out, "exact_duplicates")
-    discard(rows, whole, *levels)
+    discard(rows, whole, groups, *levels)
     return out
 
 

@@ -123,6 +123,43 @@ def utf16_text(data: Column | str) -> Column:
     return F.decode(_col(data), "UTF-16LE")
 
 
+def utf16_lenient(data: Column | str) -> Column:
+    """UTF-16LE bytes as text; halves of surrogate pairs that stand alone and an odd last byte are left out."""
+    data = _col(data)
+    even = data.substr(F.lit(1), F.octet_length(data) - F.octet_length(data) % 2)
+    units = F.transform(F.sequence(F.lit(0), F.greatest((F.octet_length(even) / 2).cast("int") - 1, F.lit(0))), lambda i: F.hex(even.substr(i * 2 + 1, F.lit(2))))
+
+    def paired(units: Column) -> Column:
+        def stays(unit: Column, i: Column) -> Column:
+            high, low = "^..D[89AB]", "^..D[C-F]"
+            return F.when(unit.rlike(high), F.coalesce(F.get(units, i + 1).rlike(low), F.lit(False))).when(unit.rlike(low), F.coalesce(F.get(units, i - 1).rlike(high), F.lit(False))).otherwise(True)
+
+        return F.decode(F.unhex(F.array_join(F.filter(units, stays), "")), "UTF-16LE")
+
+    # D8 to DF anywhere is rare; without it there are no surrogates to pair
+    return F.when(F.hex(even).rlike("D[89A-F]"), F.get(F.transform(F.array(units), paired), F.lit(0))).otherwise(F.decode(even, "UTF-16LE"))
+
+
+def le_hex(data: Column | str) -> Column:
+    """A little-endian integer of any size as upper-case hexadecimal digits without leading zeros."""
+    swapped = F.regexp_replace(F.reverse(F.hex(_col(data))), "(.)(.)", "$2$1")
+    return F.regexp_replace(swapped, "^0+(?=.)", "")
+
+
+def sid_places(data: Column | str) -> Column:
+    """Where (from 1) the whole SIDs of an array begin, each as long as it says."""
+    data = _col(data)
+    size = F.octet_length(data)
+
+    def step(s: Column, _: Column) -> Column:
+        end = s.at + 8 + F.coalesce(F.conv(F.hex(data.substr(s.at + 1, F.lit(1))), 16, 10).cast("int"), F.lit(0)) * 4
+        fits = (s.at + 7 <= size) & (end - 1 <= size)
+        return F.struct(F.when(fits, F.concat(s.places, F.array(s.at))).otherwise(s.places).alias("places"), F.when(fits, end).otherwise(size + 1).alias("at"))
+
+    start = F.struct(F.array().cast("array<int>").alias("places"), F.lit(1).alias("at"))
+    return F.aggregate(F.sequence(F.lit(0), (size / 8).cast("int")), start, step, lambda s: s.places)
+
+
 #: Code page 1252 where it isn't Latin-1: bytes 0x80 to 0x9F in order (fixed values); five bytes stand for nothing.
 CP1252_HIGH = "€�‚ƒ„…†‡ˆ‰Š‹Œ�Ž��‘’“”•–—˜™š›œ�žŸ"
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.formats import EPOCH_TICKS, filetime_of
 from ..sources.encoder import Element, chunks, log_file, value_bytes
 from ..sources.eventlog import store
+from ..sources.scratch import shared_folder
 
 UINT16, INT64, REAL64, FILETIME, STRING = 0x06, 0x09, 0x0C, 0x11, 0x01
 TEMPLATE = Element(
@@ -46,7 +46,7 @@ def encoded(rows: DataFrame, template: Element, values: Callable[[dict], list[tu
         def records() -> Iterator[tuple]:
             for batch in batches:
                 for r in batch.to_pylist():
-                    yield r["event_id"], r["ticks"] if r["ticks"] is not None else EPOCH_TICKS, [(k if v is not None else 0, v if isinstance(v, bytes) else value_bytes(k, v)) for k, v in values(r)]
+                    yield r["event_id"], r["ticks"] if r["ticks"] is not None else EPOCH_TICKS, [(k if v is not None else 0, v if isinstance(v, bytes) or callable(v) else value_bytes(k, v)) for k, v in values(r)]
 
         for k, data in enumerate(chunks(template, records())):
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["path", "chunk_index", "data"])
@@ -60,17 +60,6 @@ def event_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(event_rows(spark, sf_dir), TEMPLATE, event_values)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where all run on one machine and none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="logquarry-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def event_files(spark: SparkSession, sf_dir: str) -> str:
     """Write the events as event-log files, in parallel, into a new folder of the shared one; -> the folder.
 

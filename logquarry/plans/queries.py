@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions import formats as fmt
 from ..operators import records as rec
+from ..operators import token_tables as tokens
 from ..api import lines
-from ..sources.encoder import Element
+from ..sources.encoder import Element, instance, value_bytes
 from ..sources.eventlog import load_chunks
-from .event_table import encoded, event_chunks, event_files, event_rows, shared_folder, typed
+from ..sources.scratch import shared_folder, table
+from .event_table import INT64, STRING, encoded, event_chunks, event_files, event_rows, typed
 
+BINXML = 0x21
 TICKS = "(epoch_us(ts) * 10 + 116444736000000000)"
 
 
@@ -27,7 +30,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_records(spark, sf_dir):
-    return _events(spark, sf_dir).select("event_record_id", "timestamp_filetime", fmt.filetime_iso("timestamp_filetime").alias("iso_time"), "event_type", "user_id", "value", "props")
+    """All events, decoded as tables: templates, their uses, and values that become text."""
+    return typed(tokens.decode_tables(event_chunks(spark, sf_dir), xml=False, json=False)).select("event_record_id", "timestamp_filetime", fmt.filetime_iso("timestamp_filetime").alias("iso_time"), "event_type", "user_id", "value", "props")
 
 
 def offset_limit(spark, sf_dir, skip=7, limit=20):
@@ -234,19 +238,77 @@ def array_join_text(spark, sf_dir):
     return names.select("n_regionkey", fmt.array_text("names", strings=True).alias("text"), fmt.array_text("names", attribute=True, strings=True).alias("attribute"))
 
 
-def _expanded(spark, events):
-    pieces = [(0, "<Event><Type>", None), (1, None, 0), (2, "</Type><User>", None), (3, None, 1), (4, "</User></Event>", None)]
-    tokens = spark.createDataFrame([(1, *p) for p in pieces], "template int, place int, text string, subst int")
-    values = events.select(F.col("event_id").alias("record"), F.lit(1).alias("template"), F.posexplode(F.array("event_type", F.col("user_id").cast("string"))).alias("position", "value"))
-    return rec.expand_templates(tokens, values).select(F.col("record").alias("event_id"), F.col("text").alias("xml"))
+def _typed_chunks(spark, sf_dir):
+    template = Element("Event", {}, [Element("Type", {}, [(0, STRING)]), Element("User", {}, [(1, INT64)])])
+    rows = _table(spark, sf_dir, "events").select("event_id", F.lit(None).cast("long").alias("ticks"), "user_id", "event_type")
+    return encoded(rows, template, lambda r: [(STRING, r["event_type"]), (INT64, r["user_id"])])
+
+
+def _compact(xml):
+    return F.regexp_replace(xml, r"\n *", "")
 
 
 def template_expand_relational(spark, sf_dir):
-    return _expanded(spark, _table(spark, sf_dir, "events"))
+    """A log's templates and their uses as two tables, joined on (path, chunk, definition), and on the substitutions' positions."""
+    parsed = table(tokens.parse(_typed_chunks(spark, sf_dir)), "parsed")
+    got = rec.expand_templates(tokens.template_tokens(parsed), tokens.template_values(parsed))
+    ids = tokens.uses(parsed).select(F.struct("path", "chunk_index", "use.ordinal").alias("record"), F.col("use.event_record_id").alias("event_id"))
+    return got.join(ids, "record").select("event_id", F.col("text").alias("xml"))
 
 
 def template_expand_all(spark, sf_dir):
-    return _expanded(spark, _table(spark, sf_dir, "events"))
+    """The same without a shuffle: each template's uses lie with it."""
+    rows, deepest = tokens.trees(_typed_chunks(spark, sf_dir))
+    return tokens.fold(rows, deepest, "xml", "xml").select(F.col("event_record_id").alias("event_id"), _compact("xml").alias("xml"))
+
+
+def _nested_chunks(spark, sf_dir):
+    """Events whose values hold binary XML: in an attribute, and three levels deep, the last as an element without template."""
+    outer = Element("Event", {}, [Element("EventData", {"tag": (0, BINXML)}, [Element("Data", {"Name": "user_id"}, [(1, INT64)]), (2, BINXML), Element("After")])])
+    note = Element("Note", {}, [(0, STRING)])
+    second = Element("Second", {"n": (0, INT64)}, ["before", (1, BINXML)])
+    third = Element("Third", {"held": (0, BINXML)}, [(1, BINXML), "end"])
+
+    def values(r):
+        plain = lambda at: Element("Plain", {}, [r["event_type"]]).encode(at) + b"\x00"
+        last = lambda at: instance(third, [(BINXML, lambda at: instance(note, [(STRING, value_bytes(STRING, "held"))], at, None)), (BINXML, plain)], at, None)
+
+        def two(at):
+            first = instance(second, [(INT64, value_bytes(INT64, r["event_id"])), (BINXML, last)], at, None)
+            return first + plain(at + len(first))
+
+        return [(BINXML, lambda at: instance(note, [(STRING, value_bytes(STRING, r["event_type"]))], at, None)), (INT64, r["user_id"]), (BINXML, two if r["event_id"] % 3 else b"")]
+
+    return encoded(event_rows(spark, sf_dir), outer, values)
+
+
+def nested_splice(spark, sf_dir):
+    """Nested binary XML put in place level by level; what an attribute holds comes after the element's children."""
+    rows, deepest = tokens.trees(_nested_chunks(spark, sf_dir))
+    return tokens.fold(rows, deepest, "xml", "xml").select("event_record_id", _compact("xml").alias("xml"))
+
+
+def nested_json(spark, sf_dir):
+    """The same events as JSON."""
+    rows, deepest = tokens.trees(_nested_chunks(spark, sf_dir))
+    return tokens.fold(rows, deepest, "json", "json").select("event_record_id", "json")
+
+
+def json_mixed(spark, sf_dir):
+    """Repeated children, text between elements, attributes and empty elements: a tree folded from its leaves."""
+    template = Element("Event", {"v": "1"}, [Element("A", {}, ["x", (0, INT64), Element("B", {}, [(1, STRING)]), "y", Element("B", {"k": (0, INT64)})]), Element("C"), Element("A", {}, ["z"]), "tail", Element("C", {}, [Element("D")])])
+    rows, deepest = tokens.trees(encoded(event_rows(spark, sf_dir), template, lambda r: [(INT64, r["event_id"]), (STRING, r["props"])]))
+    return tokens.fold(rows, deepest, "json", "json").select("event_record_id", "json")
+
+
+def xml_fold(spark, sf_dir):
+    """As render_xml, from the tables."""
+    return tokens.decode_tables(event_chunks(spark, sf_dir), json=False).select("event_record_id", _compact("xml").alias("xml"))
+
+
+def json_fold(spark, sf_dir):
+    """As render_jsonl, from the tables."""
+    return _json_fields(tokens.decode_tables(event_chunks(spark, sf_dir), xml=False))
 
 
 def render_xml(spark, sf_dir):
@@ -254,8 +316,7 @@ def render_xml(spark, sf_dir):
     return got.select("event_record_id", F.regexp_replace("xml", r"\n *", "").alias("xml"))
 
 
-def render_jsonl(spark, sf_dir):
-    got = rec.decode(event_chunks(spark, sf_dir), xml=False)
+def _json_fields(got):
     field = lambda path: F.get_json_object("json", path)
     return got.select(
         field("$.event_record_id").cast("long").alias("event_id"),
@@ -266,6 +327,10 @@ def render_jsonl(spark, sf_dir):
     )
 
 
+def render_jsonl(spark, sf_dir):
+    return _json_fields(rec.decode(event_chunks(spark, sf_dir), xml=False))
+
+
 def events_by_type(spark, sf_dir):
     return _events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.countDistinct("user_id").alias("users"))
 
@@ -330,6 +395,9 @@ QUERIES = {
     "array_join_text": (array_join_text, "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS text, string_agg(n_name, ' ' ORDER BY n_name) AS attribute FROM nation GROUP BY n_regionkey"),
     "template_expand_relational": (template_expand_relational, "SELECT event_id, '<Event><Type>' || event_type || '</Type><User>' || user_id || '</User></Event>' AS xml FROM events"),
     "template_expand_all": (template_expand_all, "SELECT event_id, '<Event><Type>' || event_type || '</Type><User>' || user_id || '</User></Event>' AS xml FROM events"),
+    "nested_splice": (nested_splice, """SELECT event_id AS event_record_id, '<Event><EventData tag=""><Data Name="user_id">' || user_id || '</Data>' || CASE WHEN event_id % 3 = 0 THEN '' ELSE '<Second n="' || event_id || '">before<Third held=""><Plain>' || event_type || '</Plain>end<Note>held</Note></Third></Second><Plain>' || event_type || '</Plain>' END || '<After></After><Note>' || event_type || '</Note></EventData></Event>' AS xml FROM events"""),
+    "nested_json": (nested_json, """SELECT event_id AS event_record_id, '{"EventData":{"@tag":"","Data":{"@Name":"user_id","#text":"' || user_id || '"},' || CASE WHEN event_id % 3 = 0 THEN '' ELSE '"Second":{"@n":"' || event_id || '","#text":"before","Third":{"@held":"","#text":"end","Plain":"' || event_type || '","Note":"held"}},"Plain":"' || event_type || '",' END || '"After":"","Note":"' || event_type || '"}}' AS json FROM events"""),
+    "json_mixed": (json_mixed, """SELECT event_id AS event_record_id, '{"@v":"1","#text":"tail","A":[{"#text":"x' || event_id || 'y","B":[' || CAST(to_json(props) AS VARCHAR) || ',{"@k":"' || event_id || '"}]},"z"],"C":["",{"D":""}]}' AS json FROM events"""),
     "render_xml": (render_xml, f"""SELECT event_id AS event_record_id, {SYSTEM_XML} || {CODE} || '</EventID><TimeCreated SystemTime="' || {ISO} || '"></TimeCreated><Channel>Application</Channel><Computer>host</Computer></System><EventData><Data Name="user_id">' || user_id || '</Data><Data Name="event_type">' || event_type || '</Data><Data Name="value">' || CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END || '</Data><Data Name="props">' || replace(props, '"', '&quot;') || '</Data></EventData></Event>' AS xml FROM events"""),
     "render_jsonl": (render_jsonl, f"SELECT event_id, {TICKS} AS ticks, {ISO} AS system_time, event_type, props FROM events"),
     "events_by_type": (events_by_type, "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, count(DISTINCT user_id) AS users FROM events GROUP BY event_type"),
@@ -337,3 +405,4 @@ QUERIES = {
     "sessionize": (sessionize, "SELECT user_id, CAST(sum(CASE WHEN gap IS NULL OR gap > 1800000000 THEN 1 ELSE 0 END) AS BIGINT) AS sessions, count(*) AS events FROM (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) GROUP BY user_id"),
     "top_users": (top_users, "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 20"),
 }
+QUERIES |= {"xml_fold": (xml_fold, QUERIES["render_xml"][1]), "json_fold": (json_fold, QUERIES["render_jsonl"][1])}

@@ -7,6 +7,7 @@ Elements are (name, attributes, children); other nodes are tuples that begin wit
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -172,11 +173,8 @@ class Chunk:
                 break
         return out
 
-    def instance(self, at: int, end: int, depth: int) -> tuple[tuple, int]:
-        offset = self.u(at + 6, 4, end)
-        at += 10
-        if offset == at:  # the definition stands right here
-            at += 24 + self.u(at + 20, 4, end)
+    def template(self, offset: int, depth: int = 0) -> tuple:
+        """The element of the template defined at this place of the chunk."""
         if offset not in self.templates:
             if offset + 24 > len(self.data):
                 raise BadRecord("OutOfBounds")
@@ -185,6 +183,15 @@ class Chunk:
                 raise BadRecord("OutOfBounds")
             body = offset + 24
             self.templates[offset] = self.element(body + 4 if self.data[body] == 0x0F else body, stop, depth)[0]
+        return self.templates[offset]
+
+    def parts(self, at: int, end: int, depth: int = 0) -> tuple[int, list[tuple[int, int, int]], int]:
+        """Of a template's instance: the definition's place, (type, start, end) of its values, and the next position."""
+        offset = self.u(at + 6, 4, end)
+        at += 10
+        if offset == at:  # the definition stands right here
+            at += 24 + self.u(at + 20, 4, end)
+        self.template(offset, depth)
         count = self.u(at, 4, end)
         at += 4
         if at + 4 * count > end:
@@ -197,8 +204,33 @@ class Chunk:
                 raise BadRecord("UnexpectedEof")
             values.append((kind, at, at + size))
             at += size
+        return offset, values, at
+
+    def instance(self, at: int, end: int, depth: int) -> tuple[tuple, int]:
+        offset, values, at = self.parts(at, end, depth)
         return self.expand(self.templates[offset], values, depth), at
 
+    def pieces(self, at: int, end: int, first: bool) -> Iterator[tuple[int, tuple, list[tuple[int, int, int]]]]:
+        """The roots of a fragment, nothing put in place: (place of the definition or element, element, values)."""
+        found = False
+        while at < end and not (first and found):
+            token = self.data[at] & 0x1F
+            if token == 0x0F:
+                at += 4
+            elif token == 0x0C:
+                offset, values, at = self.parts(at, end)
+                found = True
+                yield offset, self.templates[offset], values
+            elif token == 0x01:
+                start = at
+                element, at = self.element(at, end, 0)
+                found = True
+                yield start, element, []
+            elif token == 0 and found:
+                return
+            else:
+                raise BadRecord("BadToken")
+
     def element(self, at: int, end: int, depth: int) -> tuple[tuple, int]:
         if depth > DEEPEST:
             raise BadRecord("OutOfBounds")
@@ -299,7 +331,9 @@ class Chunk:
         name, attributes, children = element
         done = [(key, [y for x in nodes for y in self.node(x, values, True, depth)]) for key, nodes in attributes]
         inner = [y for x in children for y in self.node(x, values, False, depth)]
-        return name, done, inner
+        # elements that an attribute's value holds come after the children
+        inner += [y for _, nodes in done for y in nodes if y[0] == ELEMENT]
+        return name, [(key, [y for y in nodes if y[0] != ELEMENT]) for key, nodes in done], inner
 
     def node(self, node: tuple, values: list[tuple], attribute: bool, depth: int) -> list[tuple]:
         if node[0] == ELEMENT:
@@ -318,13 +352,56 @@ class Chunk:
     def value(self, wanted: int, kind: int, start: int, end: int, attribute: bool, depth: int) -> list[tuple]:
         data, base = self.data[start:end], wanted & 0x7F
         if base == 0x21:
-            return [] if attribute else [(ELEMENT, e) for e in self.fragment(start, end, depth + 1)]
+            return [(ELEMENT, e) for e in self.fragment(start, end, depth + 1)]
         if wanted & 0x80:
             between = "," if base in (1, 2) and not attribute else " "
             return [(TEXT, between.join(value_text(base, x) for x in array_items(base, kind, data)))]
         return [(TEXT, value_text(0x01 if base == 0x01 else kind & 0x7F, data))]
 
 
+#: Names of the nodes other than elements and attributes, by kind.
+KINDS = ("text", "value", "subst", "charref", "entity", "cdata", "target", "data")
+
+
+def flat(element: tuple) -> list[dict]:
+    """The element's nodes in pre-order: an element, its attributes with their items, its children.
+
+    `last` is the last node inside, `parent` the element (or, of an attribute's item, the attribute), -1 of the root.
+    """
+    out: list[dict] = []
+
+    def add(parent: int, depth: int, attribute: bool, kind: str, **more) -> dict:
+        node = {"id": len(out), "last": len(out), "parent": parent, "depth": depth, "attribute": attribute, "kind": kind, "name": None, "type": None, "subst": None, "text": None, "start": None, "size": None} | more
+        out.append(node)
+        return node
+
+    def item(node: tuple, parent: int, depth: int, attribute: bool) -> None:
+        kind = KINDS[node[0]]
+        if kind == "value":
+            add(parent, depth, attribute, kind, type=node[1], start=node[2], size=node[3] - node[2])
+        elif kind == "subst":
+            add(parent, depth, attribute, kind, subst=node[1], type=node[2])
+        else:
+            add(parent, depth, attribute, kind, text=str(node[1]))
+
+    def walk(element: tuple, parent: int, depth: int) -> None:
+        own = add(parent, depth, False, "element", name=element[0])
+        for key, nodes in element[1]:
+            attribute = add(own["id"], depth + 1, False, "attribute", name=key)
+            for node in nodes:
+                item(node, attribute["id"], depth + 2, True)
+            attribute["last"] = len(out) - 1
+        for node in element[2]:
+            if node[0] == ELEMENT:
+                walk(node[1], own["id"], depth + 1)
+            else:
+                item(node, own["id"], depth + 1, False)
+        own["last"] = len(out) - 1
+
+    walk(element, -1, 0)
+    return out
+
+
 def xml_nodes(nodes: list[tuple], attribute: bool) -> str:
     out = []
     for n in nodes:

@@ -66,15 +66,23 @@ def value_bytes(kind: int, value) -> bytes:
 
 
 def instance(template: Element, values: list[tuple[int, bytes]], at: int, known: int | None) -> bytes:
-    """A record's payload at a place of its chunk; `known` is where the chunk has the template's definition already."""
+    """A record's payload at a place of its chunk; `known` is where the chunk has the template's definition already.
+
+    A value that depends on its place (binary XML) is a function of it.
+    """
     head = b"\x0f\x01\x01\x00\x0c\x01" + struct.pack("<I", 1)
     here = at + len(head) + 4
     out = head + struct.pack("<I", here if known is None else known)
     if known is None:
         body = b"\x0f\x01\x01\x00" + template.encode(here + 28) + b"\x00"
         out += struct.pack("<I16sI", 0, b"logquarry-tmpl-1", len(body)) + body
-    out += struct.pack("<I", len(values)) + b"".join(struct.pack("<HBB", len(raw), kind, 0) for kind, raw in values)
-    return out + b"".join(raw for _, raw in values)
+    start, payload = at + len(out) + 4 + 4 * len(values), b""
+    heads = b""
+    for kind, raw in values:
+        raw = raw(start + len(payload)) if callable(raw) else raw
+        payload += raw
+        heads += struct.pack("<HBB", len(raw), kind, 0)
+    return out + struct.pack("<I", len(values)) + heads + payload
 
 
 def seal(records: list[bytes], first: int, last: int) -> bytes:

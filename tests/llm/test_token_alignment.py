@@ -89,6 +89,17 @@ def test_long_text(spark):
     assert len(pair) == found.per_doc(found.either).sum() and set(doc.tolist()) == {0, 1, 3}
 
 
+def test_ranks_as_the_library():
+    """The ids of A by ranks are the library's, for characters of all kinds and for long runs."""
+    from tokenizers import Tokenizer
+
+    library, own, rng = Tokenizer.from_file(A), sides(A, B)[0], random.Random(9)
+    library.encode_special_tokens = True
+    texts = [f"a{chr(c)}b {chr(c)}{chr(c)}1 {chr(c)} \n{chr(c)}!" for c in [*range(0x3100), *range(0x1F300, 0x1F700)]] + ["ab" * 20_000, "é中" * 5000, " " * 3000 + "x", "don't I'LL <|endoftext|>"]
+    texts += ["".join(chr(rng.choice((rng.randrange(32, 127), rng.randrange(0x250), rng.randrange(0xD7FF)))) for _ in range(60)) for _ in range(300)]
+    assert own.encode(texts) == [e.ids for e in library.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+
+
 def test_rank_and_select():
     rng = np.random.default_rng(1)
     for n in (1, 63, 64, 65, 1000):

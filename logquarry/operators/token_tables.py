@@ -1,15 +1,20 @@
 """Decoding as tables: templates and their uses, met without a shuffle; nested binary XML level by level; trees folded.
 
-The helper in the tasks only cuts tokens: a chunk gives a row for each template that its records use, with the template's
-nodes in pre-order and all uses (the record's ids, and the types and bytes of its values). A use meets its template where
-both lie, by exploding that row. Values become text, fields and JSON with DataFrame functions on the nodes of one record,
-so nothing is shuffled. Values that hold binary XML are cut in turn, a level at a time, until none is left.
+The helper in the tasks only cuts tokens: a chunk gives a row for each template that its records use (one for each set of
+values that are absent), with the template's nodes in pre-order and all uses (the record's ids, and the types and bytes of
+its values). A use meets its template where both lie, by exploding that row, so nothing is shuffled.
+
+What depends on the template alone is made once a row, before that: the tree is folded to text with marks where values
+go, and its fields are found. A record then only turns its values into text and joins the pieces. Templates that values
+can change otherwise (those that hold binary XML) are expanded record by record, level by level, until no value is left
+that holds any, and their trees folded then. All of that is done with DataFrame functions.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,24 +25,26 @@ from ..sources import binxml
 from ..sources.scratch import table
 from .records import RECORD, frames
 
-NODE = "struct<id: int, last: int, parent: int, depth: int, attribute: boolean, kind: string, name: string, type: int, subst: int, text: string, start: int, size: int, raw: binary, real: string>"
+NODE = "struct<id: int, last: int, parent: int, depth: int, attribute: boolean, kind: string, name: string, type: int, subst: int, text: string, start: int, size: int, raw: binary, real: string, slot: int, clock: boolean>"
 VALUE = "struct<type: int, raw: binary, start: int, real: string>"
 #: `slot` is the place of a use in its record: [] of the record's own, else where the value that held it stands; `inside`
 #: is the place of the element that the value stands in, and depth what its nodes' depths count from.
 USE = f"struct<ordinal: int, event_record_id: bigint, timestamp_filetime: bigint, slot: array<int>, inside: array<int>, depth: int, values: array<{VALUE}>, error: string>"
-PARSED = f"path string, chunk_index int, template int, nested boolean, depth int, nodes array<{NODE}>, uses array<{USE}>"
+PARSED = f"path string, chunk_index int, template int, nested boolean, simple boolean, depth int, nodes array<{NODE}>, uses array<{USE}>"
 KEY = ["path", "chunk_index", "ordinal"]
 #: Second number of the place of what stood in an attribute (after the element's children), less the attribute's own.
 IN_ATTRIBUTE = 1 << 30
 
-NODE_TYPE = pa.struct([(n, t) for n, t in (("id", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("attribute", pa.bool_()), ("kind", pa.string()), ("name", pa.string()), ("type", pa.int32()), ("subst", pa.int32()), ("text", pa.string()), ("start", pa.int32()), ("size", pa.int32()), ("raw", pa.binary()), ("real", pa.string()))])
+NODE_TYPE = pa.struct([(n, t) for n, t in (("id", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("attribute", pa.bool_()), ("kind", pa.string()), ("name", pa.string()), ("type", pa.int32()), ("subst", pa.int32()), ("text", pa.string()), ("start", pa.int32()), ("size", pa.int32()), ("raw", pa.binary()), ("real", pa.string()), ("slot", pa.int32()), ("clock", pa.bool_()))])
 VALUE_TYPE = pa.struct([("type", pa.int32()), ("raw", pa.binary()), ("start", pa.int32()), ("real", pa.string())])
 USE_TYPE = pa.struct([("ordinal", pa.int32()), ("event_record_id", pa.int64()), ("timestamp_filetime", pa.int64()), ("slot", pa.list_(pa.int32())), ("inside", pa.list_(pa.int32())), ("depth", pa.int32()), ("values", pa.list_(VALUE_TYPE)), ("error", pa.string())])
-PARSED_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.list_(NODE_TYPE), pa.list_(USE_TYPE)]
-PARSED_NAMES = ["path", "chunk_index", "template", "nested", "depth", "nodes", "uses"]
+PARSED_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.list_(NODE_TYPE), pa.list_(USE_TYPE)]
+PARSED_NAMES = ["path", "chunk_index", "template", "nested", "simple", "depth", "nodes", "uses"]
 
 
 REALS = (0x0B, 0x0C)
+#: Stands around the numbers of values in texts of templates; templates that have it themselves aren't simple.
+MARK = "\uf7f1"
 
 
 def real_of(kind: int, data: bytes) -> str | None:
@@ -48,6 +55,19 @@ def real_of(kind: int, data: bytes) -> str | None:
     return " ".join(binxml.value_text(kind & 0x7F, x) for x in items) if items else None
 
 
+def simple(nodes: list[dict]) -> bool:
+    """Whether texts of the template's values only go to places that they don't change."""
+
+    def plain(n: dict) -> bool:
+        if n["type"] is not None and n["type"] & 0x7F == 0x21 or MARK in (n["name"] or "") or MARK in (n["text"] or ""):
+            return False
+        name = nodes[n["parent"]]["name"] if n["attribute"] else None
+        alone = nodes[n["parent"]]["last"] == n["parent"] + 1 if n["attribute"] else True
+        return n["slot"] is None or name != "Name" and (name != "SystemTime" or alone)
+
+    return bool(nodes) and all(map(plain, nodes))
+
+
 class Uses:
     """The templates of one chunk with what uses them."""
 
@@ -58,52 +78,80 @@ class Uses:
         try:
             pieces = list(self.chunk.pieces(start, end, first)) or ([(0, ("Event", [], []), [])] if first else [])
             for k, (template, element, values) in enumerate(pieces):
-                own = self.use(template, element)
+                absent = tuple(n for n, (kind, a, b) in enumerate(values) if kind == 0 or a == b)
+                own = self.use(template, element, len(values), absent)
                 # where a template wants an array of reals, it says which, whatever the value says of itself
-                held = [(kind, self.chunk.data[a:b], a, real_of(own["reals"].get(n, kind), self.chunk.data[a:b])) for n, (kind, a, b) in enumerate(values)]
+                data, reals = self.chunk.data, own["reals"]
+                held = [(kind, raw := data[a:b], a, real_of(reals.get(n, kind), raw)) for n, (kind, a, b) in enumerate(values)]
                 own["uses"].append((*head, slot if first else [*slot, k], inside, depth, held, None))
         except (ValueError, struct.error, IndexError, OverflowError, RecursionError) as e:
             self.use(-1, None)["uses"].append((*head, slot, inside, depth, [], str(e) if isinstance(e, binxml.BadRecord) else "UnexpectedEof"))
 
-    def use(self, template: int, element: tuple | None) -> dict:
-        if template not in self.found:
-            nodes = binxml.flat(element) if element else []
+    def use(self, template: int, element: tuple | None, n_values: int = 0, absent: tuple[int, ...] = ()) -> dict:
+        key = template, n_values, absent
+        if key not in self.found:
+            nodes, slots = binxml.flat(element) if element else [], 0
             for n in nodes:
+                value, n["slot"], n["clock"] = n["kind"] in ("value", "subst"), None, False
                 n["raw"] = self.chunk.data[n["start"] : n["start"] + n["size"]] if n["kind"] == "value" else None
                 n["real"] = real_of(n["type"], n["raw"]) if n["kind"] == "value" else None
+                if n["kind"] == "subst" and (n["subst"] in absent or n["subst"] >= n_values):
+                    n["kind"] = "absent"
+                elif value:
+                    n["slot"], n["clock"], slots = slots, n["attribute"] and nodes[n["parent"]]["name"] == "SystemTime", slots + 1
             reals = {n["subst"]: n["type"] for n in nodes if n["kind"] == "subst" and n["type"] & 0x80 and n["type"] & 0x7F in REALS}
-            self.found[template] = {"reals": reals, "nested": any(n["type"] is not None and n["type"] & 0x7F == 0x21 for n in nodes), "depth": max((n["depth"] for n in nodes), default=0), "nodes": nodes, "uses": []}
-        return self.found[template]
+            self.found[key] = {"reals": reals, "nested": any(n["type"] is not None and n["type"] & 0x7F == 0x21 for n in nodes), "simple": simple(nodes), "depth": max((n["depth"] for n in nodes), default=0), "nodes": nodes, "uses": []}
+        return self.found[key]
 
     def batch(self, path: str, chunk_index: int) -> pa.RecordBatch:
-        rows = self.found.items()
-        fields = [t.name for t in USE_TYPE]
-        uses = [[dict(zip(fields, u[:6] + ([{"type": t, "raw": raw, "start": at, "real": real} for t, raw, at, real in u[6]], u[7]), strict=True)) for u in r["uses"]] for _, r in rows]
-        columns = [[path] * len(rows), [chunk_index] * len(rows), [t for t, _ in rows], *[[r[c] for _, r in rows] for c in ("nested", "depth", "nodes")], uses]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PARSED_TYPES, strict=True)], PARSED_NAMES)
+        rows = list(self.found.items())
+        uses = [u for _, r in rows for u in r["uses"]]
+        values = columns_of(VALUE_TYPE, [v for u in uses for v in u[6]])
+        columns = [pa.array([u[k] for u in uses], t.type) for k, t in enumerate(USE_TYPE) if k != 6]
+        columns.insert(6, lists_of(values, [len(u[6]) for u in uses]))
+        uses = lists_of(pa.StructArray.from_arrays(columns, fields=list(USE_TYPE)), [len(r["uses"]) for _, r in rows])
+        columns = [[path] * len(rows), [chunk_index] * len(rows), [key[0] for key, _ in rows], *[[r[c] for _, r in rows] for c in ("nested", "simple", "depth", "nodes")]]
+        return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, PARSED_TYPES, strict=False)], uses], PARSED_NAMES)
+
+
+def columns_of(kind: pa.StructType, rows: list[tuple]) -> pa.StructArray:
+    columns = zip(*rows, strict=True) if rows else [()] * len(kind)
+    return pa.StructArray.from_arrays([pa.array(c, t.type) for c, t in zip(columns, kind, strict=True)], fields=list(kind))
+
+
+def lists_of(values: pa.Array, sizes: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), values)
+
+
+def framed(data: bytes, at: int, size: int) -> tuple[int, int, int, int]:
+    return (*struct.unpack_from("<QQ", data, at + 8), at + 24, at + size - 4)
 
 
 def parse(chunks: DataFrame, record_id: int | None = None) -> DataFrame:
     """PARSED rows of chunks (path, chunk_index, data, and low and high if sliced): the templates of their records, each with
-    its uses; of one record id only, if that is given.
+    its uses; of one record id only, if that is given. With a column places (array of structs with at and size), of the
+    records there instead of those in their chain.
 
     Records that can't be cut are uses of template -1, with `error`; null data gives no row. An id or FILETIME of
     2 ** 63 or more is null, with error OutOfBounds.
     """
     sliced = ["low", "high"] if "low" in chunks.columns else []
+    placed = ["places"] if "places" in chunks.columns else []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, index, data, *bounds in zip(*batch.columns, strict=True):
+            for path, index, data, *more in zip(*batch.columns, strict=True):
                 if data.is_valid:
-                    data, (low, high) = data.as_py(), [b.as_py() for b in bounds] or (0, len(data.as_py()))
+                    data, more = data.as_py(), [m.as_py() for m in more]
+                    low, high = more[:2] if sliced else (0, len(data))
+                    records = (framed(data, p["at"], p["size"]) for p in more[-1]) if placed else frames(data)
                     uses = Uses(data)
-                    for k, (found, written, start, end) in enumerate(frames(data)):
+                    for k, (found, written, start, end) in enumerate(records):
                         if low <= k < high and record_id in (None, found):
                             uses.add((k, *(v if v < 1 << 63 else None for v in (found, written))), [], [], 0, start, end, True)
                     yield uses.batch(path.as_py(), index.as_py())
 
-    return chunks.select("path", "chunk_index", "data", *sliced).mapInArrow(cut, PARSED)
+    return chunks.select("path", "chunk_index", "data", *sliced, *placed).mapInArrow(cut, PARSED)
 
 
 def parse_values(held: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -186,11 +234,11 @@ def value_text(kind: Column, raw: Column, real: Column | None = None) -> Column:
         out.when(kind.isin(*REALS), F.lit(None).cast("string") if real is None else F.substring_index(real, " ", 1))
         .when(kind == 0x0D, first_bytes(raw, 4, fmt.bool_text(raw)))
         .when(kind == 0x0F, first_bytes(raw, 16, fmt.guid_text(raw)))
-        .when(kind == 0x11, first_bytes(raw, 8, F.ltrim(fmt.filetime_iso(fmt.le_unsigned(raw, 0, 8)), F.lit("+"))))
+        .when(kind == 0x11, first_bytes(raw, 8, F.regexp_replace(fmt.filetime_iso(fmt.le_unsigned(raw, 0, 8)), "^[+]", "")))
         .when(kind == 0x12, first_bytes(raw, 16, fmt.systemtime_iso(*two)))
         .when(kind == 0x13, first_bytes(raw, 8, fmt.sid_text(raw)))
         .when(kind.isin(0x14, 0x15), F.when((kind == 0x14) & (F.octet_length(raw) >= 4), F.concat(F.lit("0x"), fmt.le_hex(F.substring(raw, 1, 4)))).when((kind == 0x15) & (F.octet_length(raw) >= 8), F.concat(F.lit("0x"), fmt.le_hex(F.substring(raw, 1, 8)))))
-        .when(kind == 0x02, F.rtrim(fmt.cp1252_text(raw), F.lit("\0")))
+        .when(kind == 0x02, F.regexp_replace(fmt.cp1252_text(raw), "\x00+$", ""))
         .when(kind.isin(0x0E, 0x23), fmt.hex_lower(raw))
         .when(kind.isin(0x10, 0x20) & F.octet_length(raw).isin(4, 8), whole)
         .otherwise("")
@@ -223,6 +271,18 @@ def array_text(kind: Column, backing: Column, raw: Column, real: Column, attribu
     return F.when(kind.isin(*REALS), F.coalesce(real, F.lit(""))).otherwise(F.call_function("array_join", items, between, F.lit("")))
 
 
+def value_of(n: Column) -> Column:
+    """(type, raw, start, real) of a substitution or a literal value."""
+    return F.when(n.kind == "subst", F.get("values", n.subst)).otherwise(F.struct(n.type, n.raw, n.start, n.real))
+
+
+def text_of(n: Column, v: Column) -> Column:
+    """The text of a value where node n wants it; null of one that is too short."""
+    base = n.type.bitwiseAND(0x7F)
+    of = F.struct(base.alias("base"), F.when(base == 1, F.lit(1)).otherwise(v.type.bitwiseAND(0x7F)).alias("kind"), (n.type.bitwiseAND(0x80) != 0).alias("many"))
+    return let(of, lambda o: F.when(o.many, array_text(o.base, v.type, v.raw, v.real, n.attribute)).otherwise(value_text(o.kind, v.raw, v.real)))
+
+
 def expand(parsed: DataFrame) -> DataFrame:
     """A row for each use: its record's ids, slot, inside, error, and nodes in pre-order (id, last, parent, depth, kind, name, text).
 
@@ -231,20 +291,11 @@ def expand(parsed: DataFrame) -> DataFrame:
     """
 
     def valued(n: Column) -> Column:
-        """(type, raw, start, real) of a substitution or value, and what becomes of it."""
-        value = F.when(n.kind == "subst", F.get("values", n.subst)).otherwise(F.struct(n.type, n.raw, n.start, n.real))
-
         def read(v: Column) -> Column:
-            absent = (n.kind == "subst") & (v.raw.isNull() | (v.type == 0) | (F.octet_length(v.raw) == 0))
-            base = n.type.bitwiseAND(0x7F)
+            held = item(n, "held", start=v.start, size=F.octet_length(v.raw))
+            return F.when(n.type.bitwiseAND(0x7F) == 0x21, held).otherwise(item(n, "text", text=text_of(n, v)))
 
-            def text(of: Column) -> Column:
-                return F.when(of.many, array_text(of.base, v.type, v.raw, v.real, n.attribute)).otherwise(value_text(of.kind, v.raw, v.real))
-
-            of = F.struct(base.alias("base"), F.when(base == 1, F.lit(1)).otherwise(v.type.bitwiseAND(0x7F)).alias("kind"), (n.type.bitwiseAND(0x80) != 0).alias("many"))
-            return F.when(absent, item(n, "absent")).when(base == 0x21, item(n, "held", start=v.start, size=F.octet_length(v.raw))).otherwise(item(n, "text", text=let(of, text)))
-
-        return let(value, read)
+        return let(value_of(n), read)
 
     def item(n: Column, kind: str | None = None, **of: Column) -> Column:
         none = {"text": F.lit(None).cast("string"), "start": F.lit(None).cast("int"), "size": F.lit(None).cast("int")}
@@ -295,15 +346,18 @@ def merged(levels: list[DataFrame]) -> DataFrame:
     return rows.select(*KEY, "event_record_id", "timestamp_filetime", "error", F.transform("found", numbered).alias("nodes"))
 
 
-def trees(chunks: DataFrame, record_id: int | None = None) -> tuple[DataFrame, int]:
+def trees(chunks: DataFrame) -> tuple[DataFrame, int]:
     """A row for each record: KEY, its ids, error, and nodes as one tree in pre-order; and the depth of the deepest.
 
     Records whose template holds no binary XML need no shuffle. The others are expanded level by level (EXP at all
     depths), each level a table, until no value is left that holds any; those deeper than binxml.DEEPEST levels get the
     error OutOfBounds.
     """
+    return trees_of(table(parse(chunks), "parsed"), chunks)
+
+
+def trees_of(parsed: DataFrame, chunks: DataFrame) -> tuple[DataFrame, int]:
     columns = [*KEY, "event_record_id", "timestamp_filetime", "error", "nodes"]
-    parsed = table(parse(chunks, record_id), "parsed")
     shown = F.transform("nodes", lambda n: F.struct(*[n[c].alias(c) for c in ("id", "last", "parent", "depth", "kind", "name", "text")])).alias("nodes")
     rows = expand(parsed.where("NOT nested")).select(*columns[:-1], shown)
     deepest = parsed.agg(F.max("depth")).first()[0] or 0
@@ -333,8 +387,21 @@ def plain(nodes: Column, n: Column) -> Column:
     return F.array_join(F.transform(inner(nodes, n, "text", "cdata"), lambda c: c.text), "", "")
 
 
+FIELDS = ("provider", "channel", "computer", "event_id", "level")
+
+
+def number(text: Column) -> Column:
+    return F.when(text.rlike("^[0-9]{1,9}$"), text.cast("int"))
+
+
 def fields(rows: DataFrame) -> DataFrame:
     """provider, channel, computer, event_id, level and data of trees, as records.decode has them."""
+    rows = field_texts(rows)
+    return rows.withColumns({"event_id": number(F.col("event_id")), "level": number(F.col("level"))})
+
+
+def field_texts(rows: DataFrame) -> DataFrame:
+    """The same with event_id and level as texts."""
     nodes = F.col("nodes")
 
     def leaf(e: Column) -> Column:
@@ -348,9 +415,6 @@ def fields(rows: DataFrame) -> DataFrame:
         found = F.filter("leaves", lambda x: (x.section == "System") & (x["name"] == name))
         return let(found, lambda f: F.when(F.size(f) > 0, F.element_at(f, -1)[of]))
 
-    def number(text: Column) -> Column:
-        return F.when(text.rlike("^[0-9]{1,9}$"), text.cast("int"))
-
     data = F.filter("leaves", lambda x: (x.section != "System") & ((x["name"] == "Data") | x.section.isin("EventData", "UserData")))
     none = F.create_map().cast("map<string,string>")
 
@@ -365,7 +429,7 @@ def fields(rows: DataFrame) -> DataFrame:
         distinct = F.map_from_arrays(keys, F.transform(items, lambda x: x.text))
         return F.when(F.size(F.array_distinct(keys)) == F.size(keys), distinct).otherwise(F.aggregate(items, none, one_more))
 
-    of = {"provider": system("Provider", "key"), "channel": system("Channel", "text"), "computer": system("Computer", "text"), "event_id": number(system("EventID", "text")), "level": number(system("Level", "text"))}
+    of = {"provider": system("Provider", "key"), "channel": system("Channel", "text"), "computer": system("Computer", "text"), "event_id": system("EventID", "text"), "level": system("Level", "text")}
     sound = F.col("error").isNull()
     return rows.select("*", *[F.when(sound, c).alias(name) for name, c in of.items()], F.when(sound, let(data, mapped)).alias("data")).drop("leaves")
 
@@ -463,17 +527,66 @@ def fold(rows: DataFrame, deepest: int, kind: str, name: str) -> DataFrame:
     return rows.withColumn(name, F.get("below", F.lit(0)).shown).drop("own", "below")
 
 
-def decode_tables(chunks: DataFrame, xml: bool = True, json: bool = True, record_id: int | None = None) -> DataFrame:
-    """What records.decode gives, from the tables; in no certain order."""
-    rows, deepest = trees(chunks, record_id)
-    rows = fields(rows)
+def fill(pieces: Column, texts: Column) -> Column:
+    """Pieces of a template's text with values' texts at every second place, which has their number."""
+    joined = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).otherwise(F.get(texts, p.cast("int")))), "")
+    return F.when(F.size(pieces) == 1, F.element_at(pieces, 1)).otherwise(joined)
+
+
+def compiled(parsed: DataFrame, xml: bool, json: bool) -> DataFrame:
+    """Decoded records of simple templates: text, fields and places of values once a template, then the values of each use."""
+
+    def marked(n: Column) -> Column:
+        text = F.when(n["slot"].isNull(), n.text).otherwise(F.concat(F.lit(MARK), n["slot"].cast("string"), F.lit(MARK)))
+        of = {"kind": F.when(n["slot"].isNull(), n.kind).otherwise("text"), "text": text}
+        return F.struct(*[of.get(c, n[c]).alias(c) for c in ("id", "last", "parent", "depth", "kind", "name", "text")])
+
+    slots = F.transform(F.filter("nodes", lambda n: n["slot"].isNotNull()), lambda n: F.struct(*[n[c].alias(c) for c in ("attribute", "kind", "type", "subst", "start", "raw", "real", "clock")]))
+    rows = parsed.select("path", "chunk_index", "uses", slots.alias("slots"), F.transform("nodes", marked).alias("nodes"), F.lit(None).cast("string").alias("error"))
+    deepest = parsed.agg(F.max("depth")).first()[0] or 0
+    rows = field_texts(rows)
+    kinds = [k for k, wanted in (("xml", xml), ("json", json)) if wanted]
+    for kind in kinds:
+        rows = fold(rows, deepest, kind, kind)
+    pieces = {c: F.split(c, MARK, -1) for c in (*FIELDS, *kinds)}
+    pieces |= {"keys": F.map_keys("data"), "items": F.transform(F.map_values("data"), lambda v: F.split(v, MARK, -1))}
+    rows = rows.select("path", "chunk_index", "slots", *[c.alias(f"of_{name}") for name, c in pieces.items()], F.explode("uses").alias("u"))
+    rows = rows.select("path", "chunk_index", *[f"of_{c}" for c in pieces], "slots", "u.*")
+
+    def read(n: Column) -> Column:
+        return let(let(value_of(n), lambda v: text_of(n, v)), lambda t: F.when(n.clock, fmt.systemtime_normalise(t)).otherwise(t))
+
+    rows = rows.withColumn("texts", F.transform("slots", read))
+    huge = F.col("event_record_id").isNull() | F.col("timestamp_filetime").isNull()
+    rows = rows.withColumn("error", F.coalesce("error", F.when(F.exists("texts", lambda t: t.isNull()), "UnexpectedEof"), F.when(huge, "OutOfBounds")))
+    bad = F.exists("texts", lambda t: t.isNull())
+    texts = F.col("texts")
+    out = {c: fill(F.col(f"of_{c}"), texts) for c in FIELDS}
+    out |= {c: number(out[c]) for c in ("event_id", "level")}
+    out["data"] = F.map_from_arrays("of_keys", F.transform("of_items", lambda p: fill(p, texts)))
     if xml:
-        rows = fold(rows, deepest, "xml", "xml")
+        out["xml"] = let(F.transform(texts, fmt.xml_escape), lambda t: fill(F.col("of_xml"), t))
     if json:
-        rows = fold(rows, deepest, "json", "json")
-        head = F.concat(F.lit('{"event_record_id":'), F.col("event_record_id").cast("string"), F.lit(',"timestamp_filetime":'), F.col("timestamp_filetime").cast("string"), F.lit(',"Event":'))
-        rows = rows.withColumn("json", F.concat(head, "json", F.lit("}")))
-    for name in ("xml", "json"):
-        if name not in rows.columns:
-            rows = rows.withColumn(name, F.lit(None).cast("string"))
-    return rows.select(*[f.split()[0] for f in RECORD.split(", ")])
+        out["json"] = let(F.transform(texts, fmt.json_escape), lambda t: fill(F.col("of_json"), t))
+    return rows.select(*KEY, "event_record_id", "timestamp_filetime", *[F.when(~bad & ~huge, c).alias(name) for name, c in out.items()], "error")
+
+
+def decode_tables(chunks: DataFrame, xml: bool = True, json: bool = True, record_id: int | None = None) -> DataFrame:
+    """What records.decode gives, from the tables; in no certain order."""
+    parsed = table(parse(chunks, record_id), "parsed")
+    parts = [compiled(parsed.where("simple"), xml, json)]
+    other = parsed.where("NOT simple")
+    if not other.isEmpty():
+        rows, deepest = trees_of(other, chunks)
+        rows = fields(rows)
+        for kind in [k for k, wanted in (("xml", xml), ("json", json)) if wanted]:
+            rows = fold(rows, deepest, kind, kind)
+        parts.append(rows)
+    whole = []
+    for rows in parts:
+        if json:
+            head = F.concat(F.lit('{"event_record_id":'), F.col("event_record_id").cast("string"), F.lit(',"timestamp_filetime":'), F.col("timestamp_filetime").cast("string"), F.lit(',"Event":'))
+            rows = rows.withColumn("json", F.concat(head, "json", F.lit("}")))
+        rows = rows.withColumns({name: F.lit(None).cast("string") for name, wanted in (("xml", xml), ("json", json)) if not wanted})
+        whole.append(rows.select(*[f.split()[0] for f in RECORD.split(", ")]))
+    return whole[0] if len(whole) == 1 else whole[0].unionAll(whole[1])

@@ -51,7 +51,9 @@ def encoded(rows: DataFrame, template: Element, values: Callable[[dict], list[tu
         for k, data in enumerate(chunks(template, records())):
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["path", "chunk_index", "data"])
 
-    ordered = rows.repartitionByRange("event_id").sortWithinPartitions("event_id")
+    # as many files as a shuffle has partitions: their rows are small, but what encodes and decodes them isn't idle
+    files = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(files, "event_id").sortWithinPartitions("event_id")
     return ordered.mapInArrow(write, "path string, chunk_index int, data binary")
 
 
@@ -60,9 +62,11 @@ def event_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(event_rows(spark, sf_dir), TEMPLATE, event_values)
 
 
-def event_files(spark: SparkSession, sf_dir: str) -> str:
+def event_files(spark: SparkSession, sf_dir: str, dirty: bool = False) -> str:
     """Write the events as event-log files, in parallel, into a new folder of the shared one; -> the folder.
 
+    `dirty` files count one chunk in their headers, however many they have.
+
     A task writes its file under another name first and then renames it, so a repeated task replaces what a lost one left.
     """
     folder = f"{shared_folder(spark)}/event-logs-{uuid.uuid4().hex}"
@@ -79,7 +83,7 @@ def event_files(spark: SparkSession, sf_dir: str) -> str:
             files.create_dir(inner.rpartition("/")[0])
             own = f"{inner}-{uuid.uuid4().hex}.part"
             with files.open_output_stream(own) as out:
-                out.write(log_file(parts))
+                out.write(log_file(parts, 1 if dirty else None))
             files.move(own, inner)
             yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
 

@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats as fmt
+from ..functions.formats import EPOCH_TICKS
 from ..operators import records as rec
+from ..operators import recovery
 from ..operators import token_tables as tokens
+from ..operators.intervals import asof_join, interval_join
+from ..sources import chunk_index
 from ..api import lines
 from ..sources.encoder import Element, instance, value_bytes
 from ..sources.eventlog import load_chunks
@@ -35,7 +39,7 @@ def scan_records(spark, sf_dir):
 
 
 def offset_limit(spark, sf_dir, skip=7, limit=20):
-    chunks = rec.slice_chunks(event_chunks(spark, sf_dir), skip, limit)
+    chunks = rec.slice_chunks(table(event_chunks(spark, sf_dir), "chunks"), skip, limit)
     return typed(rec.decode(chunks, xml=False, json=False)).select("event_record_id", "event_type")
 
 
@@ -301,6 +305,62 @@ def json_mixed(spark, sf_dir):
     return tokens.fold(rows, deepest, "json", "json").select("event_record_id", "json")
 
 
+def recover_slack(spark, sf_dir):
+    """All events once, though part of them has to be recovered.
+
+    The last record of each chunk lies in free space, every third chunk lost its signature, and further chunks hold all
+    records again, but only in free space: these are former versions of what is live or found elsewhere.
+    """
+    chunks = table(event_chunks(spark, sf_dir), "chunks")
+    last = F.concat(F.substring("data", 1, 48), F.substring("data", 45, 4), F.substring("data", 53, 65536))
+    lost = F.concat(F.lit(bytearray(8)), F.substring("data", 9, 65536))
+    empty = F.concat(F.substring("data", 1, 48), F.lit(bytearray(b"\x00\x02\x00\x00")), F.substring("data", 53, 65536))
+    damaged = chunks.select("path", "chunk_index", F.when(F.col("chunk_index") % 3 == 2, lost).otherwise(last).alias("data"))
+    damaged = damaged.unionAll(chunks.select("path", F.col("chunk_index") + 100_000, empty.alias("data")))
+    live = tokens.decode_tables(damaged.where(F.substring("data", 1, 8) == F.lit(bytearray(b"ElfChnk\0"))), xml=False, json=False)
+    found = live.unionByName(recovery.recover(damaged, checksums=False).drop("origin"))
+    return typed(found).select("event_record_id", "event_type", "user_id")
+
+
+def dirty_files(spark, sf_dir):
+    """Files whose headers count one chunk: the others are found by the files' sizes, and belong to them as they go on."""
+    chunks = chunk_index.load(spark, event_files(spark, sf_dir, dirty=True), extra=True)
+    return typed(rec.decode(chunks, xml=False, json=False)).select("event_record_id", "event_type", "value")
+
+
+def indexed_ids(spark, sf_dir):
+    """Records of a range of ids, through a table of chunks that leaves the others unread."""
+    index = table(chunk_index.build(spark, event_files(spark, sf_dir)), "index")
+    chunks = chunk_index.read(chunk_index.pruned(chunk_index.in_file(index), ids=(200, 399)))
+    return typed(rec.decode(chunks, xml=False, json=False)).where("event_record_id BETWEEN 200 AND 399").select("event_record_id", "event_type", "props")
+
+
+def indexed_times(spark, sf_dir):
+    """Records of a span of time, through the same table."""
+    index = table(chunk_index.build(spark, event_files(spark, sf_dir)), "index")
+    low, high = EPOCH_TICKS + 1_704_672_000 * 10_000_000, EPOCH_TICKS + 1_704_844_800 * 10_000_000
+    chunks = chunk_index.read(chunk_index.pruned(chunk_index.in_file(index), ticks=(low, high)))
+    return typed(rec.decode(chunks, xml=False, json=False)).where(F.col("timestamp_filetime").between(low, high)).select("event_record_id", "timestamp_filetime", "event_type")
+
+
+def asof_view(spark, sf_dir):
+    """Each purchase with the user's last view before it."""
+    events = _events(spark, sf_dir).select("event_record_id", "timestamp_filetime", "user_id", "event_type")
+    views = events.where("event_type = 'view'").select("user_id", "timestamp_filetime", F.col("event_record_id").alias("view_id"))
+    got = asof_join(events.where("event_type = 'purchase'").drop("event_type"), views, "user_id", "timestamp_filetime", "view_id", 24 * 3600 * 10_000_000)
+    return got.select("event_record_id", "user_id", F.col("match.view_id").alias("view_id"), (F.col("timestamp_filetime") - F.col("match.timestamp_filetime")).alias("ticks"))
+
+
+def session_errors(spark, sf_dir):
+    """Sessions (from a signup to the user's next purchase) with the errors that fall into them."""
+    events = _events(spark, sf_dir).select("event_record_id", "timestamp_filetime", "user_id", "event_type")
+    of_user = Window.partitionBy("user_id").orderBy("timestamp_filetime", "event_record_id").rowsBetween(1, Window.unboundedFollowing)
+    out = F.min(F.when(F.col("event_type") == "purchase", F.col("timestamp_filetime"))).over(of_user)
+    sessions = events.withColumn("purchase", out).where("event_type = 'signup' AND purchase IS NOT NULL").select("user_id", F.col("event_record_id").alias("signup_id"), F.col("timestamp_filetime").alias("signup"), "purchase")
+    errors = events.where("event_type = 'error'").select("user_id", F.col("event_record_id").alias("error_id"), F.col("timestamp_filetime").alias("at"))
+    return interval_join(sessions, errors, "user_id", "signup", "purchase", "at").select("signup_id", "error_id", "user_id")
+
+
 def xml_fold(spark, sf_dir):
     """As render_xml, from the tables."""
     return tokens.decode_tables(event_chunks(spark, sf_dir), json=False).select("event_record_id", _compact("xml").alias("xml"))
@@ -395,6 +455,13 @@ QUERIES = {
     "array_join_text": (array_join_text, "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS text, string_agg(n_name, ' ' ORDER BY n_name) AS attribute FROM nation GROUP BY n_regionkey"),
     "template_expand_relational": (template_expand_relational, "SELECT event_id, '<Event><Type>' || event_type || '</Type><User>' || user_id || '</User></Event>' AS xml FROM events"),
     "template_expand_all": (template_expand_all, "SELECT event_id, '<Event><Type>' || event_type || '</Type><User>' || user_id || '</User></Event>' AS xml FROM events"),
+    "recover_slack": (recover_slack, "SELECT event_id AS event_record_id, event_type, user_id FROM events"),
+    "dirty_files": (dirty_files, "SELECT event_id AS event_record_id, event_type, value FROM events"),
+    "indexed_ids": (indexed_ids, "SELECT event_id AS event_record_id, event_type, props FROM events WHERE event_id BETWEEN 200 AND 399"),
+    "indexed_times": (indexed_times, f"SELECT event_id AS event_record_id, {TICKS} AS timestamp_filetime, event_type FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-10'"),
+    "asof_view": (asof_view, f"SELECT e.event_id AS event_record_id, e.user_id, l.event_id AS view_id, epoch_us(e.ts) * 10 - epoch_us(l.ts) * 10 AS ticks FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') l ON e.user_id = l.user_id AND e.ts >= l.ts"),
+    "session_errors": (session_errors, """WITH s AS (SELECT *, min(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS out_ts FROM events)
+      SELECT s.event_id AS signup_id, e.event_id AS error_id, s.user_id FROM s JOIN events e ON e.user_id = s.user_id AND e.event_type = 'error' AND e.ts BETWEEN s.ts AND s.out_ts WHERE s.event_type = 'signup'"""),
     "nested_splice": (nested_splice, """SELECT event_id AS event_record_id, '<Event><EventData tag=""><Data Name="user_id">' || user_id || '</Data>' || CASE WHEN event_id % 3 = 0 THEN '' ELSE '<Second n="' || event_id || '">before<Third held=""><Plain>' || event_type || '</Plain>end<Note>held</Note></Third></Second><Plain>' || event_type || '</Plain>' END || '<After></After><Note>' || event_type || '</Note></EventData></Event>' AS xml FROM events"""),
     "nested_json": (nested_json, """SELECT event_id AS event_record_id, '{"EventData":{"@tag":"","Data":{"@Name":"user_id","#text":"' || user_id || '"},' || CASE WHEN event_id % 3 = 0 THEN '' ELSE '"Second":{"@n":"' || event_id || '","#text":"before","Third":{"@held":"","#text":"end","Plain":"' || event_type || '","Note":"held"}},"Plain":"' || event_type || '",' END || '"After":"","Note":"' || event_type || '"}}' AS json FROM events"""),
     "json_mixed": (json_mixed, """SELECT event_id AS event_record_id, '{"@v":"1","#text":"tail","A":[{"#text":"x' || event_id || 'y","B":[' || CAST(to_json(props) AS VARCHAR) || ',{"@k":"' || event_id || '"}]},"z"],"C":["",{"D":""}]}' AS json FROM events"""),

@@ -196,7 +196,7 @@ class Chunk:
         at += 4
         if at + 4 * count > end:
             raise BadRecord("UnexpectedEof")
-        heads = [(self.u(at + 4 * k, 2), self.data[at + 4 * k + 2]) for k in range(count)]
+        heads = struct.iter_unpack("<HBx", self.data[at : at + 4 * count])
         at += 4 * count
         values = []
         for size, kind in heads:

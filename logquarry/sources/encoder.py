@@ -118,9 +118,9 @@ def chunks(template: Element, rows: Iterator[tuple[int, int, list[tuple[int, byt
         yield seal(records, ids[0], ids[-1])
 
 
-def log_file(parts: list[bytes]) -> bytes:
-    """A whole file of chunks."""
+def log_file(parts: list[bytes], counted: int | None = None) -> bytes:
+    """A whole file of chunks; its header counts them all, or as many as `counted` says (as in a file that wasn't closed)."""
     head = bytearray(HEADER)
-    struct.pack_into("<8sQQQIHHHH", head, 0, b"ElfFile\0", 0, max(0, len(parts) - 1), 1, 128, 1, 3, HEADER, len(parts))
+    struct.pack_into("<8sQQQIHHHH", head, 0, b"ElfFile\0", 0, max(0, len(parts) - 1), 1, 128, 1, 3, HEADER, len(parts) if counted is None else counted)
     struct.pack_into("<II", head, 120, 0, zlib.crc32(head[:120]))
     return bytes(head) + b"".join(parts)

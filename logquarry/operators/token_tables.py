@@ -351,7 +351,8 @@ def trees(chunks: DataFrame) -> tuple[DataFrame, int]:
 
     Records whose template holds no binary XML need no shuffle. The others are expanded level by level (EXP at all
     depths), each level a table, until no value is left that holds any; those deeper than binxml.DEEPEST levels get the
-    error OutOfBounds.
+    error OutOfBounds. Chunks are read once more for each level, so they must be the same whenever they are read (files, or
+    a table).
     """
     return trees_of(table(parse(chunks), "parsed"), chunks)
 
@@ -572,7 +573,8 @@ def compiled(parsed: DataFrame, xml: bool, json: bool) -> DataFrame:
 
 
 def decode_tables(chunks: DataFrame, xml: bool = True, json: bool = True, record_id: int | None = None) -> DataFrame:
-    """What records.decode gives, from the tables; in no certain order."""
+    """What records.decode gives, from the tables; in no certain order. Chunks are read again only for values that hold
+    binary XML; then they must be the same whenever they are read."""
     parsed = table(parse(chunks, record_id), "parsed")
     parts = [compiled(parsed.where("simple"), xml, json)]
     other = parsed.where("NOT simple")

@@ -283,7 +283,8 @@ def _nested_chunks(spark, sf_dir):
 
         return [(BINXML, lambda at: instance(note, [(STRING, value_bytes(STRING, r["event_type"]))], at, None)), (INT64, r["user_id"]), (BINXML, two if r["event_id"] % 3 else b"")]
 
-    return encoded(event_rows(spark, sf_dir), outer, values)
+    # a table, as its chunks are read again for the values that they hold
+    return table(encoded(event_rows(spark, sf_dir), outer, values), "chunks")
 
 
 def nested_splice(spark, sf_dir):

@@ -37,8 +37,12 @@ def event_values(r: dict) -> list[tuple[int, object]]:
     return [(UINT16, code), (FILETIME, r["ticks"]), (INT64, r["user_id"]), (STRING, r["event_type"]), (REAL64, r["value"]), (STRING, r["props"])]
 
 
-def encoded(rows: DataFrame, template: Element, values: Callable[[dict], list[tuple[int, object]]]) -> DataFrame:
-    """(path, chunk_index, data) of the rows as a log, a record each; files follow the order of event_id."""
+def encoded(rows: DataFrame, template: Element, values: Callable[[dict], list[tuple[int, object]]], spread: bool = True) -> DataFrame:
+    """(path, chunk_index, data) of the rows as a log, a record each; files follow the order of event_id.
+
+    `spread` makes as many files as a shuffle has partitions: rows are small, but what encodes and decodes them isn't idle.
+    Else adaptive execution makes fewer and longer ones.
+    """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = f"events-{TaskContext.get().partitionId():06d}"
@@ -51,15 +55,14 @@ def encoded(rows: DataFrame, template: Element, values: Callable[[dict], list[tu
         for k, data in enumerate(chunks(template, records())):
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["path", "chunk_index", "data"])
 
-    # as many files as a shuffle has partitions: their rows are small, but what encodes and decodes them isn't idle
-    files = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(files, "event_id").sortWithinPartitions("event_id")
+    files = [int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))] if spread else []
+    ordered = rows.repartitionByRange(*files, "event_id").sortWithinPartitions("event_id")
     return ordered.mapInArrow(write, "path string, chunk_index int, data binary")
 
 
-def event_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_chunks(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
     """The events as a log that isn't written to files."""
-    return encoded(event_rows(spark, sf_dir), TEMPLATE, event_values)
+    return encoded(event_rows(spark, sf_dir), TEMPLATE, event_values, spread)
 
 
 def event_files(spark: SparkSession, sf_dir: str, dirty: bool = False) -> str:

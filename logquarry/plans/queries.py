@@ -54,7 +54,7 @@ def crc_ok(spark, sf_dir):
 
 def crc_drop_corrupt_chunk(spark, sf_dir):
     """A byte of the first chunk of each file is flipped; counts the damaged chunks that stay and the others that don't."""
-    chunks = event_chunks(spark, sf_dir)
+    chunks = event_chunks(spark, sf_dir, spread=False)
     flipped = F.concat(F.substring("data", 1, 600), F.lit(bytearray(b"\xff")), F.substring("data", 602, 65536))
     damaged = chunks.withColumn("data", F.when(F.col("chunk_index") == 0, flipped).otherwise(F.col("data")))
     kept = rec.valid_chunks(damaged).select("path", "chunk_index", F.lit(True).alias("stays"))
@@ -95,7 +95,7 @@ def file_headers(spark, sf_dir):
 
 def drop_damaged_chunks(spark, sf_dir):
     """The records that remain when the first chunk of each file is damaged, with those of a sound copy of it: all of them once."""
-    chunks = event_chunks(spark, sf_dir)
+    chunks = event_chunks(spark, sf_dir, spread=False)
     flipped = F.concat(F.substring("data", 1, 600), F.lit(bytearray(b"\xff")), F.substring("data", 602, 65536))
     damaged = chunks.withColumn("data", F.when(F.col("chunk_index") == 0, flipped).otherwise(F.col("data")))
     kept = rec.valid_chunks(damaged).union(chunks.where("chunk_index = 0"))
@@ -312,7 +312,7 @@ def recover_slack(spark, sf_dir):
     The last record of each chunk lies in free space, every third chunk lost its signature, and further chunks hold all
     records again, but only in free space: these are former versions of what is live or found elsewhere.
     """
-    chunks = table(event_chunks(spark, sf_dir), "chunks")
+    chunks = table(event_chunks(spark, sf_dir, spread=False), "chunks")
     last = F.concat(F.substring("data", 1, 48), F.substring("data", 45, 4), F.substring("data", 53, 65536))
     lost = F.concat(F.lit(bytearray(8)), F.substring("data", 9, 65536))
     empty = F.concat(F.substring("data", 1, 48), F.lit(bytearray(b"\x00\x02\x00\x00")), F.substring("data", 53, 65536))

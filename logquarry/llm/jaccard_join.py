@@ -32,8 +32,8 @@ SKETCH_BITS, SLICES, LIST = 22, 64, 256
 BLOCK = 1.26
 #: An open list of at most so many sets has its pairs counted; a longer one is handled by a pivot's answer.
 SHORT = 512
-#: Shingles in a block of sets, about, and the columns of the stripes in which two blocks are multiplied.
-FILL, STRIPE = 200_000, 4096
+#: Shingles and sets in a block, about; and the columns and rows of the stripes in which two blocks are multiplied.
+FILL, SETS, STRIPE, ROWS = 200_000, 2048, 4096, 512
 INT = np.int64
 
 
@@ -333,45 +333,46 @@ def block_links(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> list[
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     right = slice(len(x), None) if y else slice(0, len(x))
-    both = np.zeros((len(x), len(sets) - len(x) if y else len(x)), np.float32)
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, STRIPE):
-        a, b = np.searchsorted(column, (start, start + STRIPE))
-        stripe = np.zeros((len(sets), STRIPE), np.float32)
-        stripe[row[a:b], column[a:b] - start] = 1
-        both += stripe[: len(x)] @ stripe[right].T
-    link = (both > 0) & ((100 + percent) * both.astype(INT) >= percent * (n[: len(x), None] + n[right][None, :]))
+    cuts = np.searchsorted(column, np.arange(0, (int(column[-1]) + 1 if len(column) else 0) + STRIPE, STRIPE))
     label, out = np.arange(len(sets)), []
-    for i in range(len(x)):
-        j = np.flatnonzero(link[i]) + (len(x) if y else 0)
-        apart, first = np.unique(label[j], return_index=True)
-        for lab, k in zip(apart.tolist(), first.tolist(), strict=True):
-            if lab != label[i]:
-                out.append((i, int(j[k])))
-                label[label == lab] = label[i]
+    for top in range(0, len(x), ROWS):
+        rows = slice(top, min(len(x), top + ROWS))
+        both = np.zeros((rows.stop - top, len(n[right])), np.float32)
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            stripe = np.zeros((len(sets), STRIPE), np.float32)
+            stripe[row[a:b], column[a:b] - k * STRIPE] = 1
+            both += stripe[rows] @ stripe[right].T
+        link = (both > 0) & ((100 + percent) * both.astype(INT) >= percent * (n[rows, None] + n[right][None, :]))
+        for i in range(top, rows.stop):
+            j = np.flatnonzero(link[i - top]) + (len(x) if y else 0)
+            apart, first = np.unique(label[j], return_index=True)
+            for lab, k in zip(apart.tolist(), first.tolist(), strict=True):
+                if lab != label[i]:
+                    out.append((i, int(j[k])))
+                    label[label == lab] = label[i]
     return out
 
 
 def in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect what links among the members (fam, doc, n) of each fam."""
-    cuts = members.groupBy("fam").agg(F.ceil(F.sum("n") / FILL).cast("int").alias("cuts"))
+    enough = F.greatest(F.ceil(F.sum("n") / FILL), F.ceil(F.count("*") / SETS)).cast("int")
+    cuts = members.groupBy("fam").agg(enough.alias("cuts"))
     placed = members.join(cuts, "fam").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("cuts")).cast("int")).join(sets.select("doc", "shingles"), "doc")
     blocks = table(placed.groupBy("fam", "block").agg(F.collect_list(F.struct("doc", "shingles")).alias("sets")), "blocks")
     other = blocks.select("fam", F.col("block").alias("other"), F.col("sets").alias("others"))
     met = blocks.join(other, "fam").where("block <= other")
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                sides = [batch.column(c)[k].values for c in (2, 4)]
-                same = batch.column(1)[k].as_py() == batch.column(3)[k].as_py()
-                ids, packed = ([v.field(f).to_pylist() for v in sides[: 1 if same else 2]] for f in (0, 1))
-                parts = [[np.frombuffer(s, np.uint64) for s in p] for p in packed]
-                names = [i for part in ids for i in part]
-                found = block_links(parts[0], [] if same else parts[1], percent)
-                a, b = ([names[f[i]] for f in found] for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return met.select("fam", "block", "sets", "other", "others").mapInArrow(read, "a long, b long")
+    def read(pair: pa.Table) -> pa.Table:
+        same = pair.column("block")[0].as_py() == pair.column("other")[0].as_py()
+        sides = [pair.column(c)[0].values for c in (["sets"] if same else ["sets", "others"])]
+        ids, packed = ([v.field(f).to_pylist() for v in sides] for f in (0, 1))
+        parts = [[np.frombuffer(s, np.uint64) for s in p] for p in packed]
+        names = [i for part in ids for i in part]
+        found = block_links(parts[0], [] if same else parts[1], percent)
+        return pa.table({c: pa.array([names[f[k]] for f in found], pa.int64()) for k, c in enumerate("ab")})
+
+    # a pair of blocks is a group, so that a task holds one at a time
+    return met.groupBy("fam", "block", "other").applyInArrow(read, "a long, b long")
 
 
 def answers(long_lists: DataFrame, sets: DataFrame, levels: np.ndarray, percent: int) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from fixtures import documents, words
 from logquarry.llm import jaccard_join as jj
 from logquarry.llm.components import components
@@ -69,3 +70,19 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 101), (101, 102), (102, 100), (7, 7), (500, 400)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100, 102: 100, 400: 400, 500: 400}
+
+
+def test_blocks_of_many_short_sets_take_bounded_memory():
+    """Rows of one template: as many sets as a block may hold, linked as comparing all pairs says, in little memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    common = np.sort(rng.integers(1, 1 << 62, 4, dtype=np.uint64))
+    sets = [np.sort(np.append(common, np.uint64(k + 5))) for k in range(jj.SETS)]
+    sets[7] = sets[1300]
+    tracemalloc.start()
+    found = jj.block_links(sets[: len(sets) // 2], sets[len(sets) // 2 :], 80)
+    assert tracemalloc.get_traced_memory()[1] < 120e6
+    tracemalloc.stop()
+    assert found == [(7, 1300)]
+    assert len(jj.block_links(sets, [], 60)) == len(sets) - 1

@@ -12,7 +12,7 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +38,13 @@ SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("t
 
 
 class Open:
-    """An open element: its tag and words, what it is in, and the words of all elements down to it (the parent's set where it adds none)."""
+    """An open element: its tag and words, what it is in, and those of its words that no element around it has."""
 
-    __slots__ = ("tag", "words", "parent", "seen")
+    __slots__ = ("tag", "words", "parent", "fresh")
 
-    def __init__(self, tag: str, words: tuple[str, ...], parent: Open | None):
-        above = parent.seen if parent else frozenset()
+    def __init__(self, tag: str, words: tuple[str, ...], parent: Open | None, fresh: tuple[str, ...] | None = None):
         self.tag, self.words, self.parent = tag, words, parent
-        self.seen = above if above.issuperset(words) else above.union(words)
+        self.fresh = tuple(dict.fromkeys(words)) if fresh is None else fresh
 
 
 class Block:
@@ -85,6 +84,7 @@ def blocks_of(page: str | None) -> list[Block]:
     stack: list[Open] = []
     places: dict[str, list[int]] = {}  # where a tag is open
     outer: list[int] = []  # where a block other than p is
+    held: set[str] = set()  # the words of all open elements
     parts: list[str] = []
     linked = 0
 
@@ -106,7 +106,9 @@ def blocks_of(page: str | None) -> list[Block]:
 
     def leave(index: int) -> None:
         while len(stack) > index:
-            places[stack.pop().tag].pop()
+            closed = stack.pop()
+            places[closed.tag].pop()
+            held.difference_update(closed.fresh)
         while outer and outer[-1] >= index:
             outer.pop()
 
@@ -136,7 +138,10 @@ def blocks_of(page: str | None) -> list[Block]:
                 places.setdefault(tag, []).append(len(stack))
                 if block and tag != "p":
                     outer.append(len(stack))
-                stack.append(Open(tag, path_words(tag, m["attrs"]), stack[-1] if stack else None))
+                words = path_words(tag, m["attrs"])
+                fresh = tuple(w for w in dict.fromkeys(words) if w not in held)
+                held.update(fresh)
+                stack.append(Open(tag, words, stack[-1] if stack else None, fresh))
     rest = page[at:]
     add(rest)
     flush()
@@ -148,22 +153,57 @@ def bucket(word: str, n: int) -> int:
 
 
 class Page:
-    """What the network reads of a page: for each block, hashed path words, hashed text words and measures."""
+    """What the network reads of a page: for each block its element and hashed text words, and measures.
+
+    The elements are a tree, parents first, each with the hashed words that it adds to its parent's, so that a page of any
+    depth takes space by its length.
+    """
 
     def __init__(self, blocks: list[Block]):
-        memo: dict[tuple[frozenset[str], str], list[int]] = {}
-        nowhere = frozenset(), ""
-        self.paths, self.words = [], []
+        place: dict[int, int] = {}
+        self.parent, self.depth, self.fresh = [0], [0], [[]]  # the root holds what is in no element
+        self.at, self.last, self.words = [], [], []
         self.measures = np.zeros((len(blocks), MEASURES), np.float32)
         for k, b in enumerate(blocks):
-            place = (b.element.seen, b.element.words[-1]) if b.element else nowhere
-            if place not in memo:
-                memo[place] = [bucket(w, PATHS) for w in sorted({*place[0], f"last {place[1]}"})]
-            self.paths.append(memo[place])
+            self.at.append(self.number(b.element, place))
+            self.last.append(bucket(f"last {b.element.words[-1] if b.element else ''}", PATHS))
             words = b.text.lower().split()
             self.words.append([bucket(w, WORDS) for w in set(words)])
             self.measures[k] = (b.link, min(1.0, len(b.text) / 400), min(1.0, len(words) / 12), b.text[-1] in ".!?:;\"")
 
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def number(self, element: Open | None, place: dict[int, int]) -> int:
+        new = []
+        while element and id(element) not in place:
+            new.append(element)
+            element = element.parent
+        k = place[id(element)] if element else 0
+        for e in reversed(new):
+            self.parent.append(k)
+            self.depth.append(self.depth[k] + 1)
+            self.fresh.append([bucket(w, PATHS) for w in e.fresh])
+            k = place[id(e)] = len(self.parent) - 1
+        return k
+
+    @cached_property
+    def paths(self) -> list[list[int]]:
+        """The hashed path words of each block, written out: for training, whose pages are shallow."""
+        down: list[list[int]] = []
+        for k, fresh in enumerate(self.fresh):
+            down.append(down[self.parent[k]] + fresh if k else fresh)
+        return [[*down[k], last] for k, last in zip(self.at, self.last, strict=True)]
+
+    def path_sums(self, table: np.ndarray) -> np.ndarray:
+        """The sum of the table's rows over each block's path words, summed down the tree, a depth at a time."""
+        sums = mean_rows(table, self.fresh) * np.array([[len(f)] for f in self.fresh], np.float32)
+        parent, depth = np.array(self.parent), np.array(self.depth)
+        order = np.argsort(depth, kind="stable")
+        for level in np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)[1:]:
+            sums[level] += sums[parent[level]]
+        return sums[self.at] + table[self.last]
+
 
 def mean_rows(table: np.ndarray, ids: list[list[int]]) -> np.ndarray:
     sizes = np.array([len(i) for i in ids])
@@ -195,8 +235,7 @@ class Labeller:
             self.p[f"b{d}"][HIDDEN : 2 * HIDDEN] = 1
 
     def inputs(self, page: Page) -> np.ndarray:
-        depth = np.array([[len(p)] for p in page.paths], np.float32)
-        return np.concatenate([mean_rows(self.p["path"], page.paths) * depth / 3, mean_rows(self.p["word"], page.words) * np.minimum(1, np.array([[len(w)] for w in page.words], np.float32) / 6), page.measures], axis=1)
+        return np.concatenate([page.path_sums(self.p["path"]) / 3, mean_rows(self.p["word"], page.words) * np.minimum(1, np.array([[len(w)] for w in page.words], np.float32) / 6), page.measures], axis=1)
 
     def sweep(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool = True) -> tuple[np.ndarray, list]:
         """One direction of the LSTM over x (time, pages, width); mask is 0 where a page has ended. keep: for training."""
@@ -288,14 +327,14 @@ class Labeller:
 
     def label(self, pages: list[Page]) -> list[np.ndarray]:
         """Is each block main text? Pages of like length are read together, each from its first block to its last."""
-        out = [np.zeros(len(p.paths), bool) for p in pages]
-        waiting = sorted((k for k, p in enumerate(pages) if p.paths), key=lambda k: len(pages[k].paths))
+        out = [np.zeros(len(p), bool) for p in pages]
+        waiting = sorted((k for k, p in enumerate(pages) if len(p)), key=lambda k: len(pages[k]))
         while waiting:
             n = 1
-            while n < min(TOGETHER, len(waiting)) and (n + 1) * len(pages[waiting[n]].paths) <= BLOCKS:
+            while n < min(TOGETHER, len(waiting)) and (n + 1) * len(pages[waiting[n]]) <= BLOCKS:
                 n += 1
             some, waiting = waiting[:n], waiting[n:]
-            steps = len(pages[some[-1]].paths)
+            steps = len(pages[some[-1]])
             x, mask = np.zeros((steps, n, PATH_WIDTH + WORD_WIDTH + MEASURES), np.float32), np.zeros((steps, n), np.float32)
             for j, k in enumerate(some):
                 x[: len(out[k]), j], mask[: len(out[k]), j] = self.inputs(pages[k]), 1

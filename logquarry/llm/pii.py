@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -212,12 +213,14 @@ def spans_of(text: str | None, weights: np.ndarray | None) -> tuple[list[tuple[s
     """(base spans, all spans), by kind as listed, then start."""
     text = text or ""
     base = base_spans(text)
-    spans = list(base)
+    spans = {kind: [(a, b) for k, a, b in base if k == kind] for kind in KINDS}  # apart from each other and in order
     if weights is not None:
         for kind, a, b, row in candidates(text):
-            if row[0] == 0 and 1 / (1 + np.exp(-features(kind, row) @ weights)) >= ACCEPT and not any(k == kind and a < d and c < b for k, c, d in spans):
-                spans.append((kind, a, b))
-    return base, sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1]))
+            if row[0] == 0 and 1 / (1 + np.exp(-features(kind, row) @ weights)) >= ACCEPT:
+                k = bisect_left(spans[kind], (b,))
+                if not k or spans[kind][k - 1][1] <= a:
+                    spans[kind].insert(k, (a, b))
+    return base, [(kind, a, b) for kind in KINDS for a, b in spans[kind]]
 
 
 def find_spans(docs: DataFrame, weights: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -161,7 +161,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = train(sample(docs))
-    return identify(docs.select("doc_id", "text"), model).select("row.doc_id", held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
+    return identify(docs.select("doc_id", "text"), model).select("row.doc_id", held_out("row.doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
 QUERIES = {"op10_language_id": op10_language_id}

@@ -1,9 +1,11 @@
 """Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores the copies.
 
-The test items, a stated query set, are taken in blocks of at most ITEMS; a block's seeds (runs of three words) are a
-table of bounded size that goes to every task, so no text is shuffled. An item is aligned with each stretch of a
-document where two of its seeds meet on near diagonals and which holds enough of its words to reach the least score; how
-often a seed stands in the documents plays no part, so a copy is found however many others there are.
+The test items, a stated query set, are taken in blocks of at most ITEMS; a block's seeds (pairs of words) are a table
+of bounded size that goes to every task, so no text is shuffled. A copy that reaches the least score by replaced or
+dropped words leaves so many pairs of its item whole that one of the item's rarest must be among them: only those are its
+seeds. Rare is what few items hold; how often a seed stands in the documents plays no part, so a copy is found however
+many others there are. An item is aligned with each stretch of a document that holds one of its seeds, and enough of its
+words to reach the least score. Copies with a word put in between nearly all pairs aren't sure to be found.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import WordPrints, documents, shingles
 
-SEED = 3
+SEED = 2
 #: Items in a block, and the words of an item from which it counts as evidence.
 ITEMS, LEAST_WORDS = 20_000, 5
 #: Alignment: each equal word counts 1; what a differing and what a missing word costs; the least share of the item's words.
@@ -44,20 +46,33 @@ class Block:
     ids: list[int | None]
     words: list[np.ndarray]  # fingerprints
     seeds: np.ndarray  # sorted, each once
-    owner: np.ndarray  # rows (seed index, item, position), by seed index
+    owner: np.ndarray  # rows (seed index, item, first or last position of the seed in it), by seed index
     filter: np.ndarray  # of 2 ** 20 flags by a seed's first bits
 
+    def __post_init__(self):
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+
     @staticmethod
     def of(rows: list[tuple[int | None, str | None]]) -> Block:
         prints = PlainWords()
         kept = [(i, w) for i, t in rows if len(w := prints.of(t)) >= LEAST_WORDS]
-        all_seeds = [shingles(w, SEED) for _, w in kept]
-        flat = np.concatenate([np.empty(0, np.uint64), *all_seeds])
-        seeds, at = np.unique(flat, return_inverse=True)
-        item = np.repeat(np.arange(len(kept)), [len(s) for s in all_seeds])
-        pos = np.concatenate([np.empty(0, np.int64), *[np.arange(len(s)) for s in all_seeds]])
-        owner = np.stack([at.astype(np.int64), item.astype(np.int64), pos.astype(np.int64)], axis=1)
-        return Block([i for i, _ in kept], [w for _, w in kept], seeds, owner[np.argsort(at, kind="stable")], flags(seeds))
+        flat = [shingles(w, SEED) for _, w in kept]
+        item = np.repeat(np.arange(len(kept)), [len(s) for s in flat])
+        pos = np.concatenate([np.empty(0, np.int64), *[np.arange(len(s)) for s in flat]]).astype(np.int64)
+        seeds, at = np.unique(np.concatenate([np.empty(0, np.uint64), *flat]), return_inverse=True)
+        # how many items hold each seed, and each item's places by that
+        pairs = np.unique(np.stack([at, item], axis=1), axis=0) if len(at) else np.empty((0, 2), np.int64)
+        held_by = np.bincount(pairs[:, 0], minlength=len(seeds))[at]
+        order = np.lexsort((pos, at, held_by, item))
+        rank = np.arange(len(item)) - np.searchsorted(item, item)  # items are in order
+        rare = order[rank < np.array([seeds_needed(len(w)) for _, w in kept], np.int64)[item]]
+        # a seed that stands in an item more than once counts by its first and last place among those
+        rare = rare[np.lexsort((pos[rare], item[rare], at[rare]))]
+        edge = (np.diff(at[rare]) != 0) | (np.diff(item[rare]) != 0)
+        rare = rare[np.append(True, edge) | np.append(edge, True)] if len(rare) else rare
+        used, index = np.unique(at[rare], return_inverse=True)
+        seeds, owner = seeds[used], np.stack([index, item[rare], pos[rare]], axis=1).astype(np.int64)
+        return Block([i for i, _ in kept], [w for _, w in kept], seeds, owner, flags(seeds))
 
     def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where in grams a seed stands, and which."""
@@ -79,16 +94,15 @@ class Block:
         rows = self.owner[np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
         item, diagonal = rows[:, 1], np.repeat(at, size) - rows[:, 2]
         order = np.lexsort((diagonal, item))
-        item, diagonal, seed = item[order], diagonal[order], rows[order, 0]
-        length = np.array([len(w) for w in self.words])
-        slack = length[item] // 3 + 3
+        item, diagonal = item[order], diagonal[order]
+        length = self.lengths
+        slack = length[item]  # as far apart may the diagonals of one copy seem, where a seed repeats in the item
         cut = np.flatnonzero((np.diff(item) != 0) | (np.diff(diagonal) > slack[1:])) + 1
         first, after = np.append(0, cut), np.append(cut, len(item))
-        several = np.minimum.reduceat(seed, first) != np.maximum.reduceat(seed, first)
         best: dict[int, tuple[float, int, int]] = {}
-        for a, b in zip(first[several].tolist(), after[several].tolist(), strict=True):
+        for a, b in zip(first.tolist(), after.tolist(), strict=True):
             i, n = int(item[a]), int(length[item[a]])
-            start, end = max(0, int(diagonal[a]) - n // 3 - 3), min(len(words), int(diagonal[b - 1]) + n + n // 3 + 3)
+            start, end = max(0, int(diagonal[a]) - n), min(len(words), int(diagonal[b - 1]) + 2 * n)
             for part in range(start, end, 4 * n + 200):  # a long run of copies is aligned stretch by stretch
                 found = align(self.words[i], words[part : min(end, part + 6 * n + 200)])
                 if found and found[0] > best.get(i, (0,))[0]:
@@ -96,6 +110,20 @@ class Block:
         return [(i, *x) for i, x in sorted(best.items())]
 
 
+def least_score(n: int) -> float:
+    """What an alignment with an item of n words must score, in words."""
+    return max(SHARE * n, min(LEAST_SCORE, n))
+
+
+def seeds_needed(n: int) -> int:
+    """So many pairs of an item of n words that one of them is whole in any copy of replaced or dropped words.
+
+    An edit costs its word and DIFFER or MISSING, and breaks two pairs; a word cut off at an end costs itself and breaks one.
+    """
+    broken = int(2 * (n - least_score(n)) / (1 + min(DIFFER, MISSING)))
+    return min(n - SEED + 1, broken + 1)
+
+
 def flags(seeds: np.ndarray) -> np.ndarray:
     out = np.zeros(1 << 20, bool)
     out[(seeds >> np.uint64(44)).astype(np.int64)] = True
@@ -116,7 +144,7 @@ def scores(item: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int, int] | None:
     """(score as a share of the item, first, last word) of the best alignment, if that is good enough."""
-    least = max(SHARE * len(item), min(LEAST_SCORE, len(item)))
+    least = least_score(len(item))
     if np.isin(item, words).sum() < least:  # no alignment scores more than the words that are there at all
         return None
     ends = scores(item, words)

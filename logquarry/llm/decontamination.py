@@ -51,6 +51,9 @@ class Block:
 
     def __post_init__(self):
         self.lengths = np.array([len(w) for w in self.words], np.int64)
+        self.least = np.array([least_score(len(w)) for w in self.words])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.vocabulary, self.numbers = np.unique(np.concatenate([np.empty(0, np.uint64), *self.words]), return_inverse=True)
 
     @staticmethod
     def of(rows: list[tuple[int | None, str | None]]) -> Block:
@@ -84,6 +87,24 @@ class Block:
         same = self.seeds[k] == grams[at]
         return at[same], k[same]
 
+    def present(self, words: np.ndarray, item: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """How many words of each item stand anywhere in its stretch of the text."""
+        k = np.searchsorted(self.vocabulary, words)
+        k[k == len(self.vocabulary)] = 0
+        at = np.flatnonzero(self.vocabulary[k] == words)
+        width = len(words) + 1
+        places = np.sort(k[at] * width + at)
+        out = []
+        for a in range(0, len(item), 1 << 14):
+            part = slice(a, a + (1 << 14))
+            size = self.lengths[item[part]]
+            before = np.cumsum(size) - size
+            rows = np.repeat(self.starts[item[part]] - before, size) + np.arange(size.sum())
+            line = self.numbers[rows] * width
+            there = np.searchsorted(places, line + np.repeat(start[part], size)) < np.searchsorted(places, line + np.repeat(end[part], size))
+            out.append(np.add.reduceat(there.astype(np.int64), before))
+        return np.concatenate(out)
+
     def matches(self, words: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(item, score, first word, last word) of every item that the words hold a copy of."""
         at, k = self.find(shingles(words, SEED))
@@ -99,10 +120,12 @@ class Block:
         slack = length[item]  # as far apart may the diagonals of one copy seem, where a seed repeats in the item
         cut = np.flatnonzero((np.diff(item) != 0) | (np.diff(diagonal) > slack[1:])) + 1
         first, after = np.append(0, cut), np.append(cut, len(item))
+        item, n = item[first], length[item[first]]
+        start, end = np.maximum(0, diagonal[first] - n), np.minimum(len(words), diagonal[after - 1] + 2 * n)
+        likely = self.present(words, item, start, end) >= self.least[item]  # no alignment scores more
         best: dict[int, tuple[float, int, int]] = {}
-        for a, b in zip(first.tolist(), after.tolist(), strict=True):
-            i, n = int(item[a]), int(length[item[a]])
-            start, end = max(0, int(diagonal[a]) - n), min(len(words), int(diagonal[b - 1]) + 2 * n)
+        for i, start, end in zip(item[likely].tolist(), start[likely].tolist(), end[likely].tolist(), strict=True):
+            n = len(self.words[i])
             for part in range(start, end, 4 * n + 200):  # a long run of copies is aligned stretch by stretch
                 found = align(self.words[i], words[part : min(end, part + 6 * n + 200)])
                 if found and found[0] > best.get(i, (0,))[0]:

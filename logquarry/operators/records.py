@@ -100,26 +100,32 @@ def decode(chunks: DataFrame, xml: bool = True, json: bool = True, record_id: in
     one name the second is name.2 in `data`, and so on.
     """
     sliced = "low" in chunks.columns
-    names, wanted = [f.split()[0] for f in RECORD.split(", ")], record_id
+    names = [f.split()[0] for f in RECORD.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string()]
         for batch in batches:
             for row in batch.to_pylist():
-                out = []
-                if row["data"] is not None:
-                    chunk = binxml.Chunk(row["data"])
-                    for k, (record_id, written, start, end) in enumerate(frames(row["data"])):
-                        if (not sliced or row["low"] <= k < row["high"]) and wanted in (None, record_id):
-                            got = record(chunk, record_id, written, start, end, xml, json)
-                            if max(record_id, written) >= 1 << 63:
-                                record_id, written, got = *(v if v < 1 << 63 else None for v in (record_id, written)), (*got[:-1], got[-1] or "OutOfBounds")
-                            out.append((row["path"], row["chunk_index"], k, record_id, written, *got))
+                part = (row["low"], row["high"]) if sliced else (0, None)
+                out = [(row["path"], row["chunk_index"], *found) for found in chunk_records(row["data"], xml, json, record_id, *part)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names)
 
     return chunks.select("path", "chunk_index", "data", *(["low", "high"] if sliced else [])).mapInArrow(read, RECORD)
 
 
+def chunk_records(data: bytes | None, xml: bool, json: bool, wanted: int | None = None, low: int = 0, high: int | None = None) -> Iterator[tuple]:
+    """The decoded records of a chunk, from its `low`th to before its `high`th: RECORD's columns from ordinal on."""
+    if data is None:
+        return
+    chunk = binxml.Chunk(data)
+    for k, (record_id, written, start, end) in enumerate(frames(data)):
+        if low <= k and (high is None or k < high) and wanted in (None, record_id):
+            got = record(chunk, record_id, written, start, end, xml, json)
+            if max(record_id, written) >= 1 << 63:
+                record_id, written, got = *(v if v < 1 << 63 else None for v in (record_id, written)), (*got[:-1], got[-1] or "OutOfBounds")
+            yield (k, record_id, written, *got)
+
+
 def record(chunk: binxml.Chunk, record_id: int, written: int, start: int, end: int, xml: bool, json: bool) -> tuple:
     try:
         root = chunk.root(start, end)

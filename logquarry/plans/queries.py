@@ -13,13 +13,15 @@ from ..functions.formats import EPOCH_TICKS
 from ..operators import records as rec
 from ..operators import recovery
 from ..operators import token_tables as tokens
+from ..functions.tables import register_tables
+from ..operators.diff import canonical_json, log_diff
 from ..operators.intervals import asof_join, interval_join
 from ..sources import chunk_index
 from ..api import lines
 from ..sources.encoder import Element, instance, value_bytes
 from ..sources.eventlog import load_chunks
 from ..sources.scratch import shared_folder, table
-from .event_table import INT64, STRING, encoded, event_chunks, event_files, event_rows, typed
+from .event_table import INT64, STRING, TEMPLATE, encoded, event_chunks, event_files, event_rows, event_values, typed
 
 BINXML = 0x21
 TICKS = "(epoch_us(ts) * 10 + 116444736000000000)"
@@ -409,6 +411,23 @@ def sessionize(spark, sf_dir):
     return marked.groupBy("user_id").agg(F.sum("new").alias("sessions"), F.count("*").alias("events"))
 
 
+def record_diff(spark, sf_dir):
+    """The events against a log with its elements in another order, without errors and with signups twice: just those differ."""
+    rows = event_rows(spark, sf_dir).where("event_type IS NULL OR event_type <> 'error'").withColumn("time", F.explode(F.expr("sequence(1, IF(event_type = 'signup', 2, 1))"))).drop("time")
+    system, data = TEMPLATE.content
+    turned = Element(TEMPLATE.name, TEMPLATE.attributes, [data, Element(system.name, system.attributes, system.content[::-1])])
+    sides = [tokens.decode_tables(chunks, xml=False).withColumn("canonical", canonical_json(F.col("json"))) for chunks in (event_chunks(spark, sf_dir), encoded(rows, turned, event_values))]
+    return log_diff(*sides, "canonical", "event_record_id").select(F.col("id").alias("event_record_id"), "left_n", "right_n")
+
+
+def records_in_sql(spark, sf_dir):
+    """Chunks decoded by a table function in SQL."""
+    register_tables(spark)
+    view = f"chunks_{uuid.uuid4().hex}"
+    event_chunks(spark, sf_dir).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT r.event_record_id, r.timestamp_filetime, r.data['event_type'] AS event_type, CAST(r.data['user_id'] AS BIGINT) AS user_id FROM {view} c, LATERAL eventlog_records(c.data) r WHERE r.error IS NULL")
+
+
 def top_users(spark, sf_dir):
     per_user = _events(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"))
     return per_user.orderBy(F.desc("n"), "user_id").limit(20)
@@ -474,3 +493,7 @@ QUERIES = {
     "top_users": (top_users, "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 20"),
 }
 QUERIES |= {"xml_fold": (xml_fold, QUERIES["render_xml"][1]), "json_fold": (json_fold, QUERIES["render_jsonl"][1])}
+QUERIES |= {
+    "record_diff": (record_diff, "SELECT event_id AS event_record_id, CAST(1 AS BIGINT) AS left_n, CAST(CASE event_type WHEN 'error' THEN 0 ELSE 2 END AS BIGINT) AS right_n FROM events WHERE event_type IN ('error', 'signup')"),
+    "records_in_sql": (records_in_sql, f"SELECT event_id AS event_record_id, {TICKS} AS timestamp_filetime, event_type, user_id FROM events"),
+}

@@ -15,7 +15,8 @@ ATTRIBUTE = r"""[^\s=<>/"']+\s*=\s*(?:"[^"]*"|'[^']*')"""
 
 def canonical_json(text: Column) -> Column:
     """The JSON with keys in order at all depths and without white space; arrays keep theirs. What isn't JSON stays as it is."""
-    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
+    # by an array of one, so that a text that is itself a long expression isn't computed twice
+    return F.transform(F.array(text), lambda t: F.coalesce(F.to_json(F.try_parse_json(t)), t))[0]
 
 
 def canonical_xml(text: Column) -> Column:

@@ -21,6 +21,7 @@ from ..api import lines
 from ..sources.encoder import Element, instance, value_bytes
 from ..sources.eventlog import load_chunks
 from ..sources.scratch import shared_folder, table
+from ..streaming.tail import user_sessions
 from .event_table import INT64, STRING, TEMPLATE, encoded, event_chunks, event_files, event_rows, event_values, typed
 
 BINXML = 0x21
@@ -416,10 +417,17 @@ def record_diff(spark, sf_dir):
     rows = event_rows(spark, sf_dir).where("event_type IS NULL OR event_type <> 'error'").withColumn("time", F.explode(F.expr("sequence(1, IF(event_type = 'signup', 2, 1))"))).drop("time")
     system, data = TEMPLATE.content
     turned = Element(TEMPLATE.name, TEMPLATE.attributes, [data, Element(system.name, system.attributes, system.content[::-1])])
-    sides = [tokens.decode_tables(chunks, xml=False).withColumn("canonical", canonical_json(F.col("json"))) for chunks in (event_chunks(spark, sf_dir), encoded(rows, turned, event_values))]
+    sides = [rec.decode(chunks, xml=False).withColumn("canonical", canonical_json(F.col("json"))) for chunks in (event_chunks(spark, sf_dir), encoded(rows, turned, event_values))]
     return log_diff(*sides, "canonical", "event_record_id").select(F.col("id").alias("event_record_id"), "left_n", "right_n")
 
 
+def login_sessions(spark, sf_dir):
+    """Users' sessions with their logins and logouts, as the stream gives them."""
+    found = user_sessions(_events(spark, sf_dir).withColumn("written", fmt.filetime_timestamp("timestamp_filetime")))
+    micros = lambda c: F.unix_micros(c).alias(c)
+    return found.select("user_id", micros("start"), micros("login"), micros("logout"), "n")
+
+
 def records_in_sql(spark, sf_dir):
     """Chunks decoded by a table function in SQL."""
     register_tables(spark)
@@ -495,5 +503,6 @@ QUERIES = {
 QUERIES |= {"xml_fold": (xml_fold, QUERIES["render_xml"][1]), "json_fold": (json_fold, QUERIES["render_jsonl"][1])}
 QUERIES |= {
     "record_diff": (record_diff, "SELECT event_id AS event_record_id, CAST(1 AS BIGINT) AS left_n, CAST(CASE event_type WHEN 'error' THEN 0 ELSE 2 END AS BIGINT) AS right_n FROM events WHERE event_type IN ('error', 'signup')"),
+    "login_sessions": (login_sessions, "WITH marked AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 1800000000 THEN 0 ELSE 1 END AS new FROM events), numbered AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM marked) SELECT user_id, min(epoch_us(ts)) AS start, min(CASE WHEN event_type = 'login' THEN epoch_us(ts) END) AS login, max(CASE WHEN event_type = 'logout' THEN epoch_us(ts) END) AS logout, count(*) AS n FROM numbered GROUP BY user_id, k"),
     "records_in_sql": (records_in_sql, f"SELECT event_id AS event_record_id, {TICKS} AS timestamp_filetime, event_type, user_id FROM events"),
 }

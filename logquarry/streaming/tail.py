@@ -20,3 +20,19 @@ def stream_records(spark: SparkSession, path: str, mode: str = "DROPMALFORMED",
 def windowed_counts(records: DataFrame, window: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
     """Events per channel and tumbling window, with a watermark for late ones."""
     return records.withWatermark("written", lateness).groupBy(F.window("written", window), "channel").agg(F.count("*").alias("n"))
+
+
+def user_sessions(records: DataFrame, gap: str = "30 minutes", lateness: str = "10 minutes") -> DataFrame:
+    """(user_id, start, end, n, login, logout) of each session: events of a user at most `gap` apart, its first login and
+    last logout, null where there is none. `end` is the last event's time and the gap.
+
+    records: user_id, event_type, event_record_id and `written`, of a stream or a table. A record that comes again within
+    `lateness` of itself counts once (by user, id and time); the stream drops what is later than that and gives a session
+    once the watermark has passed its end, a table gives all. Records without user or time belong to no session.
+    """
+    rows = records.where("user_id IS NOT NULL AND written IS NOT NULL").select("user_id", "event_type", "event_record_id", "written").withWatermark("written", lateness)
+    key = ["user_id", "event_record_id", "written"]
+    once = rows.dropDuplicatesWithinWatermark(key) if rows.isStreaming else rows.dropDuplicates(key)
+    at = lambda kind: F.when(F.col("event_type") == kind, F.col("written"))
+    found = once.groupBy("user_id", F.session_window("written", gap).alias("w")).agg(F.count("*").alias("n"), F.min(at("login")).alias("login"), F.max(at("logout")).alias("logout"))
+    return found.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "login", "logout")

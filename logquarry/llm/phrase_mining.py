@@ -198,18 +198,47 @@ def distinct(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return grid[order[starts]], np.diff(np.append(starts, len(grid)))
 
 
-def add_ngrams(counts: dict[str, int], fragments: str) -> None:
-    """Count the n-grams of a pivot's fragments that hold it."""
-    for line in fragments.split("\n")[:-1]:
-        times, left, *words = line.split(" ")
-        times = int(times)
-        if left == "-":
-            counts[" ".join(words)] += times
-            continue
-        at, n = int(left), len(words)
-        for s in range(max(0, at - LONGEST + 1), at + 1):
-            for e in range(max(at + 1, s + 2), min(n, s + LONGEST) + 1):
-                counts[" ".join(words[s:e])] += times
+class Pivot:
+    """The n-grams of one pivot: its fragments are kept until all are there, GROUP occurrences or so.
+
+    An n-gram occurs no oftener than the pair of the pivot and the word beside it that it holds, and all occurrences of
+    that pair are here too. So fragments are cut where such a pair is too rare before their n-grams are counted.
+    """
+
+    def __init__(self):
+        self.counts: dict[str, int] = defaultdict(int)
+        self.fragments: list[tuple[int, int, list[str]]] = []
+        self.left: dict[str, int] = defaultdict(int)
+        self.right: dict[str, int] = defaultdict(int)
+
+    def add(self, fragments: str) -> None:
+        """Lines `times left words`; `-` for left: an n-gram."""
+        for line in fragments.split("\n")[:-1]:
+            times, left, words = line.split(" ", 2)
+            times = int(times)
+            if left == "-":
+                self.counts[words] += times
+                continue
+            at, words = int(left), words.split(" ")
+            if at:
+                self.left[words[at - 1]] += times
+            if at + 1 < len(words):
+                self.right[words[at + 1]] += times
+            self.fragments.append((times, at, words))
+
+    def frequent(self, min_count: int) -> list[tuple[str, int]]:
+        counts = self.counts
+        for times, at, words in self.fragments:
+            first, end = at, at + 1
+            if at and self.left[words[at - 1]] >= min_count:
+                first = 0
+            if end < len(words) and self.right[words[end]] >= min_count:
+                end = len(words)
+            if end - first > 1:
+                for s in range(max(first, at - LONGEST + 1), at + 1):
+                    for e in range(max(at + 1, s + 2), min(end, s + LONGEST) + 1):
+                        counts[" ".join(words[s:e])] += times
+        return [(p, n) for p, n in counts.items() if n >= min_count]
 
 
 def phrases(texts: DataFrame, frequent: DataFrame, min_count: int, bits: int) -> DataFrame:
@@ -221,20 +250,19 @@ def phrases(texts: DataFrame, frequent: DataFrame, min_count: int, bits: int) ->
             yield from Fragments(*flush, classes.value).rows()
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, counts = None, defaultdict(int)
+        group, pivot = None, Pivot()
 
         def found() -> pa.RecordBatch:
-            kept = [(p, n) for p, n in counts.items() if n >= min_count]
+            kept = pivot.frequent(min_count)
             return pa.RecordBatch.from_arrays([pa.array([group[0]] * len(kept), pa.string()), pa.array([p for p, _ in kept], pa.string()), pa.array([p.count(" ") + 1 for p, _ in kept], pa.int32()), pa.array([n for _, n in kept], pa.int64())], ["lang", "phrase", "n_words", "a"])
 
         for batch in batches:
-            for lang, pivot, salt, fragments in zip(*batch.columns, strict=True):
-                at = lang.as_py(), pivot.as_py(), salt.as_py()
-                if at != group:
+            for lang, key, salt, fragments in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (lang, key, salt) != group:
                     if group is not None:
                         yield found()
-                    group, counts = at, defaultdict(int)
-                add_ngrams(counts, fragments.as_py())
+                    group, pivot = (lang, key, salt), Pivot()
+                pivot.add(fragments)
         if group is not None:
             yield found()
 

@@ -80,3 +80,28 @@ def test_long_text(spark):
     rows = [("en", " ".join(f"w{int(rng.paretovariate(0.7)) % 3000}" for _ in range(200_000)))]
     got = collocations(table_of(spark, rows), top=100).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()
     assert sorted(map(tuple, got)) == brute(rows, 30, 100)
+
+
+def test_only_pairs_that_are_frequent_are_grown():
+    """Counted n-grams equal those without cutting; fragments whose pairs are all rare cost no n-gram."""
+    rng = random.Random(2)
+    lines = []
+    for _ in range(3000):
+        at, n = rng.randrange(4), rng.randrange(4)
+        words = [f"w{int(rng.paretovariate(0.6)) % 500}" for _ in range(at)] + ["p"] + [f"w{int(rng.paretovariate(0.6)) % 500}" for _ in range(n)]
+        lines.append((rng.randrange(1, 4), at, words))
+    want, pivot = Counter(), phrase_mining.Pivot()
+    for times, at, words in lines:
+        pivot.add(f"{times} {at} {' '.join(words)}\n")
+        for s in range(at + 1):
+            for e in range(at + 1, len(words) + 1):
+                if 2 <= e - s <= 4:
+                    want[" ".join(words[s:e])] += times
+    pivot.add("7 - p q\n5 - p q\n")
+    want["p q"] += 12
+    assert dict(pivot.frequent(10)) == {p: n for p, n in want.items() if n >= 10}
+    assert len(pivot.counts) < len(want)
+    rare = phrase_mining.Pivot()
+    for k in range(50):
+        rare.add(f"9 2 a{k} b{k} p c{k} d{k}\n")
+    assert not rare.frequent(10) and not rare.counts

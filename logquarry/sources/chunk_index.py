@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 
 from .encoder import CHUNK, HEADER
 from .eventlog import SCHEMA, files_of, store
+from .scratch import table
 
 NUMBERS = ("num_chunks", "first_number", "last_number", "first_id", "last_id", "first_ticks", "last_ticks")
 INDEX = "path string, chunk_index int, sound boolean, " + ", ".join(f"{c} long" for c in NUMBERS)
 #: Chunks whose headers a task reads for one opened file.
 RANGE = 256
+#: Chunks that a task reads and that are decoded there (4 MB; rows that only name them are too small to deal by their bytes).
+STEP = 64
 
 
 def sizes_of(path: str) -> list[tuple[str, int]]:
@@ -59,7 +62,8 @@ def build(spark: SparkSession, path: str) -> DataFrame:
 
     A file with a wrong signature has num_chunks null; a part at the end that isn't a whole chunk has no row.
     """
-    files = spark.createDataFrame(sizes_of(path), "path string, size long")
+    sizes = sizes_of(path)
+    files = spark.createDataFrame(sizes, "path string, size long")
     chunks = F.floor((F.col("size") - HEADER) / CHUNK).cast("int")
     ranges = files.withColumn("n", chunks).where("n > 0").select("path", "n", F.explode(F.expr(f"sequence(0, n - 1, {RANGE})")).alias("start")).select("path", "start", F.least(F.col("start") + RANGE, F.col("n")).alias("end"))
 
@@ -74,7 +78,14 @@ def build(spark: SparkSession, path: str) -> DataFrame:
                 columns = [pa.array([path] * len(rows)), pa.array(range(start, end), pa.int32()), pa.array([r[0] for r in rows], pa.bool_()), pa.array([n] * len(rows), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array([r[k] for r in rows], pa.int64()) for k in range(1, 7)], ["path", "chunk_index", "sound", *NUMBERS])
 
-    return ranges.repartition("path", "start").mapInArrow(read, INDEX)
+    parts = sum(max(0, size - HEADER) // (CHUNK * RANGE) + 1 for _, size in sizes)
+    return ranges.repartition(tasks(spark, parts, 16), "path", "start").mapInArrow(read, INDEX)
+
+
+def tasks(spark: SparkSession, items: int, step: int) -> int:
+    """Tasks of `step` items at most, or as many as there are cores, if that are more; given as a number, since adaptive
+    execution would put small rows into one task, however much is read for them."""
+    return max(1, min(items, spark.sparkContext.defaultParallelism), -(-items // step))
 
 
 def pruned(index: DataFrame, ids: tuple[int, int] | None = None, ticks: tuple[int, int] | None = None) -> DataFrame:
@@ -123,9 +134,10 @@ def read(index: DataFrame, partitions: int | None = None) -> DataFrame:
                     raise ValueError(f"UnexpectedEof: {path}, chunk {k}")
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["path", "chunk_index", "data"])
 
+    # a table, as it is counted, sampled for its ranges and read
+    places = table(index.select("path", "chunk_index"), "places")
     # ranges keep chunks of a file together, so that a task opens few files
-    places = index.select("path", "chunk_index")
-    places = places.repartitionByRange(partitions, "path", "chunk_index") if partitions else places.repartitionByRange("path", "chunk_index")
+    places = places.repartitionByRange(partitions or tasks(index.sparkSession, places.count(), STEP), "path", "chunk_index")
     return places.sortWithinPartitions("path", "chunk_index").mapInArrow(chunks, SCHEMA)
 
 

@@ -8,6 +8,7 @@ from logquarry.plans.event_table import TEMPLATE
 from logquarry.sources import chunk_index
 from logquarry.sources.encoder import CHUNK, HEADER, chunks, log_file, value_bytes
 from logquarry.sources.eventlog import load_chunks
+from pyspark.sql import functions as F
 
 SCHEMA = "path string, chunk_index int, data binary"
 TICKS = 133_485_408_071_795_750
@@ -123,3 +124,11 @@ def test_damaged_files_in_the_index(spark, tmp_path):
     rows = {r.path.rpartition("/")[2]: (r.sound, r.num_chunks, r.first_id) for r in chunk_index.build(spark, str(tmp_path)).collect()}
     assert rows == {"no.evtx": (False, None, None), "sum.evtx": (False, 1, 1)}
     assert chunk_index.with_extra(chunk_index.build(spark, str(tmp_path))).count() == 1
+
+
+def test_chunks_are_read_by_many_tasks(spark, tmp_path):
+    (tmp_path / "long.evtx").write_bytes(log_file([parts([k])[0] for k in range(1, 25)], 1))
+    got = chunk_index.load(spark, str(tmp_path), extra=True).select("chunk_index", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r.chunk_index for r in got) == list(range(24))
+    assert len({r.task for r in got}) > 1  # the rows that name chunks are small, the chunks aren't
+    assert chunk_index.tasks(spark, 1000, 64) == 16 and chunk_index.tasks(spark, 0, 64) == 1

@@ -1,13 +1,17 @@
-"""Decoding as tables: templates and their uses, met without a shuffle; nested binary XML level by level; trees folded.
+"""Decoding as tables: templates and their uses, met without a shuffle; nested binary XML put in place; trees folded.
 
 The helper in the tasks only cuts tokens: a chunk gives a row for each template that its records use (one for each set of
 values that are absent), with the template's nodes in pre-order and all uses (the record's ids, and the types and bytes of
 its values). A use meets its template where both lie, by exploding that row, so nothing is shuffled.
 
-What depends on the template alone is made once a row, before that: the tree is folded to text with marks where values
-go, and its fields are found. A record then only turns its values into text and joins the pieces. Templates that values
-can change otherwise (those that hold binary XML) are expanded record by record, level by level, until no value is left
-that holds any, and their trees folded then. All of that is done with DataFrame functions.
+Values that hold binary XML are cut where they stand, as names and templates are their chunk's own: a row then is for one
+sequence of templates and elements that hold each other, in parts, and a use has the values of all of them. Literal texts
+of what is held count as values, so records that differ in them share a row.
+
+What depends on the templates alone is made once a row, before uses are exploded: parts are merged by place to one tree,
+the tree is folded to text with marks where values go, and its fields are found. A record then only turns its values into
+text and joins the pieces. Templates that values can change otherwise have the trees of their records folded. All of that
+is done with DataFrame functions.
 """
 
 from __future__ import annotations
@@ -25,26 +29,30 @@ from ..sources import binxml
 from ..sources.scratch import table
 from .records import RECORD, frames
 
-NODE = "struct<id: int, last: int, parent: int, depth: int, attribute: boolean, kind: string, name: string, type: int, subst: int, text: string, start: int, size: int, raw: binary, real: string, slot: int, clock: boolean>"
-VALUE = "struct<type: int, raw: binary, start: int, real: string>"
-#: `slot` is the place of a use in its record: [] of the record's own, else where the value that held it stands; `inside`
+NODE = "struct<id: int, last: int, parent: int, depth: int, attribute: boolean, kind: string, name: string, type: int, subst: int, text: string, raw: binary, real: string, slot: int, clock: boolean>"
+VALUE = "struct<type: int, raw: binary, real: string>"
+USE = f"struct<ordinal: int, event_record_id: bigint, timestamp_filetime: bigint, values: array<{VALUE}>, error: string>"
+#: `slot` is the place of a part in its record: [] of the record's own, else where the value that held it stands; `inside`
 #: is the place of the element that the value stands in, and depth what its nodes' depths count from.
-USE = f"struct<ordinal: int, event_record_id: bigint, timestamp_filetime: bigint, slot: array<int>, inside: array<int>, depth: int, values: array<{VALUE}>, error: string>"
-PARSED = f"path string, chunk_index int, template int, nested boolean, simple boolean, depth int, nodes array<{NODE}>, uses array<{USE}>"
+PART = f"struct<slot: array<int>, inside: array<int>, depth: int, nodes: array<{NODE}>>"
+PARSED = f"path string, chunk_index int, template int, simple boolean, depth int, nodes array<{NODE}>, parts array<{PART}>, uses array<{USE}>"
 KEY = ["path", "chunk_index", "ordinal"]
 #: Second number of the place of what stood in an attribute (after the element's children), less the attribute's own.
 IN_ATTRIBUTE = 1 << 30
 
-NODE_TYPE = pa.struct([(n, t) for n, t in (("id", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("attribute", pa.bool_()), ("kind", pa.string()), ("name", pa.string()), ("type", pa.int32()), ("subst", pa.int32()), ("text", pa.string()), ("start", pa.int32()), ("size", pa.int32()), ("raw", pa.binary()), ("real", pa.string()), ("slot", pa.int32()), ("clock", pa.bool_()))])
-VALUE_TYPE = pa.struct([("type", pa.int32()), ("raw", pa.binary()), ("start", pa.int32()), ("real", pa.string())])
-USE_TYPE = pa.struct([("ordinal", pa.int32()), ("event_record_id", pa.int64()), ("timestamp_filetime", pa.int64()), ("slot", pa.list_(pa.int32())), ("inside", pa.list_(pa.int32())), ("depth", pa.int32()), ("values", pa.list_(VALUE_TYPE)), ("error", pa.string())])
-PARSED_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.list_(NODE_TYPE), pa.list_(USE_TYPE)]
-PARSED_NAMES = ["path", "chunk_index", "template", "nested", "simple", "depth", "nodes", "uses"]
+NODE_TYPE = pa.struct([(n, t) for n, t in (("id", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("attribute", pa.bool_()), ("kind", pa.string()), ("name", pa.string()), ("type", pa.int32()), ("subst", pa.int32()), ("text", pa.string()), ("raw", pa.binary()), ("real", pa.string()), ("slot", pa.int32()), ("clock", pa.bool_()))])
+VALUE_TYPE = pa.struct([("type", pa.int32()), ("raw", pa.binary()), ("real", pa.string())])
+USE_TYPE = pa.struct([("ordinal", pa.int32()), ("event_record_id", pa.int64()), ("timestamp_filetime", pa.int64()), ("values", pa.list_(VALUE_TYPE)), ("error", pa.string())])
+PART_TYPE = pa.struct([("slot", pa.list_(pa.int32())), ("inside", pa.list_(pa.int32())), ("depth", pa.int32()), ("nodes", pa.list_(NODE_TYPE))])
+PARSED_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.list_(NODE_TYPE), pa.list_(PART_TYPE), pa.list_(USE_TYPE)]
+PARSED_NAMES = ["path", "chunk_index", "template", "simple", "depth", "nodes", "parts", "uses"]
 
 
 REALS = (0x0B, 0x0C)
 #: Stands around the numbers of values in texts of templates; templates that have it themselves aren't simple.
 MARK = "\uf7f1"
+#: Type of a literal text of what a value holds: it comes as text, in `real`.
+LITERAL = 0x100
 
 
 def real_of(kind: int, data: bytes) -> str | None:
@@ -59,7 +67,7 @@ def simple(nodes: list[dict]) -> bool:
     """Whether texts of the template's values only go to places that they don't change."""
 
     def plain(n: dict) -> bool:
-        if n["type"] is not None and n["type"] & 0x7F == 0x21 or MARK in (n["name"] or "") or MARK in (n["text"] or ""):
+        if MARK in (n["name"] or "") or MARK in (n["text"] or ""):
             return False
         name = nodes[n["parent"]]["name"] if n["attribute"] else None
         alone = nodes[n["parent"]]["last"] == n["parent"] + 1 if n["attribute"] else True
@@ -68,49 +76,114 @@ def simple(nodes: list[dict]) -> bool:
     return bool(nodes) and all(map(plain, nodes))
 
 
+def shape(element: tuple, literals: list[tuple]) -> tuple:
+    """What an element that a value holds has but for its literals, which are added to the list (type, start, end, text)
+    in pre-order. Texts of attributes called Name aren't literals, since they name fields."""
+
+    def token(n: tuple, name: str = "") -> tuple | int:
+        if n[0] == binxml.ELEMENT:
+            return shape(n[1], literals)
+        if n[0] == binxml.TEXT and name != "Name":
+            literals.append((LITERAL, 0, 0, n[1]))
+            return n[0]
+        if n[0] == binxml.VALUE:
+            literals.append((*n[1:], None))
+            return n[:2]
+        return n
+
+    return element[0], tuple((key, tuple(token(n, key) for n in nodes)) for key, nodes in element[1]), tuple(token(n) for n in element[2])
+
+
 class Uses:
-    """The templates of one chunk with what uses them."""
+    """The templates of one chunk with what uses them; values that hold binary XML at most `deepest` levels deep."""
 
-    def __init__(self, data: bytes):
-        self.chunk, self.found = binxml.Chunk(data), {}
+    def __init__(self, data: bytes, deepest: int = binxml.DEEPEST):
+        self.chunk, self.found, self.pieces, self.deepest = binxml.Chunk(data), {}, {}, deepest
 
-    def add(self, head: tuple, slot: list[int], inside: list[int], depth: int, start: int, end: int, first: bool) -> None:
+    def add(self, head: tuple, start: int, end: int) -> None:
+        parts, values, key, errors = [], [], [], []
+        self.cut([], [], 0, start, end, 0, parts, values, key, errors)
+        if errors:
+            parts, values, key = [], [], [-1]
+        self.use(tuple(key), parts)["uses"].append((*head, values, max(errors, default=None)))
+
+    def cut(self, slot: list[int], inside: list[int], depth: int, start: int, end: int, level: int, parts: list[tuple], values: list[tuple], key: list[int], errors: list[str]) -> None:
+        """What stands between two places: its parts and values are added, and to the key what tells such parts from others."""
         try:
-            pieces = list(self.chunk.pieces(start, end, first)) or ([(0, ("Event", [], []), [])] if first else [])
-            for k, (template, element, values) in enumerate(pieces):
-                absent = tuple(n for n, (kind, a, b) in enumerate(values) if kind == 0 or a == b)
-                own = self.use(template, element, len(values), absent)
-                # where a template wants an array of reals, it says which, whatever the value says of itself
-                data, reals = self.chunk.data, own["reals"]
-                held = [(kind, raw := data[a:b], a, real_of(reals.get(n, kind), raw)) for n, (kind, a, b) in enumerate(values)]
-                own["uses"].append((*head, slot if first else [*slot, k], inside, depth, held, None))
+            if level > self.deepest:
+                raise binxml.BadRecord("OutOfBounds")
+            data = self.chunk.data
+            for k, (template, element, spans) in enumerate(list(self.chunk.pieces(start, end, level == 0)) or ([(0, ("Event", [], []), [])] if level == 0 else [])):
+                literals: list[tuple] = []
+                like = shape(element, literals) if level else template
+                absent = tuple([n for n, (kind, a, b) in enumerate(spans) if kind == 0 or a == b])
+                piece = self.piece(like, template, element, len(spans), absent, level > 0)
+                at = [*slot, k] if level else slot
+                parts.append((at, inside, depth, piece, len(values)))
+                key.append(piece["number"])
+                # where a template wants an array of reals, it says which, whatever the value says of itself; what holds others is cut below
+                reals, own = piece["reals"], piece["own"]
+                for n, (kind, a, b) in enumerate(spans):
+                    raw, wanted = data[a:b] if n not in own else b"", reals.get(n, kind)
+                    values.append((kind, raw, real_of(wanted, raw) if wanted & 0x7F in REALS else None))
+                for kind, a, b, text in literals:
+                    raw = data[a:b]
+                    values.append((kind, raw, real_of(kind, raw) if text is None else text))
+                for place, n, span in piece["held"]:
+                    first, last = span or (spans[n] if n < len(spans) else literals[n - len(spans)])[1:3]
+                    self.cut([*at, *place["slot"]], [*at, place["element"]], depth + place["depth"], first, last, level + 1, parts, values, key, errors)
+                    key.append(-1)
         except (ValueError, struct.error, IndexError, OverflowError, RecursionError) as e:
-            self.use(-1, None)["uses"].append((*head, slot, inside, depth, [], str(e) if isinstance(e, binxml.BadRecord) else "UnexpectedEof"))
+            errors.append(str(e) if isinstance(e, binxml.BadRecord) else "UnexpectedEof")
 
-    def use(self, template: int, element: tuple | None, n_values: int = 0, absent: tuple[int, ...] = ()) -> dict:
-        key = template, n_values, absent
-        if key not in self.found:
-            nodes, slots = binxml.flat(element) if element else [], 0
+    def piece(self, like: tuple | int, template: int, element: tuple, n_values: int, absent: tuple[int, ...], held: bool) -> dict:
+        """A template or element with the set of its values that are absent: its nodes, and which of them hold others."""
+        known = like, n_values, absent
+        if known not in self.pieces:
+            nodes, slots, holding, literals = binxml.flat(element), 0, [], n_values
             for n in nodes:
-                value, n["slot"], n["clock"] = n["kind"] in ("value", "subst"), None, False
-                n["raw"] = self.chunk.data[n["start"] : n["start"] + n["size"]] if n["kind"] == "value" else None
-                n["real"] = real_of(n["type"], n["raw"]) if n["kind"] == "value" else None
-                if n["kind"] == "subst" and (n["subst"] in absent or n["subst"] >= n_values):
+                n["slot"], n["clock"], n["raw"], n["real"] = None, False, None, None
+                name = nodes[n["parent"]]["name"] if n["attribute"] else None
+                if held and (n["kind"] == "value" or n["kind"] == "text" and name != "Name"):
+                    n["type"], n["text"] = LITERAL if n["kind"] == "text" else n["type"], None
+                    n["kind"], n["subst"], literals = "subst", literals, literals + 1
+                elif n["kind"] == "subst" and (n["subst"] in absent or n["subst"] >= n_values):
                     n["kind"] = "absent"
-                elif value:
-                    n["slot"], n["clock"], slots = slots, n["attribute"] and nodes[n["parent"]]["name"] == "SystemTime", slots + 1
+                if n["kind"] in ("value", "subst") and n["type"] & 0x7F == 0x21:
+                    owner = nodes[n["parent"]]
+                    around = nodes[owner["parent"]] if n["attribute"] else owner
+                    # what an attribute holds comes after its element's children
+                    place = {"slot": [around["last"], n["id"] + IN_ATTRIBUTE] if n["attribute"] else [n["id"]], "element": around["id"], "depth": around["depth"] + 1}
+                    holding.append((place, n["subst"], None if n["kind"] == "subst" else (n["start"], n["start"] + n["size"])))
+                    n["kind"] = "held"
+                elif n["kind"] in ("value", "subst"):
+                    if n["kind"] == "value":
+                        n["raw"] = self.chunk.data[n["start"] : n["start"] + n["size"]]
+                        n["real"] = real_of(n["type"], n["raw"])
+                    n["slot"], n["clock"], slots = slots, n["attribute"] and name == "SystemTime", slots + 1
             reals = {n["subst"]: n["type"] for n in nodes if n["kind"] == "subst" and n["type"] & 0x80 and n["type"] & 0x7F in REALS}
-            self.found[key] = {"reals": reals, "nested": any(n["type"] is not None and n["type"] & 0x7F == 0x21 for n in nodes), "simple": simple(nodes), "depth": max((n["depth"] for n in nodes), default=0), "nodes": nodes, "uses": []}
+            self.pieces[known] = {"number": len(self.pieces), "template": template, "nodes": nodes, "slots": slots, "held": holding, "own": {n for _, n, _ in holding}, "reals": reals}
+        return self.pieces[known]
+
+    def use(self, key: tuple[int, ...], parts: list[tuple]) -> dict:
+        if key not in self.found:
+            slots, listed = 0, []
+            for slot, inside, depth, piece, first in parts:
+                nodes = [n | {"slot": None if n["slot"] is None else n["slot"] + slots, "subst": None if n["subst"] is None else n["subst"] + first} for n in piece["nodes"]]
+                slots += piece["slots"]
+                listed.append({"slot": slot, "inside": inside, "depth": depth, "nodes": nodes})
+            deepest = max((p["depth"] + n["depth"] for p in listed for n in p["nodes"]), default=0)
+            self.found[key] = {"template": parts[0][3]["template"] if parts else -1, "simple": bool(parts) and all(simple(p["nodes"]) for p in listed), "depth": deepest, "nodes": listed[0]["nodes"] if listed else [], "parts": listed if len(listed) > 1 else [], "uses": []}
         return self.found[key]
 
     def batch(self, path: str, chunk_index: int) -> pa.RecordBatch:
-        rows = list(self.found.items())
-        uses = [u for _, r in rows for u in r["uses"]]
-        values = columns_of(VALUE_TYPE, [v for u in uses for v in u[6]])
-        columns = [pa.array([u[k] for u in uses], t.type) for k, t in enumerate(USE_TYPE) if k != 6]
-        columns.insert(6, lists_of(values, [len(u[6]) for u in uses]))
-        uses = lists_of(pa.StructArray.from_arrays(columns, fields=list(USE_TYPE)), [len(r["uses"]) for _, r in rows])
-        columns = [[path] * len(rows), [chunk_index] * len(rows), [key[0] for key, _ in rows], *[[r[c] for _, r in rows] for c in ("nested", "simple", "depth", "nodes")]]
+        rows = list(self.found.values())
+        uses = [u for r in rows for u in r["uses"]]
+        values = columns_of(VALUE_TYPE, [v for u in uses for v in u[3]])
+        columns = [pa.array([u[k] for u in uses], t.type) for k, t in enumerate(USE_TYPE) if k != 3]
+        columns.insert(3, lists_of(values, [len(u[3]) for u in uses]))
+        uses = lists_of(pa.StructArray.from_arrays(columns, fields=list(USE_TYPE)), [len(r["uses"]) for r in rows])
+        columns = [[path] * len(rows), [chunk_index] * len(rows), *[[r[c] for r in rows] for c in PARSED_NAMES[2:-1]]]
         return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, PARSED_TYPES, strict=False)], uses], PARSED_NAMES)
 
 
@@ -137,6 +210,7 @@ def parse(chunks: DataFrame, record_id: int | None = None) -> DataFrame:
     """
     sliced = ["low", "high"] if "low" in chunks.columns else []
     placed = ["places"] if "places" in chunks.columns else []
+    deepest = binxml.DEEPEST
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,34 +219,15 @@ def parse(chunks: DataFrame, record_id: int | None = None) -> DataFrame:
                     data, more = data.as_py(), [m.as_py() for m in more]
                     low, high = more[:2] if sliced else (0, len(data))
                     records = (framed(data, p["at"], p["size"]) for p in more[-1]) if placed else frames(data)
-                    uses = Uses(data)
+                    uses = Uses(data, deepest)
                     for k, (found, written, start, end) in enumerate(records):
                         if low <= k < high and record_id in (None, found):
-                            uses.add((k, *(v if v < 1 << 63 else None for v in (found, written))), [], [], 0, start, end, True)
+                            uses.add((k, *(v if v < 1 << 63 else None for v in (found, written))), start, end)
                     yield uses.batch(path.as_py(), index.as_py())
 
     return chunks.select("path", "chunk_index", "data", *sliced, *placed).mapInArrow(cut, PARSED)
 
 
-def parse_values(held: DataFrame, chunks: DataFrame) -> DataFrame:
-    """PARSED rows of values that hold binary XML: held (path, chunk_index and the columns below).
-
-    A chunk meets all that is held in it once, by a join on (path, chunk_index); names and templates are its own.
-    """
-    places = ["ordinal", "event_record_id", "timestamp_filetime", "slot", "inside", "depth", "start", "size"]
-    by_chunk = held.groupBy("path", "chunk_index").agg(F.collect_list(F.struct(*places)).alias("held"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, index, data, held in zip(*batch.columns, strict=True):
-                uses = Uses(data.as_py())
-                for h in held.as_py():
-                    uses.add((h["ordinal"], h["event_record_id"], h["timestamp_filetime"]), h["slot"], h["inside"], h["depth"], h["start"], h["start"] + h["size"], False)
-                yield uses.batch(path.as_py(), index.as_py())
-
-    return chunks.select("path", "chunk_index", "data").join(by_chunk, ["path", "chunk_index"]).select("path", "chunk_index", "data", "held").mapInArrow(cut, PARSED)
-
-
 def templates(parsed: DataFrame) -> DataFrame:
     """(path, chunk_index, template, node): the nodes of every template in pre-order."""
     return parsed.where("template >= 0").select("path", "chunk_index", "template", F.explode("nodes").alias("node"))
@@ -272,108 +327,71 @@ def array_text(kind: Column, backing: Column, raw: Column, real: Column, attribu
 
 
 def value_of(n: Column) -> Column:
-    """(type, raw, start, real) of a substitution or a literal value."""
-    return F.when(n.kind == "subst", F.get("values", n.subst)).otherwise(F.struct(n.type, n.raw, n.start, n.real))
+    """(type, raw, real) of a substitution or a literal value."""
+    return F.when(n.kind == "subst", F.get("values", n.subst)).otherwise(F.struct(n.type, n.raw, n.real))
 
 
 def text_of(n: Column, v: Column) -> Column:
     """The text of a value where node n wants it; null of one that is too short."""
     base = n.type.bitwiseAND(0x7F)
     of = F.struct(base.alias("base"), F.when(base == 1, F.lit(1)).otherwise(v.type.bitwiseAND(0x7F)).alias("kind"), (n.type.bitwiseAND(0x80) != 0).alias("many"))
-    return let(of, lambda o: F.when(o.many, array_text(o.base, v.type, v.raw, v.real, n.attribute)).otherwise(value_text(o.kind, v.raw, v.real)))
+    return let(of, lambda o: F.when(v.type == LITERAL, v.real).when(o.many, array_text(o.base, v.type, v.raw, v.real, n.attribute)).otherwise(value_text(o.kind, v.raw, v.real)))
 
 
-def expand(parsed: DataFrame) -> DataFrame:
-    """A row for each use: its record's ids, slot, inside, error, and nodes in pre-order (id, last, parent, depth, kind, name, text).
+def spliced(parsed: DataFrame) -> DataFrame:
+    """The nodes of all parts of a row as one tree: sorted by place, numbered anew. Once for all records of the row."""
 
-    Substitutions become `text`, of binary XML `held` (with start and size in the chunk); without value they become
-    `absent`; a value that is too short makes the error UnexpectedEof.
-    """
+    def placed(part: Column) -> Column:
+        def node(n: Column) -> Column:
+            inside = F.when(n.parent >= 0, F.concat(part["slot"], F.array(n.parent))).otherwise(part.inside)
+            return F.struct(F.concat(part["slot"], F.array(n.id)).alias("at"), inside.alias("inside"), (part.depth + n.depth).alias("depth"), n.alias("n"))
 
-    def valued(n: Column) -> Column:
-        def read(v: Column) -> Column:
-            held = item(n, "held", start=v.start, size=F.octet_length(v.raw))
-            return F.when(n.type.bitwiseAND(0x7F) == 0x21, held).otherwise(item(n, "text", text=text_of(n, v)))
+        return F.transform(part.nodes, node)
 
-        return let(value_of(n), read)
+    def numbered(found: Column) -> Column:
+        def tree(places: Column) -> Column:
+            def node(x: Column, i: Column) -> Column:
+                parent = (F.coalesce(F.array_position(places, x.inside), F.lit(0)) - 1).cast("int")
+                of = {"id": i, "last": F.size(found) - 1, "parent": parent, "depth": x.depth}
+                return F.struct(*[of.get(c, x.n[c]).alias(c) for c in NODE_TYPE.names])
 
-    def item(n: Column, kind: str | None = None, **of: Column) -> Column:
-        none = {"text": F.lit(None).cast("string"), "start": F.lit(None).cast("int"), "size": F.lit(None).cast("int")}
-        of = none | ({"kind": F.lit(kind)} if kind else {"text": n.text}) | of
-        return F.struct(*[of.get(c, n[c]).alias(c) for c in ("id", "last", "parent", "depth", "kind", "name", "text", "start", "size")])
+            return F.transform(found, node)
 
-    def placed(n: Column) -> Column:
-        return F.when(n.kind.isin("subst", "value"), valued(n)).otherwise(item(n))
-
-    rows = parsed.select("path", "chunk_index", "template", "nodes", F.explode("uses").alias("u")).select("path", "chunk_index", "template", "nodes", "u.*")
-    rows = rows.select(*KEY, "event_record_id", "timestamp_filetime", "slot", "inside", "depth", "error", F.transform("nodes", placed).alias("nodes"))
-    short = F.exists("nodes", lambda n: (n.kind == "text") & n.text.isNull())
-    huge = F.col("event_record_id").isNull() | F.col("timestamp_filetime").isNull()
-    return rows.withColumn("error", F.coalesce("error", F.when(short, "UnexpectedEof"), F.when(huge, "OutOfBounds")))
+        return let(F.transform(found, lambda x: x.at), tree)
 
+    # field by field, as the sort compares them; places differ
+    return parsed.withColumn("nodes", F.when(F.size("parts") > 0, let(F.array_sort(F.flatten(F.transform("parts", placed))), numbered)).otherwise(F.col("nodes"))).drop("parts")
 
-def held_values(level: DataFrame) -> DataFrame:
-    """The values of a level that hold binary XML, with the places that what they hold will have."""
-    found = level.where("error IS NULL").select(*KEY, "event_record_id", "timestamp_filetime", "slot", "depth", "nodes", F.explode(F.filter("nodes", lambda n: n.kind == "held")).alias("n"))
-    owner = F.get("nodes", F.col("n.parent"))
-    in_attribute = owner.kind == "attribute"
-    element = F.when(in_attribute, F.get("nodes", owner.parent)).otherwise(owner)
-    # what an attribute holds comes after its element's children
-    slot = F.when(in_attribute, F.array(element["last"], F.col("n.id") + IN_ATTRIBUTE)).otherwise(F.array("n.id"))
-    return found.select(*KEY, "event_record_id", "timestamp_filetime", F.concat("slot", slot).alias("slot"), F.concat("slot", F.array(element["id"])).alias("inside"), (F.col("depth") + element["depth"] + 1).alias("depth"), "n.start", "n.size")
 
+def expand(parsed: DataFrame) -> DataFrame:
+    """A row for each use: its record's ids, error, and nodes in pre-order (id, last, parent, depth, kind, name, text).
 
-def merged(levels: list[DataFrame]) -> DataFrame:
-    """The nodes of all levels of a record as one tree: sorted by place, numbered anew."""
-    parts = []
-    for level in levels:
-
-        def placed(n: Column) -> Column:
-            inside = F.when(n.parent >= 0, F.concat("slot", F.array(n.parent))).otherwise(F.col("inside"))
-            return F.struct(F.concat("slot", F.array(n.id)).alias("at"), inside.alias("inside"), (F.col("depth") + n.depth).alias("depth"), *[n[c].alias(c) for c in ("kind", "name", "text")])
-
-        parts.append(level.select(*KEY, "event_record_id", "timestamp_filetime", "error", F.transform("nodes", placed).alias("nodes")))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionAll(part)
-    rows = rows.groupBy(*KEY).agg(F.first("event_record_id").alias("event_record_id"), F.first("timestamp_filetime").alias("timestamp_filetime"), F.max("error").alias("error"), F.array_sort(F.flatten(F.collect_list("nodes"))).alias("found"))
-    rows = rows.withColumn("places", F.transform("found", lambda n: n.at))
+    Substitutions become `text`; a value that is too short makes the error UnexpectedEof.
+    """
 
-    def numbered(n: Column, i: Column) -> Column:
-        parent = (F.coalesce(F.array_position("places", n.inside), F.lit(0)) - 1).cast("int")
-        return F.struct(i.alias("id"), (F.size("found") - 1).alias("last"), parent.alias("parent"), *[n[c].alias(c) for c in ("depth", "kind", "name", "text")])
+    def placed(n: Column) -> Column:
+        value = n.kind.isin("subst", "value")
+        of = {"kind": F.when(value, "text").otherwise(n.kind), "text": F.when(value, let(value_of(n), lambda v: text_of(n, v))).otherwise(n.text)}
+        return F.struct(*[of.get(c, n[c]).alias(c) for c in ("id", "last", "parent", "depth", "kind", "name", "text")])
 
-    return rows.select(*KEY, "event_record_id", "timestamp_filetime", "error", F.transform("found", numbered).alias("nodes"))
+    rows = spliced(parsed).select("path", "chunk_index", "nodes", F.explode("uses").alias("u")).select("path", "chunk_index", "nodes", "u.*")
+    rows = rows.select(*KEY, "event_record_id", "timestamp_filetime", "error", F.transform("nodes", placed).alias("nodes"))
+    short = F.exists("nodes", lambda n: (n.kind == "text") & n.text.isNull())
+    huge = F.col("event_record_id").isNull() | F.col("timestamp_filetime").isNull()
+    return rows.withColumn("error", F.coalesce("error", F.when(short, "UnexpectedEof"), F.when(huge, "OutOfBounds")))
 
 
 def trees(chunks: DataFrame) -> tuple[DataFrame, int]:
     """A row for each record: KEY, its ids, error, and nodes as one tree in pre-order; and the depth of the deepest.
 
-    Records whose template holds no binary XML need no shuffle. The others are expanded level by level (EXP at all
-    depths), each level a table, until no value is left that holds any; those deeper than binxml.DEEPEST levels get the
-    error OutOfBounds. Chunks are read once more for each level, so they must be the same whenever they are read (files, or
-    a table).
+    No record needs a shuffle. Those with values that hold each other more than binxml.DEEPEST levels deep get the error
+    OutOfBounds.
     """
-    return trees_of(table(parse(chunks), "parsed"), chunks)
+    return trees_of(table(parse(chunks), "parsed"))
 
 
-def trees_of(parsed: DataFrame, chunks: DataFrame) -> tuple[DataFrame, int]:
-    columns = [*KEY, "event_record_id", "timestamp_filetime", "error", "nodes"]
-    shown = F.transform("nodes", lambda n: F.struct(*[n[c].alias(c) for c in ("id", "last", "parent", "depth", "kind", "name", "text")])).alias("nodes")
-    rows = expand(parsed.where("NOT nested")).select(*columns[:-1], shown)
-    deepest = parsed.agg(F.max("depth")).first()[0] or 0
-    if parsed.where("nested").isEmpty():
-        return rows, deepest
-    levels = [table(expand(parsed.where("nested")), "level")]
-    while not (held := held_values(levels[-1])).isEmpty():
-        if len(levels) > binxml.DEEPEST:
-            empty = F.array().cast(levels[-1].schema["nodes"].dataType)
-            levels.append(levels[-1].join(held.select(*KEY).distinct(), KEY, "left_semi").withColumns({"error": F.lit("OutOfBounds"), "nodes": empty}))
-            break
-        levels.append(table(expand(parse_values(held, chunks)), "level"))
-    nested = table(merged(levels), "nested")
-    deepest = max(deepest, nested.agg(F.max(F.array_max(F.transform("nodes", lambda n: n.depth)))).first()[0] or 0)
-    return rows.unionAll(nested.select(*columns)), deepest
+def trees_of(parsed: DataFrame) -> tuple[DataFrame, int]:
+    return expand(parsed), parsed.agg(F.max("depth")).first()[0] or 0
 
 
 def inner(nodes: Column, n: Column, *kinds: str) -> Column:
@@ -542,8 +560,8 @@ def compiled(parsed: DataFrame, xml: bool, json: bool) -> DataFrame:
         of = {"kind": F.when(n["slot"].isNull(), n.kind).otherwise("text"), "text": text}
         return F.struct(*[of.get(c, n[c]).alias(c) for c in ("id", "last", "parent", "depth", "kind", "name", "text")])
 
-    slots = F.transform(F.filter("nodes", lambda n: n["slot"].isNotNull()), lambda n: F.struct(*[n[c].alias(c) for c in ("attribute", "kind", "type", "subst", "start", "raw", "real", "clock")]))
-    rows = parsed.select("path", "chunk_index", "uses", slots.alias("slots"), F.transform("nodes", marked).alias("nodes"), F.lit(None).cast("string").alias("error"))
+    slots = F.array_sort(F.transform(F.filter("nodes", lambda n: n["slot"].isNotNull()), lambda n: F.struct(*[n[c].alias(c) for c in ("slot", "attribute", "kind", "type", "subst", "raw", "real", "clock")])))
+    rows = spliced(parsed).select("path", "chunk_index", "uses", slots.alias("slots"), F.transform("nodes", marked).alias("nodes"), F.lit(None).cast("string").alias("error"))
     deepest = parsed.agg(F.max("depth")).first()[0] or 0
     rows = field_texts(rows)
     kinds = [k for k, wanted in (("xml", xml), ("json", json)) if wanted]
@@ -573,22 +591,25 @@ def compiled(parsed: DataFrame, xml: bool, json: bool) -> DataFrame:
 
 
 def decode_tables(chunks: DataFrame, xml: bool = True, json: bool = True, record_id: int | None = None) -> DataFrame:
-    """What records.decode gives, from the tables; in no certain order. Chunks are read again only for values that hold
-    binary XML; then they must be the same whenever they are read."""
+    """What records.decode gives, from the tables; in no certain order."""
+    rows = events(chunks, xml, json, record_id)
+    if json:
+        head = F.concat(F.lit('{"event_record_id":'), F.col("event_record_id").cast("string"), F.lit(',"timestamp_filetime":'), F.col("timestamp_filetime").cast("string"), F.lit(',"Event":'))
+        rows = rows.withColumn("json", F.concat(head, "json", F.lit("}")))
+    return rows
+
+
+def events(chunks: DataFrame, xml: bool = True, json: bool = True, record_id: int | None = None) -> DataFrame:
+    """The same, but that json is the event's alone."""
     parsed = table(parse(chunks, record_id), "parsed")
     parts = [compiled(parsed.where("simple"), xml, json)]
     other = parsed.where("NOT simple")
     if not other.isEmpty():
-        rows, deepest = trees_of(other, chunks)
+        rows, deepest = trees_of(other)
         rows = fields(rows)
         for kind in [k for k, wanted in (("xml", xml), ("json", json)) if wanted]:
             rows = fold(rows, deepest, kind, kind)
         parts.append(rows)
-    whole = []
-    for rows in parts:
-        if json:
-            head = F.concat(F.lit('{"event_record_id":'), F.col("event_record_id").cast("string"), F.lit(',"timestamp_filetime":'), F.col("timestamp_filetime").cast("string"), F.lit(',"Event":'))
-            rows = rows.withColumn("json", F.concat(head, "json", F.lit("}")))
-        rows = rows.withColumns({name: F.lit(None).cast("string") for name, wanted in (("xml", xml), ("json", json)) if not wanted})
-        whole.append(rows.select(*[f.split()[0] for f in RECORD.split(", ")]))
+    none = {name: F.lit(None).cast("string") for name, wanted in (("xml", xml), ("json", json)) if not wanted}
+    whole = [rows.withColumns(none).select(*[f.split()[0] for f in RECORD.split(", ")]) for rows in parts]
     return whole[0] if len(whole) == 1 else whole[0].unionAll(whole[1])

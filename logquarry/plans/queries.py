@@ -286,20 +286,18 @@ def _nested_chunks(spark, sf_dir):
 
         return [(BINXML, lambda at: instance(note, [(STRING, value_bytes(STRING, r["event_type"]))], at, None)), (INT64, r["user_id"]), (BINXML, two if r["event_id"] % 3 else b"")]
 
-    # a table, as its chunks are read again for the values that they hold
-    return table(encoded(event_rows(spark, sf_dir), outer, values), "chunks")
+    return encoded(event_rows(spark, sf_dir), outer, values)
 
 
 def nested_splice(spark, sf_dir):
-    """Nested binary XML put in place level by level; what an attribute holds comes after the element's children."""
+    """Nested binary XML put in place at all levels; what an attribute holds comes after the element's children."""
     rows, deepest = tokens.trees(_nested_chunks(spark, sf_dir))
     return tokens.fold(rows, deepest, "xml", "xml").select("event_record_id", _compact("xml").alias("xml"))
 
 
 def nested_json(spark, sf_dir):
     """The same events as JSON."""
-    rows, deepest = tokens.trees(_nested_chunks(spark, sf_dir))
-    return tokens.fold(rows, deepest, "json", "json").select("event_record_id", "json")
+    return tokens.events(_nested_chunks(spark, sf_dir), xml=False).select("event_record_id", "json")
 
 
 def json_mixed(spark, sf_dir):

@@ -176,3 +176,30 @@ def test_little_endian_hex_and_sids(spark):
     sid = b"\x01\x02" + bytes(6) + bytes(8)
     got = spark.createDataFrame([(sid * 3 + b"\1\1",), (b"\1\5" + bytes(9),), (b"",)], "raw binary").select(F.array_size(fmt.sid_places("raw")).alias("n")).collect()
     assert [r.n for r in got] == [3, 0, 0]
+
+
+def test_held_values_are_cut_with_their_record(spark):
+    """Records that hold the same templates and elements are one row, whatever their literals; all as the decoder has it."""
+    literal = struct.pack("<BBi", 0x05, 0x07, -5)
+    leaf = Element("Leaf", {"Name": (0, 0x01), "SystemTime": "+2024-1-2T3:4:5Z"}, ["is ", (1, 0x8C), literal, (2, 0x01)])
+    step = Element("Step", {"a": (0, 0x21), "b": "c"}, [(1, 0x21), Element("Data", {"Name": "k"}, [(2, 0x09), "units"])])
+
+    def values(k):
+        held = [(0x01, value_bytes(0x01, f"n{k}")), (0x8C, struct.pack("<2d", 0.1, k)), (0x00, b"")]
+        inner = lambda at: instance(leaf, held, at, None)
+
+        def two(at):
+            first = Element("Plain", {"Name": f"p{k % 2}", "of": f"a\0{k}"}, [f"text {k}\0", Element("Q")]).encode(at)
+            return first + instance(step, [(0x21, inner), (0x21, inner if k % 3 else b""), (0x09, value_bytes(0x09, k))], at + len(first), None) + b"\x00"
+
+        return [(0x21, two), (0x21, inner if k != 4 else b"\x55")]
+
+    event = Element("Event", {}, [Element("EventData", {}, [Element("Data", {"Name": "x"}, [(0, 0x21), "after"]), (1, 0x21)])])
+    data = list(chunks(event, ((k, TICKS, values(k)) for k in range(1, 31))))
+    want, got = both(spark, data)
+    assert want == got and len(got) == 30 and got[0, 3]["error"] == "BadToken"
+    rows = tokens.parse(frame(spark, data)).select("template", F.size("uses").alias("n"), F.size("parts").alias("parts")).collect()
+    # two names of the element without template, with and without the second value
+    assert sorted((r.n, r.parts) for r in rows if r.template >= 0) == sorted([(5, 5), (5, 5), (10, 6), (9, 6)])
+    plan = tokens.decode_tables(frame(spark, data))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" not in plan

@@ -291,8 +291,7 @@ def _nested_chunks(spark, sf_dir):
 
 def nested_splice(spark, sf_dir):
     """Nested binary XML put in place at all levels; what an attribute holds comes after the element's children."""
-    rows, deepest = tokens.trees(_nested_chunks(spark, sf_dir))
-    return tokens.fold(rows, deepest, "xml", "xml").select("event_record_id", _compact("xml").alias("xml"))
+    return tokens.events(_nested_chunks(spark, sf_dir), json=False).select("event_record_id", _compact("xml").alias("xml"))
 
 
 def nested_json(spark, sf_dir):
